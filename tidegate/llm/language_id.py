@@ -32,12 +32,13 @@ class LanguageModel:
     grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
 
 
-def _counts(rows: DataFrame, unit: str, per_lang: int) -> list:
-    """The most frequent units of each language, with the language's totals."""
-    counted = rows.groupBy("lang", unit).agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), unit)))
-    return ranked.where(F.col("place") <= per_lang).join(totals, "lang").select("lang", F.col(unit).alias("unit"), "n", "total", "kinds").collect()
+def _counts(rows: DataFrame, words_per_lang: int, grams_per_lang: int) -> list:
+    """The most frequent units of each size (0: words) and language, with their totals."""
+    counted = rows.groupBy("size", "lang", "unit").agg(F.sum("n").alias("n"))
+    totals = counted.groupBy("size", "lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "unit")))
+    most = F.when(F.col("size") == 0, words_per_lang).otherwise(grams_per_lang)
+    return ranked.where(F.col("place") <= most).join(totals, ["size", "lang"]).select("size", "lang", "unit", "n", "total", "kinds").collect()
 
 
 def _table(rows: list, langs: list[str]) -> dict[str, tuple[float, ...]]:
@@ -69,13 +70,13 @@ def train(
     taken = rows.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))))
     spread = taken.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = written(spread.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    model = LanguageModel(langs, _table(_counts(counted, "word", words_per_lang), langs))
-    padded = counted.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("p"))
-    for n in range(longest, 0, -1):
-        cut = F.expr(f"transform(sequence(1, length(p) - {n - 1}), i -> substring(p, i, {n}))")
-        rows_n = padded.where(F.length("p") >= n).select("lang", "n", F.explode(cut).alias("gram"))
-        model.grams[n] = _table(_counts(rows_n, "gram", grams_per_lang), langs)
-    return model
+    cut = F.expr(f"flatten(transform(sequence(1, {longest}), n -> transform(sequence(0, greatest(0, length(p) - n)), i -> substring(p, i + 1, n))))")
+    padded = counted.withColumn("p", F.concat(F.lit("^"), "word", F.lit("$")))
+    grams = padded.select("lang", "n", F.explode(cut).alias("unit")).withColumn("size", F.length("unit"))
+    units = counted.select(F.lit(0).alias("size"), "lang", F.col("word").alias("unit"), "n").unionByName(grams)
+    found = _counts(units, words_per_lang, grams_per_lang)
+    tables = {size: _table([r for r in found if r["size"] == size], langs) for size in {r["size"] for r in found}}
+    return LanguageModel(langs, tables.pop(0, {}), tables)
 
 
 class _Scorer(dict):

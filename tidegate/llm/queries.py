@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidegate.llm import language_id, packing
+from tidegate.llm import language_id, line_dedup, packing
 
 QUERIES = {
     "op2_language_id": language_id.op2,
     "op9_best_fit_packing": packing.op9,
+    "op10_line_dedup": line_dedup.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": line_dedup.OP10_SQL,
+}

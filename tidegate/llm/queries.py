@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidegate.llm import language_id, line_dedup, packing
+from tidegate.llm import language_id, line_dedup, packing, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1,
     "op2_language_id": language_id.op2,
     "op9_best_fit_packing": packing.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidegate.llm import language_id, line_dedup, packing, quality_rules
+from tidegate.llm import language_id, line_dedup, ngram_join, packing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_language_id": language_id.op2,
+    "op7_ngram_jaccard_join": ngram_join.op7,
     "op9_best_fit_packing": packing.op9,
     "op10_line_dedup": line_dedup.op10,
 }

@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that part words, as a class for regular expressions.
 SPACE = r"\x20\x09-\x0D"
@@ -53,6 +55,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_filter(ids: DataFrame, key: str, bits: int = 1 << 23):
+    """A column function from keys to whether a key may be among `ids`.
+
+    It is a bitmap of fixed size, so what tasks are sent is bounded by `bits`
+    whatever the number of ids; it says yes to every id and, as it fills, to more
+    and more other keys. An exact join must follow; the bitmap only spares the
+    shuffle of rows that can't match.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    at = ids.select(place(F.col(key)).alias("at")).select(F.expr("cast(at div 64 AS int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("mask"))
+    marks = at.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words_ = np.zeros(bits // 64, dtype=np.int64)
+    words_[marks["word"].to_numpy(dtype=np.int64)] = marks["mask"].to_numpy(dtype=np.int64)
+    sent = ids.sparkSession.sparkContext.broadcast(words_)
+
+    @F.pandas_udf(T.BooleanType())
+    def marked(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(dtype=np.int64)
+        return pd.Series(((sent.value.view(np.uint64)[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(bool))
+
+    return lambda c: marked(place(c))
+
+
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import hashed_words, mix64, written
+from tidegate.llm.common import hashed_words, id_filter, mix64, written
 from tidegate.llm.components import connected_components
 
 BITS = 512
@@ -184,23 +184,14 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame, filter_bits: int) -> Da
     A bitmap of fixed size, filter_bits, tells tasks which documents to hash, so
     that texts need no shuffle; what it lets through besides is dropped by a join.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(filter_bits))
-    marks = wanted.select(place.alias("at")).select(F.expr("cast(at div 64 AS int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    words = np.zeros(filter_bits // 64, dtype=np.int64)
-    words[marks["word"].to_numpy()] = marks["mask"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    may = id_filter(wanted, "doc_id", filter_bits)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value.view(np.uint64)
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = np.flatnonzero((words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
-            if len(hit):
-                some = batch.take(pa.array(hit))
-                sets = shingle_sets(some.column(1).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "elements"])
+            sets = shingle_sets(batch.column(1).to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "elements"])
 
-    return docs.withColumn("_at", place).mapInArrow(of, "doc_id long, elements binary").join(wanted, "doc_id", "left_semi")
+    return docs.where(may(F.col("doc_id"))).mapInArrow(of, "doc_id long, elements binary").join(wanted, "doc_id", "left_semi")
 
 
 @F.pandas_udf(T.LongType())
@@ -272,6 +263,18 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return digest.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", **join: object) -> DataFrame:
+    """The documents without all but the smallest id of each component.
+
+    Most documents go straight through: only those that a bitmap marks as
+    possibly dropped meet the exact list of dropped ids in a join.
+    """
+    dropped = written(join_components(docs, key, **join).where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "dropped")
+    may = id_filter(dropped, key)(F.col(key))
+    marked = docs.withColumn("_may", may)
+    return marked.where(~F.col("_may")).drop("_may").unionByName(marked.where("_may").drop("_may").join(dropped, key, "left_anti"))
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return join_components(docs, size=3, similarity=(90, 100), parts=3, spare=1)

@@ -92,31 +92,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), base, dtype=np.uint64)]), dtype=np.uint64)[:n]
+    if n not in _KEPT.setdefault(base, {}):
+        with np.errstate(over="ignore"):
+            found = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, dtype=np.uint64)]), dtype=np.uint64)
+        if n != CHUNK:
+            return found
+        _KEPT[base][n] = found
+    return _KEPT[base][n]
+
+
+#: Bytes hashed at a time; the running sums need about 30 bytes for each.
+CHUNK = 1 << 20
+_KEPT: dict[int, dict[int, np.ndarray]] = {}
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, word counts of the texts, joined bytes, starts, ends) of all words.
 
     A word's hash depends on its bytes alone: a polynomial over a table of
-    random odd numbers, taken from running sums, so that a whole batch costs a
-    few passes of numpy.
+    random odd numbers, taken from running sums over chunks of whole words, so
+    that a batch costs a few passes of numpy and little memory.
     """
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     blank = (data == 32) | ((data >= 9) & (data <= 13))
-    inside = ~blank
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        none = np.zeros(0, dtype=np.uint64)
-        return none, np.zeros(len(texts), dtype=np.int64), data, starts, ends
-    with np.errstate(over="ignore"):
-        run = np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), dtype=np.uint64)
-        run = np.concatenate([[np.uint64(0)], run])
-        raw = (run[ends] - run[starts]) * _powers(_BASE_INVERSE, len(data))[starts]
-        hashes = mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    if not blank[0]:
+        starts = np.concatenate([[0], starts])
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, low + CHUNK, side="right")))
+        s, e = starts[at:stop] - low, ends[at:stop] - low
+        part = data[low : ends[stop - 1]]
+        n = CHUNK if len(part) <= CHUNK else len(part)
+        with np.errstate(over="ignore"):
+            run = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_TABLE[part] * _powers(_BASE, n)[: len(part)], dtype=np.uint64, out=run[1:])
+            raw = (run[e] - run[s]) * _powers(_BASE_INVERSE, n)[s]
+            hashes[at:stop] = mix64(raw + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = stop
     last = np.cumsum(sizes)
     per_text = np.diff(np.concatenate([[0], np.searchsorted(starts, last)]))
     return hashes, per_text, data, starts, ends

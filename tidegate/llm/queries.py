@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegate.llm import fingerprints, language_id, line_dedup, ngram_join, packing, quality_rules, reply_trees, sharding
+from tidegate.llm import class_lm, fingerprints, language_id, line_dedup, ngram_join, packing, quality_rules, reply_trees, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_histogram_sort_shards": sharding.op4,
     "op5_weighted_fingerprints": fingerprints.op5,
     "op7_ngram_jaccard_join": ngram_join.op7,
+    "op8_class_lm_scoring": class_lm.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_line_dedup": line_dedup.op10,
 }

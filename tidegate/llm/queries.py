@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegate.llm import class_lm, fingerprints, language_id, line_dedup, ngram_join, packing, quality_rules, reply_trees, sharding
+from tidegate.llm import class_lm, fingerprints, language_id, line_dedup, ngram_join, packing, pieces, quality_rules, reply_trees, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_formatting": reply_trees.op3,
     "op4_histogram_sort_shards": sharding.op4,
     "op5_weighted_fingerprints": fingerprints.op5,
+    "op6_piece_viterbi": pieces.op6,
     "op7_ngram_jaccard_join": ngram_join.op7,
     "op8_class_lm_scoring": class_lm.op8,
     "op9_best_fit_packing": packing.op9,

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidegate.plans import places
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**places.QUERIES}
+ORACLES: dict[str, str] = {**places.ORACLES}

@@ -149,7 +149,7 @@ def knn_nearest(spark, d):
 
 
 def no_neighbour(spark, d):
-    return spatial.without_neighbour(*grid_radius_join(spark, d), 150.0).select("a_id")
+    return spatial.without_neighbour(*grid_radius_join(spark, d), 9.0).select("a_id")
 
 
 _PAIRS = f"a AS (SELECT venue_id AS a_id, lat AS a_lat, lon AS a_lon FROM ({A.venues_sql()})), b AS (SELECT venue_id AS b_id, lat AS b_lat, lon AS b_lon FROM ({A.venues_sql('customer')})), m AS (SELECT a_id, b_id, {HAVERSINE.format(a='a_', b='b_')} AS metres FROM a CROSS JOIN b)"
@@ -254,7 +254,7 @@ ORACLES = {
     "coverage_pivot": f"WITH {EVALUATED_SQL} SELECT at_min, count(*) FILTER (mode = 'walk') AS walk, count(*) FILTER (mode = 'drive') AS drive, count(*) FILTER (mode = 'transit') AS transit FROM x WHERE class <> 'ineligible' GROUP BY at_min",
     "radius_pairs": f"WITH {_PAIRS} SELECT a_id, b_id, round(metres, 2) AS metres FROM m WHERE metres <= 800",
     "knn_nearest": f"WITH {_PAIRS} SELECT a_id, b_id, place FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY metres, b_id)::INT AS place FROM m WHERE metres <= 1200) WHERE place <= 3",
-    "no_neighbour": f"WITH {_PAIRS} SELECT a_id FROM a WHERE a_id NOT IN (SELECT a_id FROM m WHERE metres <= 150)",
+    "no_neighbour": f"WITH {_PAIRS} SELECT a_id FROM a WHERE a_id NOT IN (SELECT a_id FROM m WHERE metres <= 9)",
     "weekly_open_now": f"""WITH {_WEEKLY}, g AS (SELECT *, max(c) OVER (PARTITION BY venue_id, weekday, minute ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
       s AS (SELECT *, sum(CASE WHEN before >= o THEN 0 ELSE 1 END) OVER (PARTITION BY venue_id, weekday, minute ORDER BY o) AS island FROM g), z AS (SELECT venue_id, weekday, minute, island, min(o) AS o, max(c) AS c FROM s GROUP BY ALL)
       SELECT venue_id, weekday, minute, z.c IS NOT NULL AS is_open, coalesce(z.c, -1) AS closes FROM w LEFT JOIN z USING (venue_id, weekday, minute) WHERE z.o <= minute AND minute < z.c

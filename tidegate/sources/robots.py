@@ -47,6 +47,6 @@ def allowed(paths: DataFrame, files: DataFrame, agent: str) -> DataFrame:
             yield pd.DataFrame([(r.host, a, pattern(p), len(p)) for r in b.itertuples() for a, p in rules_of(r.body, agent)], columns=["host", "allow", "pattern", "size"])
 
     rules = files.select("host", "body").mapInPandas(of, "host string, allow boolean, pattern string, size long")
-    met = paths.select("host", "path").distinct().join(rules, "host", "left").withColumn("hit", F.col("path").rlike(F.col("pattern")))
+    met = paths.select("host", "path").distinct().join(rules, "host", "left").withColumn("hit", F.rlike("path", F.col("pattern")))
     best = F.max_by("allow", F.when(F.col("hit"), F.struct("size", "allow")))
     return met.groupBy("host", "path").agg(F.coalesce(best, F.lit(True)).alias("allowed"))

@@ -5,9 +5,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidegate.functions import clock, text
+from tidegate.functions import clock, hours, text
 from tidegate.operators import diff, identity, ledger, ordering
-from tidegate.sources import ical, pages, robots
+from tidegate.sources import ical, pages, robots, tags
 from tidegate.streaming import events as stream
 
 Row = namedtuple("Row", ordering.NEEDS)
@@ -155,3 +155,29 @@ def test_late_old_version_changes_nothing(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("versions").collect()} == {(1, 3, "c"), (2, 1, "x")}
+
+
+def test_hours_rules():
+    week = lambda days, *span: [(d, *span) for d in days]
+    assert hours.parse("Mo-Fr 09:00-17:00; Sa 10:00-02:00") == (sorted(week((1, 2, 3, 4, 5), 540, 1020) + [(6, 600, 1560)]), False)
+    assert hours.parse("24/7")[0] == week(range(7), 0, 1440)
+    assert hours.parse("08:00-12:00,13:00-18:00; Su,We off; PH off") == (sorted(week((1, 2, 4, 5, 6), 480, 720) + week((1, 2, 4, 5, 6), 780, 1080)), True)
+    assert hours.parse("Fr-Mo 10:00-11:00")[0] == week((0, 1, 5, 6), 600, 660)
+    assert hours.parse("sunrise-sunset") == (None, False) and hours.parse(None) == (None, False)
+
+
+def test_hours_join_back(spark):
+    df = spark.createDataFrame([(1, "Mo 09:00-10:00"), (2, None), (3, "Mo 09:00-10:00"), (4, "dawn")], "id long, opening_hours string")
+    got = {r.id: r for r in hours.weekly_hours(df).collect()}
+    assert got[1].hours == got[3].hours and got[1].hours[0].start == 540 and got[2].hours is None and got[4].unread
+
+
+def test_tags_become_facts(spark):
+    schema = "external_id string, tags map<string,string>, edited timestamp"
+    rows = [("n/1", {"amenity": "cafe", "name": "X", "opening_hours": "24/7", "wheelchair": "yes", "min_age": "200"}, datetime(2024, 1, 1)), ("n/2", {"disused:amenity": "bar", "name": "Y"}, None), ("n/3", {"tourism": "museum", "fee": "yes"}, None), ("n/4", {"leisure": "sports_centre", "sport": "climbing"}, None)]
+    now = F.lit("2024-06-01").cast("timestamp")
+    got = {(r.external_id, r.attribute): (r.value, r["class"], r.confidence) for r in tags.facts(spark.createDataFrame(rows, schema), now).collect()}
+    assert got["n/1", "category"] == ("cafe", "published", 0.8) and got["n/1", "admission"] == ("walk_in", "estimate", 0.55)
+    assert got["n/1", "opening_hours"][2] == 0.595 and ("n/1", "age_limit") not in got and got["n/1", "business_status"][2] == 0.5
+    assert got["n/2", "business_status"] == ("closed_permanently", "published", 0.75) and ("n/2", "admission") not in got
+    assert got["n/3", "admission"] == ("ticket", "published", 0.6) and got["n/3", "price"][0] == "paid" and got["n/4", "category"][0] == "activity"

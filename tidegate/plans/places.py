@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import clock, geo, text
 from tidegate.operators import feasibility, ordering, scoring, spatial
 from tidegate.plans import adapters as A
+from tidegate.session import table
 
 HAVERSINE = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
 _SPEED = "CASE WHEN ({h}) BETWEEN 7 AND 10 OR ({h}) BETWEEN 16 AND 19 THEN {p} WHEN ({h}) >= 22 OR ({h}) < 6 THEN {n} ELSE {d} END * 1000.0 / 60.0"
@@ -275,3 +276,63 @@ ORACLES = {
     "detour_payback": f"""WITH {SCORED_SQL}, z AS (SELECT *, max((travel <= 15 AND class = 'ready')::INT) OVER (PARTITION BY request_id, category) AS near_ready FROM s)
       SELECT request_id, venue_id, round(CASE WHEN travel > 15 AND near_ready = 1 THEN 0.1::DOUBLE * least(1.0, (travel - 15) / 20.0::DOUBLE) ELSE 0.0 END, 4) AS cost FROM z""",
 }
+
+
+# When kinds of places are busy; days 0 (Sunday) to 6, minutes that may pass midnight.
+BUSY = [
+    ("bar", (1, 2, 3, 4, 5), 1020, 1170, 1), ("bar", (5, 6), 1080, 1260, 1), ("bar", (0, 1, 2, 3), 1200, 1380, 1), ("bar", (4,), 1260, 1500, 2), ("bar", (5, 6), 1260, 1590, 2),
+    ("museum", (1, 2, 3, 4, 5), 660, 900, 1), ("museum", (0, 6), 660, 960, 2), ("park", (1, 2, 3, 4, 5), 720, 780, 1), ("park", (0, 1, 2, 3, 4, 5, 6), 1020, 1140, 1), ("park", (0, 6), 660, 1020, 2),
+]
+
+
+def busy_level(spark, d):
+    """How busy kinds of places usually are, each half hour of a week; the night belongs to the day before."""
+    spans = spark.createDataFrame([(c, day, a, b, n) for c, days, a, b, n in BUSY for day in days], "category string, day int, start int, end int, level int")
+    asked = spark.range(0, 7 * 48).select((F.col("id") / 48).cast("int").alias("weekday"), (F.col("id") % 48 * 30).cast("int").alias("minute"))
+    shifted = asked.select("weekday", "minute", F.explode(F.array(F.struct(F.col("weekday").alias("day"), F.col("minute").alias("at")), F.struct(((F.col("weekday") + 6) % 7).alias("day"), (F.col("minute") + 1440).alias("at")))).alias("q")).select("weekday", "minute", "q.day", "q.at")
+    hit = F.when((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), F.col("level")).otherwise(0)
+    rows = shifted.crossJoin(F.broadcast(spans.select("category").distinct())).join(F.broadcast(spans), ["category", "day"], "left")
+    best = rows.groupBy("category", "weekday", "minute").agg(F.max(hit).alias("b"))
+    return best.select("category", "weekday", "minute", F.when(F.col("b") == 2, "busy").when(F.col("b") == 1, "moderate").otherwise("quiet").alias("level"))
+
+
+def tag_facts(spark, d):
+    """Facts of places whose tags are made up from `customer`."""
+    from tidegate.sources import tags
+
+    k = F.col("c_custkey")
+    made = F.map_from_arrays(F.array(*map(F.lit, ("amenity", "name", "fee", "wheelchair", "reservation"))), F.array(F.get(F.array(*map(F.lit, ("cafe", "bar", "library", "theatre", "restaurant", "parking"))), (k % 6).cast("int")), F.col("c_name"), F.when(k % 5 == 0, "yes").when(k % 5 == 1, "no"), F.when(k % 3 == 0, "designated").when(k % 3 == 1, "no"), F.when(k % 7 == 0, "required").when(k % 7 == 1, "yes")))
+    tagged = table(spark, d, "customer").select(k.cast("string").alias("external_id"), F.map_filter(made, lambda _, v: v.isNotNull()).alias("tags"), F.lit("2023-06-01").cast("timestamp").alias("edited"))
+    return tags.facts(tagged, F.lit("2024-06-01").cast("timestamp"))
+
+
+def hours_of_rules(spark, d):
+    """Weekly intervals of rules put together from `supplier`."""
+    from tidegate.functions import hours
+
+    k = F.col("s_suppkey")
+    rule = F.concat(F.lit("Mo-Fr "), F.format_string("%02d:00-%02d:30", (k % 12).cast("int"), (F.lit(12) + k % 10).cast("int")), F.when(k % 2 == 0, "; Sa 22:00-02:00").otherwise("; Tu off"))
+    rows = hours.weekly_hours(table(spark, d, "supplier").select("s_suppkey", rule.alias("opening_hours")))
+    return rows.select("s_suppkey", F.explode("hours").alias("h")).select("s_suppkey", "h.weekday", "h.start", "h.end")
+
+
+QUERIES |= {"busy_level": busy_level, "tag_facts": tag_facts, "hours_of_rules": hours_of_rules}
+_BUSY = ", ".join(f"('{c}', {day}, {a}, {b}, {n})" for c, days, a, b, n in BUSY for day in days)
+ORACLES |= {
+    "busy_level": f"""WITH s(category, day, a, b, level) AS (VALUES {_BUSY}), q AS (SELECT range // 48 AS weekday, range % 48 * 30 AS minute FROM range(336))
+      SELECT category, weekday::INT AS weekday, minute::INT AS minute, CASE max(CASE WHEN (day = weekday AND minute >= a AND minute < b) OR (day = (weekday + 6) % 7 AND minute + 1440 >= a AND minute + 1440 < b) THEN level ELSE 0 END) WHEN 2 THEN 'busy' WHEN 1 THEN 'moderate' ELSE 'quiet' END AS level
+      FROM s CROSS JOIN q GROUP BY ALL""",
+    "tag_facts": """WITH t AS (SELECT c_custkey::VARCHAR AS external_id, ['cafe', 'bar', 'library', 'theatre', 'restaurant', NULL][c_custkey % 6 + 1] AS cat, c_name AS name, CASE c_custkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS fee,
+        CASE c_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS w, CASE c_custkey % 7 WHEN 0 THEN 'required' WHEN 1 THEN 'yes' END AS r FROM customer)
+      SELECT external_id, 'name' AS attribute, name AS value, 'published' AS class, 0.9::DOUBLE AS confidence FROM t
+      UNION ALL SELECT external_id, 'category', cat, 'published', 0.8 FROM t WHERE cat IS NOT NULL
+      UNION ALL SELECT external_id, 'business_status', 'operating', 'estimate', 0.5 FROM t
+      UNION ALL SELECT external_id, 'wheelchair', w, 'published', 0.7 FROM t WHERE w IS NOT NULL
+      UNION ALL SELECT external_id, 'admission', CASE WHEN r = 'required' THEN 'reservation' WHEN cat IN ('cafe', 'bar', 'library') THEN 'walk_in' WHEN cat = 'restaurant' THEN CASE r WHEN 'yes' THEN 'reservation_available' ELSE 'walk_in' END WHEN cat = 'theatre' THEN 'ticket' END,
+        CASE WHEN r = 'required' THEN 'published' ELSE 'estimate' END, CASE WHEN r = 'required' THEN 0.7 WHEN cat IN ('cafe', 'bar', 'library') THEN 0.55 WHEN cat = 'restaurant' THEN 0.45 ELSE 0.6 END FROM t WHERE r = 'required' OR cat IS NOT NULL
+      UNION ALL SELECT external_id, 'price', CASE fee WHEN 'no' THEN 'free' WHEN 'yes' THEN 'paid' ELSE 'free' END, CASE WHEN fee IS NULL THEN 'estimate' ELSE 'published' END, CASE fee WHEN 'no' THEN 0.7 WHEN 'yes' THEN 0.6 ELSE 0.7 END FROM t WHERE fee IS NOT NULL OR cat = 'library'
+      UNION ALL SELECT external_id, 'indoor_outdoor', 'indoor', 'estimate', 0.6 FROM t WHERE cat IS NOT NULL""",
+    "hours_of_rules": """WITH s AS (SELECT s_suppkey, s_suppkey % 12 * 60 AS a, (12 + s_suppkey % 10) * 60 + 30 AS b FROM supplier)
+      SELECT s_suppkey, d::INT AS weekday, a::INT AS start, b::INT AS "end" FROM s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS d) WHERE s_suppkey % 2 = 0 OR d <> 2
+      UNION ALL SELECT s_suppkey, 6, 1320, 1560 FROM s WHERE s_suppkey % 2 = 0""",
+}

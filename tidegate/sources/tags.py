@@ -56,7 +56,7 @@ def facts(elements: DataFrame, now: Column) -> DataFrame:
     phone = F.coalesce(t["phone"], t["contact:phone"])
     open_ = F.when(~F.coalesce(t["opening_hours"].isin("off", "closed"), F.lit(True)), t["opening_hours"])
     admission = F.coalesce(
-        said("admission", F.when(t["access"].isin("private", "members", "customers"), "members_only"), 0.7),
+        said("admission", F.when(t["access"].isin("private", "no", "members", "permit", "residents"), "members_only"), 0.7),
         said("admission", F.when(t["reservation"] == "required", "reservation"), 0.7),
         said("admission", F.when((t["fee"] == "yes") & cat.isin(TICKETED), "ticket"), 0.6),
         guess("admission", F.when(t["leisure"] == "escape_game", "reservation"), 0.6),
@@ -72,11 +72,13 @@ def facts(elements: DataFrame, now: Column) -> DataFrame:
         guess("price", F.when(cat.isin(OUTDOOR) & ~F.coalesce(t["natural"] == "beach", F.lit(False)), "free"), 0.6),
         guess("price", F.when(cat == "library", "free"), 0.7),
     )
+    wheel = F.lower(F.trim(t["wheelchair"]))
+    step_free = F.when(wheel == "designated", "yes").when(wheel.isin("yes", "limited", "no"), wheel)
     age = F.when(t["min_age"].rlike(r"^\d{1,2}$") & (t["min_age"].try_cast("int") <= 25), t["min_age"])
     every = F.array_compact(
         F.array(
             said("name", F.nullif(F.trim(t["name"]), F.lit("")), 0.9), said("category", cat, 0.8), status, said("opening_hours", open_, hours_confidence(F.col("edited"), now)), said("website", site, 0.8),
-            said("phone", phone, 0.8), said("takeout", F.when(t["takeaway"].isin("yes", "no", "only"), t["takeaway"]), 0.7), said("wheelchair", F.when(t["wheelchair"].isin("yes", "limited", "no"), t["wheelchair"]), 0.7),
+            said("phone", phone, 0.8), said("takeout", F.when(t["takeaway"].isin("yes", "no", "only"), t["takeaway"]), 0.7), said("wheelchair", step_free, 0.7),
             said("age_limit", age, 0.75), admission, price, guess("indoor_outdoor", F.when(cat.isNotNull(), F.when(cat.isin(OUTDOOR), "outdoor").otherwise("indoor")), 0.6),
         )
     )

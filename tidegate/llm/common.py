@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,20 @@ def id_filter(ids: DataFrame, key: str, bits: int = 1 << 23):
     return lambda c: marked(place(c))
 
 
+def text_slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str | None]]]:
+    """(start, texts): runs of at most `most` characters together, or one longer text."""
+    held, start, size = [], 0, 0
+    for i, item in enumerate(column):
+        text = item.as_py()
+        if held and size + len(text or "") > most:
+            yield start, held
+            held, start, size = [], i, 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield start, held
+
+
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)

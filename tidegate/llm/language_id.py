@@ -36,9 +36,12 @@ def _counts(rows: DataFrame, words_per_lang: int, grams_per_lang: int) -> list:
     """The most frequent units of each size (0: words) and language, with their totals."""
     counted = rows.groupBy("size", "lang", "unit").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("size", "lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "unit")))
     most = F.when(F.col("size") == 0, words_per_lang).otherwise(grams_per_lang)
-    return ranked.where(F.col("place") <= most).join(totals, ["size", "lang"]).select("size", "lang", "unit", "n", "total", "kinds").collect()
+    ranked = counted
+    for keys in (("size", "lang", F.pmod(F.xxhash64("unit"), F.lit(16))), ("size", "lang")):  # first in salted parts
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "unit"))
+        ranked = ranked.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return ranked.join(totals, ["size", "lang"]).select("size", "lang", "unit", "n", "total", "kinds").collect()
 
 
 def _table(rows: list, langs: list[str]) -> dict[str, tuple[float, ...]]:
@@ -85,46 +88,79 @@ class _Scorer(dict):
     def __init__(self, model: LanguageModel, room: int = 500_000):
         super().__init__()
         self.model, self.room = model, room
+        units = [(0, model.words), *sorted(model.grams.items(), reverse=True)]
+        self.values = np.array([v for _, t in units for v in t.values()] or [()], dtype=np.float32).reshape(-1, max(1, len(model.langs)))
+        self.at: dict[int, dict[str, int]] = {}
+        n = 0
+        for size, table in units:
+            self.at[size] = dict(zip(table, range(n, n + len(table)), strict=True))
+            n += len(table)
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.used = 1  # row 0: no letters
-        self.table = np.zeros((4096, max(1, len(self.model.langs))), dtype=np.float32)
-
-    def __missing__(self, token: str) -> int:
-        row = 0
-        parts = "".join(c if c.isalpha() else " " for c in token).split()
-        if parts:
-            row, self.used = self.used, self.used + 1
-            if row >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[row] = np.sum([self.of_word(p) for p in parts], axis=0) / len(parts)
-        self[token] = row
-        return row
-
-    def of_word(self, word: str) -> tuple[float, ...]:
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        padded = f"^{word}$"
-        for n, table in sorted(self.model.grams.items(), reverse=True):
-            seen = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i : i + n])) is not None]
-            if seen:
-                return tuple(np.mean(seen, axis=0))
-        return (0.0,) * len(self.model.langs)
-
-    def predict(self, text: str | None, evidence: int) -> tuple[str, float]:
-        if text is None:
-            return UNKNOWN, 0.0
-        rows = np.fromiter(map(self.__getitem__, text.lower().split()), dtype=np.int64)
-        rows = rows[rows > 0]
-        if not len(rows) or not self.model.langs:
-            return UNKNOWN, 0.0
-        mean = self.table[rows].mean(axis=0, dtype=np.float64)
-        p = np.exp((mean - mean.max()) * min(len(rows), evidence))
-        best = int(p.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
+        self.table = np.zeros((4096, self.values.shape[1]), dtype=np.float32)
+
+    def units_of(self, token: str) -> list[list[int]]:
+        """For each word of a token the rows of its units; none: nothing is known."""
+        parts = [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
+        found, words = [], self.at[0]
+        for word in parts:
+            if (row := words.get(word)) is not None:
+                found.append([row])
+                continue
+            padded = f"^{word}$"
+            for size, table in self.at.items():
+                if size and (seen := [v for i in range(len(padded) - size + 1) if (v := table.get(padded[i : i + size])) is not None]):
+                    found.append(seen)
+                    break
+            else:
+                found.append([])
+        return found
+
+    def learn(self, tokens: set[str]) -> None:
+        """Makes the rows of new tokens: the mean over a token's words of the mean over units."""
+        flat, weights, starts, fresh = [], [], [], 0
+        for token in tokens:
+            units = self.units_of(token)
+            if not units:
+                self[token] = 0
+                continue
+            self[token] = self.used + fresh
+            fresh += 1
+            starts.append(len(flat))
+            for rows in filter(None, units):
+                flat.extend(rows)
+                weights.extend([1.0 / (len(units) * len(rows))] * len(rows))
+            if starts[-1] == len(flat):
+                flat.append(0)
+                weights.append(0.0)
+        if not fresh:
+            return
+        while self.used + fresh > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        rows = self.values[np.array(flat)] * np.array(weights, dtype=np.float32)[:, None]
+        self.table[self.used : self.used + fresh] = np.add.reduceat(rows, np.array(starts), axis=0)
+        self.used += fresh
+
+    def predict(self, texts: list[str | None], evidence: int) -> list[tuple[str, float]]:
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        split = [(t or "").lower().split() for t in texts]
+        self.learn(set().union(*split).difference(self.keys()))
+        found = []
+        for tokens in split:
+            rows = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            rows = rows[rows > 0]
+            if not len(rows):
+                found.append((UNKNOWN, 0.0))
+                continue
+            mean = self.table[rows].mean(axis=0, dtype=np.float64)
+            p = np.exp((mean - mean.max()) * min(len(rows), evidence))
+            best = int(p.argmax())
+            found.append((self.model.langs[best], float(p[best] / p.sum())))
+        return found
 
 
 _SCORERS: dict[str, _Scorer] = {}
@@ -147,11 +183,13 @@ def predictor(spark, model: LanguageModel, evidence: int = 20):
         scorer = _SCORERS[mark]
         for series in texts:
             found = []
-            for text in series:
+            for i in range(0, len(series), 256):
                 if len(scorer) > scorer.room:
                     scorer.reset()
-                found.append(scorer.predict(text, evidence))
+                found += scorer.predict(series.iloc[i : i + 256].tolist(), evidence)
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
+        if len(scorer) > scorer.room // 2:
+            scorer.reset()
 
     return predict
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import hashed_words, id_filter, mix64, written
+from tidegate.llm.common import hashed_words, id_filter, mix64, text_slices, written
 from tidegate.llm.components import connected_components
 
 BITS = 512
@@ -137,16 +137,17 @@ def _digest(docs: DataFrame, size: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), size)
-            bits = np.zeros((len(sets), BITS), dtype=np.uint8)
-            for row, s in zip(bits, sets, strict=True):
-                row[:] = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-            packed = np.packbits(bits, axis=1).view(np.int64).ravel() if len(sets) else np.zeros(0, dtype=np.int64)
-            offsets = np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed))],
-                names=["doc_id", "n", "class", "bits"],
-            )
+            for start, texts in text_slices(batch.column(1)):
+                sets = shingle_sets(texts, size)
+                bits = np.zeros((len(sets), BITS), dtype=np.uint8)
+                for row, s in zip(bits, sets, strict=True):
+                    row[:] = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                packed = np.packbits(bits, axis=1).view(np.int64).ravel()
+                offsets = np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed))],
+                    names=["doc_id", "n", "class", "bits"],
+                )
 
     return docs.mapInArrow(of, DIGEST)
 
@@ -157,19 +158,16 @@ def _signatures(docs: DataFrame, size: int, bands: tuple[int, int, int, int]) ->
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, met = Bands(*bands), set()
         for batch in batches:
-            sigs, classes, held = [], [], 0
-            for s in shingle_sets(batch.column(1).to_pylist(), size):
-                if len(s) and (c := set_class(s)) not in met:
-                    if len(met) < 1_000_000:
-                        met.add(c)
-                    sigs.append(kinds.signatures(s))
-                    classes.append(np.full(len(sigs[-1]), c, dtype=np.int64))
-                    held += len(sigs[-1])
-                if held > 500_000:
+            for _, texts in text_slices(batch.column(1)):
+                sigs, classes = [], []
+                for s in shingle_sets(texts, size):
+                    if len(s) and (c := set_class(s)) not in met:
+                        if len(met) < 300_000:
+                            met.add(c)
+                        sigs.append(kinds.signatures(s))
+                        classes.append(np.full(len(sigs[-1]), c, dtype=np.int64))
+                if sigs:
                     yield _pairs(sigs, classes)
-                    sigs, classes, held = [], [], 0
-            if sigs:
-                yield _pairs(sigs, classes)
 
     return docs.mapInArrow(of, "sig long, class long")
 
@@ -179,19 +177,20 @@ def _pairs(sigs: list[np.ndarray], classes: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame, filter_bits: int) -> DataFrame:
-    """(doc_id, elements) of the documents in `wanted`, which has one column, doc_id.
+    """(doc_id, elements) of the documents in `wanted`, which has one column, doc_id, and of few others.
 
     A bitmap of fixed size, filter_bits, tells tasks which documents to hash, so
-    that texts need no shuffle; what it lets through besides is dropped by a join.
+    that texts need no shuffle; joins drop what it lets through besides.
     """
     may = id_filter(wanted, "doc_id", filter_bits)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "elements"])
+            for start, texts in text_slices(batch.column(1)):
+                sets = shingle_sets(texts, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "elements"])
 
-    return docs.where(may(F.col("doc_id"))).mapInArrow(of, "doc_id long, elements binary").join(wanted, "doc_id", "left_semi")
+    return docs.where(may(F.col("doc_id"))).mapInArrow(of, "doc_id long, elements binary")
 
 
 @F.pandas_udf(T.LongType())
@@ -203,12 +202,17 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 def _could_link(a: str, b: str, num: int, den: int) -> Column:
     """Whether sizes and bitmaps allow the similarity; never false for a link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.aggregate(F.zip_with(F.col(f"{a}.bits"), F.col(f"{b}.bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    x, y = F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    apart = F.lit(0)
+    for i in range(BITS // 64):
+        apart = apart + F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))))
     return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * apart <= (den - num) * (na + nb))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches num / den."""
+def _linked(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int, filter_bits: int) -> DataFrame:
+    """The written pairs (a, b) whose exact similarity reaches num / den."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = written(_sets(rows, size, ids, filter_bits), "sets")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
     n = F.length("x") / 8 + F.length("y") / 8
@@ -232,31 +236,28 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     group = Window.partitionBy("sig")
     shared = _signatures(rows, size, (num, den, parts, spare)).withColumn("low", F.min("class").over(group)).withColumn("high", F.max("class").over(group))
     shared = written(shared.where("low <> high").select("sig", "class").distinct(), "shared")
-    named = classes.join(shared.select("class").distinct(), "class", "left_semi")
-    named = written(named, "classes")
-    rows_of = written(shared.join(named, "class").select("sig", "id", "n", "bits"), "signed")
-    sets = written(_sets(rows, size, named.select(F.col("id").alias("doc_id")), filter_bits), "sets")
+    named = written(classes.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
+    signed = shared.join(named.select("class", "id"), "class").select("sig", "id")
+    about = lambda name, own: named.select(F.col("id").alias(name), F.struct("n", "bits").alias(own))
 
     # first pass: each class against the smallest class of its signatures
-    low = Window.partitionBy("sig").orderBy("id")
-    first = rows_of.select(F.struct("id", "n", "bits").alias("p"), F.first(F.struct("id", "n", "bits")).over(low).alias("q"))
-    tried = first.where((F.col("p.id") > F.col("q.id")) & _could_link("p", "q", num, den)).select(F.col("q.id").alias("a"), F.col("p.id").alias("b")).distinct()
-    edges = written(_linked(tried, sets, num, den), "edges")
+    first = signed.select(F.col("id").alias("b"), F.min("id").over(group).alias("a")).where("a < b").distinct()
+    tried = first.join(about("a", "p"), "a").join(about("b", "q"), "b").where(_could_link("p", "q", num, den)).select("a", "b")
+    edges = written(_linked(written(tried, "tried"), rows, size, num, den, filter_bits), "edges")
     found = connected_components(edges)
 
-    # second pass: what still stands in different components
-    labelled = rows_of.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # second pass: what still stands in different components; rows stay slim until the last join
+    labelled = signed.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo <> hi").drop("lo", "hi")
-    open_ = written(open_, "open")
-    biggest = open_.groupBy("sig", "component").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("big"))
-    sided = open_.join(biggest, "sig")
-    fields = F.struct("id", "n", "bits", "component", (F.col("component") != F.col("big")).alias("out"))
-    left = sided.where("component <> big").select("sig", fields.alias("p"))
-    right = sided.select("sig", fields.alias("q"))
+    members = F.count("*").over(Window.partitionBy("sig", "component"))
+    biggest = F.max(F.struct("members", "component")).over(group)["component"]
+    sided = written(open_.withColumn("members", members).withColumn("out", F.col("component") != biggest).select("sig", "id", "component", "out"), "open")
+    full = sided.join(named.select("id", "n", "bits"), "id").select("sig", F.struct("id", "n", "bits", "component", "out").alias("p"))
+    left, right = full.where("p.out"), full.select("sig", F.col("p").alias("q"))
     differ = (F.col("p.component") != F.col("q.component")) & (~F.col("q.out") | (F.col("p.id") < F.col("q.id"))) & _could_link("p", "q", num, den)
     rest = left.alias("l").join(right.alias("r"), (F.col("l.sig") == F.col("r.sig")) & differ)
-    late = rest.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    more = written(_linked(late, sets, num, den), "edges")
+    late = written(rest.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct(), "tried")
+    more = written(_linked(late, rows, size, num, den, filter_bits), "edges")
     final = connected_components(edges.union(more)) if not more.isEmpty() else found
 
     of_class = classes.select("class", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("class", F.coalesce("component", "id").alias("component"))

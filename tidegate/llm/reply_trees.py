@@ -52,10 +52,14 @@ def best_paths(nodes: DataFrame, per_tree: int = 1, salts: int = 16) -> DataFram
     linked = slim.alias("a").join(known.alias("b"), _on("a", "b", ("parent", "node")), "left")
     reach = written(linked.select("a.tree", "a.node", F.col("b.node").alias("up"), F.col("a.score").alias("sum")), "jump")
     base, total, jumps = reach, nodes.count(), []
-    while 2 ** len(jumps) <= max(1, total) and not reach.where("up is not null").isEmpty():
-        jumps.append(reach)
-        far = reach.alias("a").join(reach.alias("b"), _on("a", "b", ("up", "node")), "left")
-        reach = written(far.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.sum") + F.coalesce(F.col("b.sum"), F.lit(0.0))).alias("sum")), "jump")
+    while 2 ** len(jumps) <= max(1, total):
+        live = reach.where("up is not null")
+        if live.isEmpty():
+            break
+        jumps.append(live)
+        far = live.alias("a").join(reach.alias("b"), _on("a", "b", ("up", "node")))
+        moved = far.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.sum") + F.col("b.sum")).alias("sum"))
+        reach = written(reach.where("up is null").unionByName(moved), "jump")
     leaves = reach.where("up is null").alias("a").join(base.alias("b"), _on("a", "b", ("node", "up")), "left_anti").select("tree", "node", F.col("sum").alias("score"))
     order = (F.desc("score"), F.asc("node"))
     part = F.pmod(F.xxhash64("node"), F.lit(salts))
@@ -63,8 +67,7 @@ def best_paths(nodes: DataFrame, per_tree: int = 1, salts: int = 16) -> DataFram
         leaves = leaves.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= per_tree).drop("_n")
     paths = leaves.select("tree", F.col("node").alias("path"), F.lit(0).cast("long").alias("place"), "node")
     for k in reversed(range(len(jumps))):
-        hop = jumps[k].where("up is not null")
-        further = paths.alias("a").join(hop.alias("b"), _on("a", "b", ("node", "node")))
+        further = paths.alias("a").join(jumps[k].alias("b"), _on("a", "b", ("node", "node")))
         paths = written(paths.unionByName(further.select("a.tree", "a.path", (F.col("a.place") + 2**k).alias("place"), F.col("b.up").alias("node"))), "paths")
     return paths
 

@@ -1,12 +1,13 @@
 """The pipeline's stages against plain Python."""
 
+import re
 import zlib
 
 import corpus_pipeline as P
 from tests.llm.test_documents import check_packing
 from tests.llm.test_pairs_and_models import brute_components
 
-from tidegate.llm import line_dedup, quality_rules
+from tidegate.llm import language_id, line_dedup, quality_rules
 
 
 def test_stages(spark, sf_dir):
@@ -20,7 +21,9 @@ def test_stages(spark, sf_dir):
     first, second, third, fourth = seen.values()
     assert set(fourth) <= set(third) == set(second) <= set(first)
     raw = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    assert set(first) == {i for i, r in raw.items() if any(c.isalpha() for c in r.text or "")}
+    judged = language_id.documents_language(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    assert set(first) == {r.doc_id for r in judged if any(c.isalpha() for c in r.text or "") and r.score >= P.LEAST_SCORE}
+    assert set(first) >= {i for i, r in raw.items() if len(re.findall(r"[^\W\d_]+", r.text or "")) >= 2}
     signals = {r.doc_id: r for r in quality_rules.with_signals(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     assert set(second) <= {i for i in first if not signals[i].base_failed}
     assert all(r.n_chars == len(r.text) for r in third.values())

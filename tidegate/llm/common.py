@@ -80,7 +80,7 @@ def id_filter(ids: DataFrame, key: str, bits: int = 1 << 23):
     return lambda c: marked(place(c))
 
 
-def text_slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str | None]]]:
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """(start, texts): runs of at most `most` characters together, or one longer text."""
     held, start, size = [], 0, 0
     for i, item in enumerate(column):

@@ -85,7 +85,7 @@ def train(
 class _Scorer(dict):
     """Maps a token of a text to its row in a table of scores, made on first sight."""
 
-    def __init__(self, model: LanguageModel, room: int = 500_000):
+    def __init__(self, model: LanguageModel, room: int = 150_000):
         super().__init__()
         self.model, self.room = model, room
         units = [(0, model.words), *sorted(model.grams.items(), reverse=True)]

@@ -84,7 +84,7 @@ def default_vocabulary() -> str:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized_pieces(docs: DataFrame, window: int = 2048, vocabulary: str | None = None, end_id: int = 0, with_ids: bool = False, room: int = 400_000) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, window: int = 2048, vocabulary: str | None = None, end_id: int = 0, with_ids: bool = False, room: int = 200_000) -> DataFrame:
     """One row per piece of each document: its ids followed by end_id.
 
     Documents of more than `window` ids are cut; the first piece takes the rest

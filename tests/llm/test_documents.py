@@ -93,6 +93,15 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_go_from_short_documents_too(spark):
+    shared = ["Licensed to all who read this page", "Follow us on every other site as well"]
+    texts = [f"own {i}\n{shared[0]}\n{shared[1]}" for i in range(9)] + ["\n".join(shared), f"{shared[1]}\n\nx"]
+    df = spark.createDataFrame([(i, t, "en", f"site{i}", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert all(got[i].text == f"own {i}" and got[i].n_removed == 2 for i in range(9)) and got[10].text == "\nx"
+    assert got[9].text == texts[9] and got[9].n_spread == 2 and got[9].n_removed == 0  # no line of its own: a copy
+
+
 def tokens(text):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -43,26 +43,25 @@ def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_
     return likely.where(F.col("sites") > high).select("line", "sites").unionByName(exact.where(F.col("sites") >= min_sites))
 
 
-def drop_lines(docs: DataFrame, spread: DataFrame, key: str = "doc_id", text: str = "text", max_share: float = 0.3) -> DataFrame:
+def drop_lines(docs: DataFrame, spread: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their boilerplate lines, with counts of what went.
 
     Adds n_lines (lines with a visible character), n_spread (those in `spread`)
-    and n_removed. A document more than max_share of whose visible characters
-    lie in such lines is a copy rather than a carrier of boilerplate and stays
-    whole, for the removal of near duplicates. Lines without a visible
-    character always stay. A null text stays null, an empty one empty. Two
+    and n_removed. A document that has no line of its own, every visible one
+    being in `spread`, is a copy rather than a carrier of boilerplate and stays
+    whole, for the removal of near duplicates; every other document loses all
+    its spread lines, however many they are. Lines without a visible character
+    always stay. A null text stays null, an empty one empty. Two
     rows with the same key are not told apart: give each document its own.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    visible = F.length(F.regexp_replace("line", f"[{SPACE}]+", ""))
     rows = docs.select(F.col(key).alias("_key"), F.posexplode(lines).alias("pos", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
-    marked = rows.select("_key", "pos", visible.alias("size"), line_key(F.col("line")).alias("line"))
-    hits = marked.join(spread.select("line"), "line", "left_semi").groupBy("_key").agg(F.sort_array(F.collect_list("pos")).alias("_at"), F.sum("size").alias("_size"), F.count("*").alias("_hits"))
+    marked = rows.select("_key", "pos", line_key(F.col("line")).alias("line"))
+    hits = marked.join(spread.select("line"), "line", "left_semi").groupBy("_key").agg(F.sort_array(F.collect_list("pos")).alias("_at"), F.count("*").alias("_hits"))
     out = docs.join(hits, docs[key] == hits["_key"], "left")
-    whole = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACE}]+", ""))
-    cut = F.coalesce(F.col("_size") <= F.lit(max_share) * whole, F.lit(False))
     kept = F.concat_ws("\n", F.filter(lines, lambda line, i: ~F.array_contains("_at", i.cast("int"))))
     n_lines = F.size(F.filter(lines, lambda line: line.rlike(f"[^{SPACE}]")))
+    cut = F.coalesce(F.col("_hits") < n_lines, F.lit(False))
     old = [c for c in docs.columns if c not in (text, "n_lines", "n_spread", "n_removed")]
     hit = F.coalesce(F.col("_hits"), F.lit(0)).cast("long")
     return out.select(
@@ -70,9 +69,9 @@ def drop_lines(docs: DataFrame, spread: DataFrame, key: str = "doc_id", text: st
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, max_share: float = 0.3) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8) -> DataFrame:
     """spread_lines, then drop_lines. An empty table gives an empty one."""
-    return drop_lines(docs, spread_lines(docs, text, site, min_sites), key, text, max_share)
+    return drop_lines(docs, spread_lines(docs, text, site, min_sites), key, text)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -81,6 +81,19 @@ def test_language_edge_cases(spark):
     assert language_id.identify(docs(spark, ["the"]), none).first().lang_pred == "und"
 
 
+def test_rare_language_is_sampled_whole_and_draws_nothing_in(spark):
+    common = [" ".join(f"{a}{b}{'aeiou'[(i + k) % 5]}lo" for k, (a, b) in enumerate(zip("bcdfghjklm", "eiouaeioua"))) for i in range(2000)]
+    rare = [f"žu{x} ňe{x} ťo{x}" for x in "abcde"]
+    rows = [(i, t, "en" if i < 2000 else "xx", "s", 0) for i, t in enumerate(common + rare)]
+    model = language_id.train(spark.createDataFrame(rows, SCHEMA), sample_docs=100)
+    assert {f"{w}{x}" for x in "abcde" for w in ("žu", "ňe", "ťo")} <= set(model.words)  # a share of 100 in 2,005 would drop most
+    assert language_id._most_each([5, 2000], 100) == 95 and language_id._most_each([5, 6], 100) == 6
+    floors = [min(v[i] for v in model.words.values()) for i in range(2)]
+    assert floors[0] == floors[1]
+    got = language_id.identify(docs(spark, [*rare, *common[:20]]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["xx"] * 5 + ["en"] * 20
+
+
 def test_lines(spark):
     shared, own = "Read this on every site", "word " * 60
     texts = [f"{own}{i}\n  {shared}\nend {i}" for i in range(9)] + [shared, None, "", "\n\n", f"{own}x\n{shared}"]

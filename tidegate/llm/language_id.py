@@ -47,21 +47,35 @@ def _counts(rows: DataFrame, words_per_lang: int, grams_per_lang: int) -> list:
 def _table(rows: list, langs: list[str]) -> dict[str, tuple[float, ...]]:
     at = {lang: i for i, lang in enumerate(langs)}
     totals = {r.lang: (r.total, r.kinds) for r in rows}
-    none = [math.log(0.5 / (totals[x][0] + 0.5 * totals[x][1] + 1)) if x in totals else -30.0 for x in langs]
+    # one number of kinds and one floor for all: a language of few tokens must not give unseen units more than the others do
+    kinds = max(k for _, k in totals.values())
+    none = [math.log(0.5 / (max(t for t, _ in totals.values()) + 0.5 * kinds + 1))] * len(langs)
     found: dict[str, list[float]] = {}
     for r in rows:
-        found.setdefault(r.unit, list(none))[at[r.lang]] = math.log((r.n + 0.5) / (r.total + 0.5 * r.kinds + 1))
+        found.setdefault(r.unit, list(none))[at[r.lang]] = math.log((r.n + 0.5) / (r.total + 0.5 * kinds + 1))
     return {k: tuple(v) for k, v in found.items()}
 
 
+def _most_each(counts: list[int], total: int) -> int:
+    """The most rows of each language that keep the sum within total: rare languages are taken whole."""
+    left = total
+    for i, n in enumerate(sorted(counts)):
+        most = max(1, left // (len(counts) - i))
+        if n > most:
+            return most
+        left -= n
+    return max(counts)
+
+
 def train(
     docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 20_000, words_per_lang: int = 20_000, grams_per_lang: int = 10_000, longest: int = 4, max_langs: int = 64
 ) -> LanguageModel:
     """Learns from at most about sample_docs labelled rows.
 
-    The sample takes the same share of every language by a hash of the key, so
-    its size, and with words_per_lang, grams_per_lang and max_langs the size of
-    the model, does not grow with the corpus. Rows with a null text or language
+    The sample takes all rows of rare languages and about equally many of each
+    common one, by a hash of the key, so its size, and with words_per_lang,
+    grams_per_lang and max_langs the size of the model, does not grow with the
+    corpus. Only the max_langs most frequent languages are learnt. Rows with a null text or language
     teach nothing; without any labelled row the model knows no language.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -69,8 +83,9 @@ def train(
     langs = [r["lang"] for r in sizes]
     if not langs:
         return LanguageModel([], {})
-    share = min(1.0, sample_docs / sum(r["count"] for r in sizes))
-    taken = rows.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))))
+    most = _most_each([r["count"] for r in sizes], sample_docs)
+    below = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], math.ceil(min(1.0, most / r["count"]) * (1 << 40)))))
+    taken = rows.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < below[F.col("lang")].cast("long")))
     spread = taken.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = written(spread.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     cut = F.expr(f"flatten(transform(sequence(1, {longest}), n -> transform(sequence(0, greatest(0, length(p) - n)), i -> substring(p, i + 1, n))))")

@@ -3,6 +3,7 @@
 from collections import namedtuple
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegate.functions import clock, hours, text
@@ -103,6 +104,17 @@ def test_resolution_follows_the_best_earlier_record(spark):
     assert got == {1: (1, "new"), 2: (1, "auto"), 3: (1, "auto"), 4: (4, "review"), 5: (5, "new")}
 
 
+def test_resolution_of_a_long_chain(spark):
+    records = spark.range(1, 201).toDF("record_id")
+    pairs = spark.range(1, 200).selectExpr("id AS a_id", "id + 1 AS b_id", "0.9D AS score")
+    blocks = identity.components(records, pairs)
+    assert [r.block for r in blocks.select("block").distinct().collect()] == [1]
+    got = identity.resolve_blocks(records, pairs, blocks).collect()
+    assert len(got) == 200 and {r.entity_id for r in got} == {1} and sum(r.how == "new" for r in got) == 1
+    with pytest.raises(RuntimeError):
+        identity.resolve_blocks(records, pairs, rounds=2)
+
+
 def test_calendar_feed(spark):
     body = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Jazz\\, live and\r\n  loud\r\nDTSTART;TZID=America/New_York:20240601T200000\r\nDURATION:PT1H30M\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nDTSTART;VALUE=DATE:20240602\r\nSTATUS:CANCELLED\r\nRRULE:FREQ=DAILY\r\nEND:VEVENT\r\nEND:VCALENDAR"
     got = ical.parse(spark.createDataFrame([(7, body), (8, None)], "feed_id long, body string")).orderBy("uid").collect()

@@ -32,5 +32,5 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         moved = new.join(labels.withColumnRenamed("component", "was"), "node").where(F.col("component") != F.col("was")).limit(1).count()
         labels = new
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still move after {rounds} rounds")

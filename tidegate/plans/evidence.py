@@ -107,7 +107,7 @@ def identity_resolve(spark, d):
     v, pairs = _pairs(spark, d)
     ids = v.select(F.col("venue_id").alias("record_id"))
     scored = pairs.select("a_id", "b_id", "s.score")
-    return identity.resolve_blocks(ids, scored, identity.components(ids, scored))
+    return identity.resolve_blocks(ids, scored)
 
 
 def name_key(spark, d):

@@ -247,12 +247,74 @@ def test_class_model_scores(spark, sf_dir):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def brute_scores(texts, train, classes, clusters, strength=5.0):
+    """The model's score of each text, in plain Python, from the words' classes alone."""
+    split = lambda t: (t or "").encode().lower().split()
+    n = Counter(w for t in train for w in split(t))
+    tokens, once = sum(n.values()) + len(train), sum(c == 1 for c in n.values()) + (len(train) == 1)
+    cls = lambda w: classes[w] if w in n else clusters
+    end, total = clusters + 1, clusters + 2
+    m, mass = np.zeros((total, total)), np.ones(total)
+    for t in train:
+        path = [end, *(cls(w) for w in split(t)), end]
+        for a, z in zip(path, path[1:], strict=False):
+            m[a, z] += 1
+    share = (m.sum(axis=0) + 0.1) * (np.arange(total) != clusters)
+    share /= share.sum()
+    unseen = (once + 0.5) / (tokens + 1)
+    step = (1 - unseen) * (m + strength * share) / (m.sum(axis=1, keepdims=True) + strength)
+    step[:, clusters] = unseen
+    assert np.allclose(step.sum(axis=1), 1)
+    for c in range(clusters):
+        mass[c] = sum(k for w, k in n.items() if cls(w) == c) or 1
+    mass[clusters] = once + 1
+    found = []
+    for t in texts:
+        ws = split(t)
+        path = [end, *map(cls, ws), end]
+        found.append(sum(math.log10(step[a, z]) for a, z in zip(path, path[1:], strict=False)) + sum(math.log10(max(1, n[w]) / mass[cls(w)]) for w in ws))
+    return found
+
+
+@pytest.mark.parametrize("heads,frequent", [(6, 9), (6, 4000), (0, 0), (4000, 3)])
+def test_class_scores_equal_brute_force(spark, heads, frequent):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{int(rng.zipf(1.4)) % 60}"
+    train = [" ".join(word() for _ in range(int(rng.integers(0, 40)))) for _ in range(60)]
+    texts = [*train[:20], "W1 w2 nie w3 nie nie", None, "", train[3], train[3], "x " * 3000]
+    model, vocabulary = class_lm.train(table(spark, train), heads=heads, frequent=frequent, clusters=4)
+    rows = {r.word: r for r in vocabulary.collect()}
+    names = sorted({w for t in train for w in t.split()})
+    hashes = dict(zip(names, hashed_words([w.encode() for w in names])[0].view(np.int64).tolist(), strict=True))
+    assert set(rows) == set(hashes.values()) and all(0 <= r["class"] < 4 for r in rows.values())
+    classes = {w.encode(): rows[h]["class"] for w, h in hashes.items()}
+    got = {r.doc_id: r.score for r in class_lm.score(table(spark, texts), model, vocabulary).collect()}
+    for i, want in enumerate(brute_scores(texts, train, classes, 4)):
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
+
+
+def test_rare_words_join_their_like(spark):
+    rng = np.random.default_rng(4)
+    train = [" ".join(f"{'ab'[(i + j) % 2]}{rng.integers(0, 8)}" for j in range(30)) for i in range(200)] + ["a1 rareb a2", "b1 rarea b2", "a3 rareb a4", "b5 rarea b5"]
+    _, vocabulary = class_lm.train(table(spark, train), heads=16, frequent=16, clusters=2)
+    cls = {r.word: r["class"] for r in vocabulary.collect()}
+    of = lambda w: cls[int(hashed_words([w.encode()])[0].view(np.int64)[0])]
+    assert {of(f"a{i}") for i in range(8)} == {of("rarea")} != {of(f"b{i}") for i in range(8)} == {of("rareb")}
+
+
+def test_rows_that_share_a_key_are_scored_apart(spark):
+    model, words = class_lm.train(table(spark, ["a b a b a", "b a b"]), heads=2, frequent=2, clusters=2)
+    rows = spark.createDataFrame([(1, "a"), (1, "b b"), (1, "b b"), (None, "zz")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in class_lm.score(rows, model, words).collect())
+    assert got == [(0, 2, 1), (1, 2, 2), (1, 3, 3), (1, 3, 3)]
+
+
 def test_class_model_edges(spark):
     train = table(spark, ["a b a b a", "b a b", None])
-    model, words = class_lm.train(train, heads=1, frequent=1, clusters=2, tails=3, rounds=2)
+    model, words = class_lm.train(train, heads=1, frequent=1, clusters=2)
     got = {r.doc_id: r for r in class_lm.score(table(spark, [None, "", "a", "zz yy zz", "A b"]).withColumn("word", F.lit(1)), model, words).collect()}
     assert got[0].n_tokens == got[1].n_tokens == 1 and got[0].score == got[1].score and got[3].n_known == 1 and got[4].n_known == 3
     assert all(r.score < 0 and r.base_score < 0 for r in got.values())
-    empty, none = class_lm.train(table(spark, []), heads=4, frequent=4, clusters=2, tails=3)
+    empty, none = class_lm.train(table(spark, []), heads=4, frequent=4, clusters=2)
     assert class_lm.score(table(spark, ["a"]), empty, none).first().n_known == 0
     assert class_lm.score(table(spark, []), model, words).count() == 0

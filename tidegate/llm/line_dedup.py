@@ -51,19 +51,21 @@ def drop_lines(docs: DataFrame, spread: DataFrame, key: str = "doc_id", text: st
     being in `spread`, is a copy rather than a carrier of boilerplate and stays
     whole, for the removal of near duplicates; every other document loses all
     its spread lines, however many they are. Lines without a visible character
-    always stay. A null text stays null, an empty one empty. Two
-    rows with the same key are not told apart: give each document its own.
+    always stay. A null text stays null, an empty one empty. Rows that share a
+    key are each judged by their own text, and repeated rows alike.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    rows = docs.select(F.col(key).alias("_key"), F.posexplode(lines).alias("pos", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
-    marked = rows.select("_key", "pos", line_key(F.col("line")).alias("line"))
-    hits = marked.join(spread.select("line"), "line", "left_semi").groupBy("_key").agg(F.sort_array(F.collect_list("pos")).alias("_at"), F.count("*").alias("_hits"))
-    out = docs.join(hits, docs[key] == hits["_key"], "left")
-    kept = F.concat_ws("\n", F.filter(lines, lambda line, i: ~F.array_contains("_at", i.cast("int"))))
+    body = F.xxhash64(F.col(text))
+    rows = docs.select(F.col(key).alias("_key"), body.alias("_body"), F.posexplode(lines).alias("pos", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
+    marked = rows.select("_key", "_body", "pos", line_key(F.col("line")).alias("line"))
+    hits = marked.join(spread.select("line"), "line", "left_semi").groupBy("_key", "_body").agg(F.collect_set("pos").alias("_at"))
+    out = docs.join(hits, docs[key].eqNullSafe(hits["_key"]) & (body == hits["_body"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_at"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     n_lines = F.size(F.filter(lines, lambda line: line.rlike(f"[^{SPACE}]")))
-    cut = F.coalesce(F.col("_hits") < n_lines, F.lit(False))
+    hit = F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at")).cast("long")
+    cut = (hit > 0) & (hit < n_lines)
     old = [c for c in docs.columns if c not in (text, "n_lines", "n_spread", "n_removed")]
-    hit = F.coalesce(F.col("_hits"), F.lit(0)).cast("long")
     return out.select(
         *(docs[c] for c in old), F.when(cut, kept).otherwise(F.col(text)).alias(text), n_lines.cast("long").alias("n_lines"), hit.alias("n_spread"), F.when(cut, hit).otherwise(F.lit(0).cast("long")).alias("n_removed")
     )
@@ -85,17 +87,15 @@ OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, coalesce(source, '') AS site, pos - 1 AS pos, line,
          regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k,
-         length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS size
+         regexp_matches(line, '[^\x20\x09-\x0D]') AS visible
   FROM (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
         FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-spread AS (SELECT k FROM l WHERE size > 0 GROUP BY k HAVING count(DISTINCT site) >= 8),
-m AS (SELECT l.*, size > 0 AND k IN (SELECT k FROM spread) AS hit FROM l),
-d AS (SELECT doc_id, count(*) FILTER (size > 0) AS n_lines, count(*) FILTER (hit) AS n_spread,
-             coalesce(sum(size) FILTER (hit), 0) <= 0.3 * sum(size) AS cut
-      FROM m GROUP BY doc_id),
+spread AS (SELECT k FROM l WHERE visible GROUP BY k HAVING count(DISTINCT site) >= 8),
+m AS (SELECT l.*, visible AND k IN (SELECT k FROM spread) AS hit FROM l),
+d AS (SELECT doc_id, count(*) FILTER (visible) AS n_lines, count(*) FILTER (hit) AS n_spread FROM m GROUP BY doc_id),
 t AS (SELECT m.doc_id, any_value(n_lines) AS n_lines, any_value(n_spread) AS n_spread,
-             any_value(CASE WHEN cut THEN n_spread ELSE 0 END) AS n_removed,
-             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (hit AND cut)), '') AS text
+             any_value(CASE WHEN n_spread < n_lines THEN n_spread ELSE 0 END) AS n_removed,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (hit AND n_spread < n_lines)), '') AS text
       FROM m JOIN d USING (doc_id) GROUP BY m.doc_id)
 SELECT doc_id, n_lines, n_spread, n_removed, length(text) AS chars_left, sha256(text) AS text_sha256 FROM t
 """

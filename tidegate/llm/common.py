@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,11 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is the one the session names in spark.checkpoint.dir; only where that is
-    unset, as in tests on one machine, a temporary folder is named there.
+    unset and all runs in one process, as in tests, a temporary folder is named
+    there. On a cluster a folder must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     own = getattr(spark, "_tidegate_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tidegate-")
@@ -57,6 +63,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what this Python worker holds but does not use; workers outlive their tasks."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def id_filter(ids: DataFrame, key: str, bits: int = 1 << 23):
     """A column function from keys to whether a key may be among `ids`.
 

@@ -14,46 +14,68 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegate.llm.common import bucket_of, written
+from tidegate.llm.common import bucket_of, give_back, text_slices, written
 
 UNKNOWN = "und"
+#: The seed of Spark's xxhash64; for one string it is the plain XXH64.
+_SEED = 42
+
+
+def unit_keys(units: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each string."""
+    return np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), _SEED) for u in units), dtype=np.uint64, count=len(units)).view(np.int64)
+
+
+@dataclass
+class Units:
+    """Units of one size: sorted keys, and for each the languages that have it.
+
+    Unit i lies in the entries starts[i]..starts[i + 1]; gains are the log
+    frequencies above that of a unit which a language has never shown.
+    """
+
+    keys: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for one that isn't there."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
 
 
 @dataclass
 class LanguageModel:
-    """Per-language log frequencies of words and of n-grams, in the order of langs."""
+    """The units of each size (0: words) in the order of langs."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
-
-
-def _counts(rows: DataFrame, words_per_lang: int, grams_per_lang: int) -> list:
-    """The most frequent units of each size (0: words) and language, with their totals."""
-    counted = rows.groupBy("size", "lang", "unit").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("size", "lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    most = F.when(F.col("size") == 0, words_per_lang).otherwise(grams_per_lang)
-    ranked = counted
-    for keys in (("size", "lang", F.pmod(F.xxhash64("unit"), F.lit(16))), ("size", "lang")):  # first in salted parts
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "unit"))
-        ranked = ranked.withColumn("place", place).where(F.col("place") <= most).drop("place")
-    return ranked.join(totals, ["size", "lang"]).select("size", "lang", "unit", "n", "total", "kinds").collect()
-
-
-def _table(rows: list, langs: list[str]) -> dict[str, tuple[float, ...]]:
-    at = {lang: i for i, lang in enumerate(langs)}
-    totals = {r.lang: (r.total, r.kinds) for r in rows}
-    # one number of kinds and one floor for all: a language of few tokens must not give unseen units more than the others do
-    kinds = max(k for _, k in totals.values())
-    none = [math.log(0.5 / (max(t for t, _ in totals.values()) + 0.5 * kinds + 1))] * len(langs)
-    found: dict[str, list[float]] = {}
-    for r in rows:
-        found.setdefault(r.unit, list(none))[at[r.lang]] = math.log((r.n + 0.5) / (r.total + 0.5 * kinds + 1))
-    return {k: tuple(v) for k, v in found.items()}
+    units: dict[int, Units] = field(default_factory=dict)
+
+
+def _units(rows: pa.Table, langs: int) -> Units:
+    """From (lang, key, n) rows of one size, lang being a number.
+
+    All languages share one number of kinds and one floor: one of few tokens must
+    not give unseen units more than the others do. The floor cancels between
+    languages, so only what lies above it is kept.
+    """
+    lang, key, n = (c.to_numpy() for c in rows.columns)
+    order = np.lexsort([lang, key])
+    lang, key, n = lang[order], key[order], n[order]
+    totals, kinds = np.bincount(lang, n, langs), np.bincount(lang).max()
+    floor = math.log(0.5 / (totals.max() + 0.5 * kinds + 1))
+    gains = np.log((n + 0.5) / (totals[lang] + 0.5 * kinds + 1)) - floor
+    keys, starts = np.unique(key, return_index=True)
+    return Units(keys, np.append(starts, len(key)).astype(np.int32), lang.astype(np.int32), gains.astype(np.float32))
 
 
 def _most_each(counts: list[int], total: int) -> int:
@@ -67,101 +89,106 @@ def _most_each(counts: list[int], total: int) -> int:
     return max(counts)
 
 
-def train(
-    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 20_000, words_per_lang: int = 20_000, grams_per_lang: int = 10_000, longest: int = 4, max_langs: int = 64
-) -> LanguageModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 10_000, longest: int = 4) -> LanguageModel:
     """Learns from at most about sample_docs labelled rows.
 
     The sample takes all rows of rare languages and about equally many of each
-    common one, by a hash of the key, so its size, and with words_per_lang,
-    grams_per_lang and max_langs the size of the model, does not grow with the
-    corpus. Only the max_langs most frequent languages are learnt. Rows with a null text or language
-    teach nothing; without any labelled row the model knows no language.
+    common one, by a hash of the key, so its size does not grow with the corpus;
+    every language, word and n-gram of the sample is learnt. The list of
+    languages and the counts of the sample's units reach the driver. Rows with a
+    null text or language teach nothing; without any labelled row the model
+    knows no language.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect(), key=lambda r: r["lang"])
+    sizes = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     langs = [r["lang"] for r in sizes]
     if not langs:
-        return LanguageModel([], {})
+        return LanguageModel([])
     most = _most_each([r["count"] for r in sizes], sample_docs)
-    below = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], math.ceil(min(1.0, most / r["count"]) * (1 << 40)))))
-    taken = rows.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < below[F.col("lang")].cast("long")))
-    spread = taken.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counted = written(spread.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    shares = spark.createDataFrame([(r["lang"], i, math.ceil(min(1.0, most / r["count"]) * (1 << 40))) for i, r in enumerate(sizes)], "lang string, at int, below long")
+    taken = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < F.col("below"))
+    spread = taken.select("at", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    counted = written(spread.groupBy("at", "word").agg(F.count("*").alias("n")), "words")
     cut = F.expr(f"flatten(transform(sequence(1, {longest}), n -> transform(sequence(0, greatest(0, length(p) - n)), i -> substring(p, i + 1, n))))")
     padded = counted.withColumn("p", F.concat(F.lit("^"), "word", F.lit("$")))
-    grams = padded.select("lang", "n", F.explode(cut).alias("unit")).withColumn("size", F.length("unit"))
-    units = counted.select(F.lit(0).alias("size"), "lang", F.col("word").alias("unit"), "n").unionByName(grams)
-    found = _counts(units, words_per_lang, grams_per_lang)
-    tables = {size: _table([r for r in found if r["size"] == size], langs) for size in {r["size"] for r in found}}
-    return LanguageModel(langs, tables.pop(0, {}), tables)
+    grams = padded.select("at", "n", F.explode(cut).alias("unit")).withColumn("size", F.length("unit"))
+    units = counted.select(F.lit(0).alias("size"), "at", F.col("word").alias("unit"), "n").unionByName(grams)
+    found = written(units.groupBy("size", F.col("at").alias("lang"), F.xxhash64("unit").alias("key")).agg(F.sum("n").alias("n")), "units")
+    model = LanguageModel(langs)
+    for size in range(longest + 1):
+        rows = found.where(F.col("size") == size).select("lang", "key", "n").toArrow()
+        if rows.num_rows:
+            model.units[size] = _units(rows, len(langs))
+    return model
 
 
 class _Scorer(dict):
     """Maps a token of a text to its row in a table of scores, made on first sight."""
 
-    def __init__(self, model: LanguageModel, room: int = 150_000):
+    def __init__(self, model: LanguageModel, room: int = 60_000):
         super().__init__()
         self.model, self.room = model, room
-        units = [(0, model.words), *sorted(model.grams.items(), reverse=True)]
-        self.values = np.array([v for _, t in units for v in t.values()] or [()], dtype=np.float32).reshape(-1, max(1, len(model.langs)))
-        self.at: dict[int, dict[str, int]] = {}
-        n = 0
-        for size, table in units:
-            self.at[size] = dict(zip(table, range(n, n + len(table)), strict=True))
-            n += len(table)
+        self.grams = [(size, model.units[size]) for size in sorted(model.units, reverse=True) if size]
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.used = 1  # row 0: no letters
-        self.table = np.zeros((4096, self.values.shape[1]), dtype=np.float32)
-
-    def units_of(self, token: str) -> list[list[int]]:
-        """For each word of a token the rows of its units; none: nothing is known."""
-        parts = [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
-        found, words = [], self.at[0]
-        for word in parts:
-            if (row := words.get(word)) is not None:
-                found.append([row])
-                continue
-            padded = f"^{word}$"
-            for size, table in self.at.items():
-                if size and (seen := [v for i in range(len(padded) - size + 1) if (v := table.get(padded[i : i + size])) is not None]):
-                    found.append(seen)
-                    break
-            else:
-                found.append([])
-        return found
+        self.table = np.zeros((4096, max(1, len(self.model.langs))), dtype=np.float32)
 
     def learn(self, tokens: set[str]) -> None:
         """Makes the rows of new tokens: the mean over a token's words of the mean over units."""
-        flat, weights, starts, fresh = [], [], [], 0
+        words: list[str] = []
+        counts: list[int] = []
+        first = self.used
         for token in tokens:
-            units = self.units_of(token)
-            if not units:
+            parts = [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
+            if parts:
+                self[token] = first + len(counts)
+                counts.append(len(parts))
+                words.extend(parts)
+            else:
                 self[token] = 0
-                continue
-            self[token] = self.used + fresh
-            fresh += 1
-            starts.append(len(flat))
-            for rows in filter(None, units):
-                flat.extend(rows)
-                weights.extend([1.0 / (len(units) * len(rows))] * len(rows))
-            if starts[-1] == len(flat):
-                flat.append(0)
-                weights.append(0.0)
-        if not fresh:
+        if not counts:
             return
-        while self.used + fresh > len(self.table):
+        fresh, wide = len(counts), self.table.shape[1]
+        owner = np.repeat(np.arange(fresh), counts)
+        weight = np.repeat(1.0 / np.array(counts), counts)
+        sums = np.zeros(fresh * wide)
+
+        def add(units: Units, row: np.ndarray, token: np.ndarray, by: np.ndarray) -> None:
+            lens = units.starts[row + 1] - units.starts[row]
+            at = np.repeat(units.starts[row] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum()))
+            sums[:] += np.bincount(np.repeat(token, lens) * wide + units.langs[at], np.repeat(by, lens) * units.gains[at], fresh * wide)
+
+        place = self.model.units[0].find(unit_keys(words)) if 0 in self.model.units else np.full(len(words), -1)
+        seen = place >= 0
+        if seen.any():
+            add(self.model.units[0], place[seen], owner[seen], weight[seen])
+        todo = np.flatnonzero(~seen)
+        for size, units in self.grams:
+            if not len(todo):
+                break
+            padded = [f"^{words[i]}$" for i in todo.tolist()]
+            many = np.array([max(0, len(p) - size + 1) for p in padded])
+            of = np.repeat(np.arange(len(todo)), many)
+            place = units.find(unit_keys([p[i : i + size] for p, n in zip(padded, many.tolist(), strict=True) for i in range(n)]))
+            known = place >= 0
+            hits = np.bincount(of[known], minlength=len(todo))
+            if known.any():
+                add(units, place[known], owner[todo][of[known]], (weight[todo] / np.maximum(hits, 1))[of[known]])
+            todo = todo[hits == 0]
+        while first + fresh > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        rows = self.values[np.array(flat)] * np.array(weights, dtype=np.float32)[:, None]
-        self.table[self.used : self.used + fresh] = np.add.reduceat(rows, np.array(starts), axis=0)
+        self.table[first : first + fresh] = sums.reshape(fresh, wide)
         self.used += fresh
 
     def predict(self, texts: list[str | None], evidence: int) -> list[tuple[str, float]]:
         if not self.model.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
+        if len(self) > self.room:
+            self.reset()
         split = [(t or "").lower().split() for t in texts]
         self.learn(set().union(*split).difference(self.keys()))
         found = []
@@ -178,33 +205,28 @@ class _Scorer(dict):
         return found
 
 
-_SCORERS: dict[str, _Scorer] = {}
+VERDICT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def predictor(spark, model: LanguageModel, evidence: int = 20):
     """A column function from text to struct<lang_pred, score>.
 
     The score is the language's share of the likelihood when a text counts as at
-    most `evidence` words, so that repeated text can't make it certain.
+    most `evidence` words, so that repeated text can't make it certain. A task
+    keeps the scores of the tokens it meets, and drops them at its end.
     """
     sent = spark.sparkContext.broadcast(model)
-    mark = uuid.uuid4().hex
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = _Scorer(sent.value)
-        scorer = _SCORERS[mark]
-        for series in texts:
-            found = []
-            for i in range(0, len(series), 256):
-                if len(scorer) > scorer.room:
-                    scorer.reset()
-                found += scorer.predict(series.iloc[i : i + 256].tolist(), evidence)
-            yield pd.DataFrame(found, columns=["lang_pred", "score"])
-        if len(scorer) > scorer.room // 2:
-            scorer.reset()
+
+    @F.arrow_udf(VERDICT)
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _Scorer(sent.value)
+        for column in texts:
+            found: list[tuple[str, float]] = []
+            for _, part in text_slices(column, 1 << 19):
+                found += scorer.predict(part, evidence)
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+        scorer.reset()
+        give_back()
 
     return predict
 
@@ -219,7 +241,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", evidence
     """
     predict = predictor(docs.sparkSession, model, evidence)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predict(F.col(text)).alias("_lid")).select(*kept, "_lid.lang_pred", "_lid.score")
+    mark = f"_lid_{uuid.uuid4().hex[:8]}"
+    return docs.select(*kept, predict(F.col(text)).alias(mark)).select(*kept, f"{mark}.lang_pred", f"{mark}.score")
 
 
 def held_out(key: Column | str = "doc_id") -> Column:

@@ -21,13 +21,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidegate.llm.common import hashed_words, id_filter, mix64, text_slices, written
+from tidegate.llm.common import give_back, hashed_words, id_filter, mix64, text_slices, written
 from tidegate.llm.components import connected_components
 
 BITS = 512
@@ -148,6 +146,7 @@ def _digest(docs: DataFrame, size: int) -> DataFrame:
                     [batch.column(0).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed))],
                     names=["doc_id", "n", "class", "bits"],
                 )
+        give_back()
 
     return docs.mapInArrow(of, DIGEST)
 
@@ -168,6 +167,8 @@ def _signatures(docs: DataFrame, size: int, bands: tuple[int, int, int, int]) ->
                         classes.append(np.full(len(sigs[-1]), c, dtype=np.int64))
                 if sigs:
                     yield _pairs(sigs, classes)
+        met.clear()
+        give_back()
 
     return docs.mapInArrow(of, "sig long, class long")
 
@@ -188,15 +189,11 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame, filter_bits: int) -> Da
         for batch in batches:
             for start, texts in text_slices(batch.column(1)):
                 sets = shingle_sets(texts, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "elements"])
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "elements"])
+        give_back()
 
-    return docs.where(may(F.col("doc_id"))).mapInArrow(of, "doc_id long, elements binary")
-
-
-@F.pandas_udf(T.LongType())
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many elements two packed sets share."""
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return docs.where(may(F.col("doc_id"))).mapInArrow(of, "doc_id long, elements array<long>")
 
 
 def _could_link(a: str, b: str, num: int, den: int) -> Column:
@@ -215,12 +212,12 @@ def _linked(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int, fi
     sets = written(_sets(rows, size, ids, filter_bits), "sets")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-    n = F.length("x") / 8 + F.length("y") / 8
-    both = two.select("a", "b", n.cast("long").alias("n"), _common("x", "y").alias("c"))
+    # sets can be long: a column function meets one pair at a time, where a batch for Python would hold thousands
+    both = two.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("c"))
     return both.where(den * F.col("c") >= num * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: tuple[int, int] = (80, 100), parts: int = 1, spare: int = 0, filter_bits: int = 1 << 23) -> DataFrame:
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: tuple[int, int] = (80, 100), parts: int = 3, spare: int = 1, filter_bits: int = 1 << 23) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Documents link when the similarity of their sets is at least num / den; a
@@ -272,10 +269,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", **join: object) -> DataFra
     """
     dropped = written(join_components(docs, key, **join).where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "dropped")
     may = id_filter(dropped, key)(F.col(key))
-    marked = docs.withColumn("_may", may)
-    return marked.where(~F.col("_may")).drop("_may").unionByName(marked.where("_may").drop("_may").join(dropped, key, "left_anti"))
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), may.alias("may"))
+    doubtful = marked.where("may").select("doc.*").join(dropped, key, "left_anti")
+    return marked.where(~F.col("may")).select("doc.*").unionByName(doubtful)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return join_components(docs, size=3, similarity=(90, 100), parts=3, spare=1)
+    return join_components(docs, size=3, similarity=(90, 100))

@@ -9,6 +9,8 @@ among the pieces of its length; ranks come from a distributed window.
 
 from __future__ import annotations
 
+import base64
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -20,27 +22,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import written
+from tidegate.llm.common import give_back, written
 
 # ---- tokens
 
 
+#: A single space between visible characters: the vocabulary never joins what stands before it to what follows.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
 class _Ragged(Exception):
-    """Spaces stand together or at an end; the words are not independent."""
+    """Spaces stand together or at an end; words can't be told by single spaces alone."""
 
 
 class _Ids(dict):
-    """Ids, as bytes, of a word after a single space; kept for short words."""
+    """Ids, as bytes, of a word after a single space; kept for short words.
 
-    def __init__(self, ranks_path: str, room: int):
-        import base64
+    The vocabulary's ranks serve the search, as they give the tokenizer's ids
+    several times faster; texts with one of its added tokens go to the tokenizer.
+    """
 
+    def __init__(self, vocabulary: str, ranks: str, added: list[str], room: int):
         import public_tokenizers
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-        self.encode = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.room = room
+        with open(ranks, "rb") as file:
+            pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.encode = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={}).encode_ordinary
+        self.vocabulary, self.added, self.room, self.tokenizer = vocabulary, added, room, None
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
@@ -56,51 +65,62 @@ class _Ids(dict):
         ids = self.encode(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def with_added(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            self.tokenizer = tokenizer(self.vocabulary)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def of(self, text: str) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit numbers.
+        """The tokenizer's ids of a text, as little-endian unsigned 32-bit numbers.
 
-        The vocabulary never joins characters across a space that follows a
-        visible character and precedes one, so such texts go word by word.
+        The tokenizer cuts before every single space between visible characters,
+        so the parts of a text between such cuts go one by one, those met before
+        from memory.
         """
+        if any(token in text for token in self.added):
+            return self.with_added(text)
         first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self.packed(text)
-        try:
-            return self.packed(first) + b"".join(map(self.__getitem__, rest))
-        except _Ragged:
-            return self.packed(text)
+        if rest and first and not first[-1].isspace():
+            try:
+                return self.packed(first) + b"".join(map(self.__getitem__, rest))
+            except _Ragged:
+                pass
+        first, *rest = _CUT.split(text)
+        return self.packed(first) + b"".join(self.packed(" " + word) if word[-1].isspace() else self[word] for word in rest)
+
 
+def tokenizer(path: str):
+    from tokenizers import Tokenizer
 
-_IDS: dict[str, _Ids] = {}
+    return Tokenizer.from_file(path)
 
 
-def default_vocabulary() -> str:
-    """The ranks of the public byte-level vocabulary with 50,257 ids."""
+def default_vocabulary() -> tuple[str, str]:
+    """The public byte-level vocabulary with 50,257 ids: for `tokenizers`, and as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized_pieces(docs: DataFrame, window: int = 2048, vocabulary: str | None = None, end_id: int = 0, with_ids: bool = False, room: int = 200_000) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, window: int = 2048, vocabulary: tuple[str, str] | None = None, end_id: int = 0, with_ids: bool = False, room: int = 150_000) -> DataFrame:
     """One row per piece of each document: its ids followed by end_id.
 
     Documents of more than `window` ids are cut; the first piece takes the rest
     of the division and all others are full. A null text is an empty one and
-    becomes the end id alone. Special strings in a text are ordinary text.
-    Columns other than doc_id and text are left aside; repeated rows are packed
+    becomes the end id alone. A string of the vocabulary's added tokens in a text
+    gets that token's id, as `tokenizers` gives it. Columns other than doc_id and text are left aside; repeated rows are packed
     each for itself.
     """
-    path = vocabulary or default_vocabulary()
+    path, ranks = vocabulary or default_vocabulary()
+    added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _IDS:
-            _IDS.clear()
-            _IDS[path] = _Ids(path, room)
-        ids_of = _IDS[path].of
+        known = _Ids(path, ranks, added, room)
+        ids_of = known.of
         for batch in batches:
             docs_out, pieces, starts, lengths, crcs, blobs = [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -124,6 +144,9 @@ def tokenized_pieces(docs: DataFrame, window: int = 2048, vocabulary: str | None
             if with_ids:
                 columns, names = [*columns, pa.array(blobs, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        known.clear()
+        del known, ids_of
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 
@@ -144,12 +167,14 @@ def lower_bound(counts: dict[int, int], window: int) -> int:
     return best
 
 
-def fillings(lengths: list[int], counts: dict[int, int], largest: int, window: int, nodes: int, keep: int) -> list[tuple[int, list[int]]]:
+def fillings(lengths: list[int], counts: dict[int, int], largest: int, window: int, nodes: int, keep: int, tries: int = 6) -> list[tuple[int, list[int]]]:
     """Undominated fillings around the largest length, least waste first.
 
     A filling is dominated when one of its items can be exchanged for a longer
     free one that still fits; so after each choice only fillings that leave no
-    such exchange are kept. `nodes` bounds the enumeration.
+    such exchange are kept. At each place the `tries` longest fitting lengths are
+    tried, `nodes` places are visited, and the `keep` best fillings return: with
+    many lengths the full enumeration is exponential, so this is part of it.
     """
     found: list[tuple[int, list[int]]] = []
     left = nodes
@@ -160,7 +185,7 @@ def fillings(lengths: list[int], counts: dict[int, int], largest: int, window: i
         free, top, items = stack.pop()
         at = bisect_right(lengths, min(free, top)) - 1
         fits = []
-        while at >= 0 and len(fits) < 6:
+        while at >= 0 and len(fits) < tries:
             k = lengths[at]
             if counts[k] - items.count(k) > 0:
                 fits.append(k)
@@ -211,7 +236,9 @@ def complete_bins(counts: dict[int, int], window: int, nodes: int = 12_000, widt
     Depth first: the largest remaining length is completed by its undominated
     fillings, each taken as often as the counts allow. A branch ends when its
     waste leaves no room for fewer bins than the incumbent. The search stops at
-    the lower bound or after `nodes` branches, with the best plan so far.
+    the lower bound or after `nodes` branches, with the best plan so far; width
+    and keep are the bounds of `fillings`. Only a plan with as many bins as
+    lower_bound is proven to be the best; `place` says whether it is.
     """
     counts = {int(k): int(n) for k, n in counts.items() if n > 0}
     if not counts:
@@ -271,12 +298,14 @@ def place(pieces: DataFrame, window: int = 2048, rows_per_rank: int = 250_000, *
     `pieces` must be stable (a written table): it is read for the histogram and
     again for the ranks. A length that a third of all pieces share is ranked in
     salted parts whose sizes are summed first. Lengths lie in 1..window; an empty
-    table gives an empty result.
+    table gives an empty result. `proven` tells on every row whether the number of
+    sequences equals the lower bound, so that no packing has fewer.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     full = histogram.pop(window, 0)
     plan = complete_bins(histogram, window, **search)
+    proven = sum(copies for copies, _ in plan) == lower_bound(histogram, window)
     if full:
         plan = [*plan, (full, [window])]
     first, rows, base = dict.fromkeys([*histogram, window], 0), [], 0
@@ -308,10 +337,10 @@ def place(pieces: DataFrame, window: int = 2048, rows_per_rank: int = 250_000, *
     sizes = sizes.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
     ranked = salted.withColumn("_rank", F.row_number().over(inside) - 1).join(sizes, ["length", "_part"])
-    return ranked.withColumn("_at", placed("length", F.col("_rank") + F.col("_before"))).select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    return ranked.withColumn("_at", placed("length", F.col("_rank") + F.col("_before"))).select(*pieces.columns, "_at.sequence_id", "_at.offset", F.lit(proven).alias("proven"))
 
 
-def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Cuts, packs and places all documents; see tokenized_pieces and place."""
     return place(written(tokenized_pieces(docs, window, vocabulary), "pieces"), window)
 

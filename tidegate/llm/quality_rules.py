@@ -6,8 +6,10 @@ quality: the hypothesis that it rejects more than its share of them falls when
 the exact binomial tail P(Bin(n, share) <= rejected) is small enough. Cutoffs
 are tested from the mildest on, which needs no correction along the grid, and
 the level is divided by the number of strata and rules, so with the stated
-confidence no stratum loses more than `max_loss` of its good documents. Among
-certified cutoffs the one that gains most on the labels is used.
+confidence the cutoffs reject no more than `max_loss` of a stratum's good
+documents that pass the base. The base (too few words, too much repetition) is
+a fixed rule before them and stands outside this guarantee. Among certified
+cutoffs the one that gains most on the labels is used.
 """
 
 from __future__ import annotations

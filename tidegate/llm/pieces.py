@@ -4,7 +4,9 @@ A text is cut before each run of spaces; no piece crosses such a cut. Distinct
 chunks of equal length advance together: at each place the hashes of all
 substrings that end there probe the sorted piece keys, and a vectorised maximum
 picks the best predecessor. The best path has the largest sum of piece scores;
-of equal paths, the one whose last piece is longest wins at each place.
+of equal paths, the one whose last piece is longest wins at each place. Long
+chunks of a length that few others share, as texts without spaces have, take the
+same path over the pieces that occur in them, found for all places at once.
 Characters outside the vocabulary cost more than any piece and fall back to
 their bytes, so decoding gives back every text exactly.
 """
@@ -122,6 +124,56 @@ class Pieces:
                 score[end] = best
         return self._follow(codes, back, piece)
 
+    def _matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, lengths, ids) of every piece at every place, by end, the longest first."""
+        size = len(codes)
+        with np.errstate(over="ignore"):
+            up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, dtype=np.uint64)]), dtype=np.uint64) for x in (_ODD, np.uint64(pow(int(_ODD), -1, 2**64))))
+            run = np.concatenate([[np.uint64(0)], np.cumsum(_spread(codes) * down[:size], dtype=np.uint64)])
+            found = []
+            for length in sorted((n for n in self.lengths if n <= size), reverse=True):
+                ends = np.arange(length, size + 1)
+                ids = self.find((run[ends] - run[ends - length]) * up[ends - 1])
+                some = ids >= 0
+                found.append((ends[some], np.full(int(some.sum()), length), ids[some]))
+        if not found:
+            return (np.zeros(0, dtype=np.int64),) * 3
+        ends, lengths, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], lengths[order], ids[order]
+
+    def path_by_matches(self, chunk: str, block: int = 1 << 18) -> np.ndarray:
+        """The ids of the best path of one chunk, as best_paths gives them; the pieces of `block` places are found at a time."""
+        codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        size = len(codes)
+        score, back, piece = [0.0] * (size + 1), [1] * (size + 1), [-1] * (size + 1)
+        for low in range(0, size, block):
+            high, start = min(size, low + block), max(0, low - self.longest + 1)
+            ends, lengths, ids = self._matches(codes[start:high])
+            own = ends + start > low
+            stop, lens, names = (ends[own] + start).tolist(), lengths[own].tolist(), ids[own].tolist()
+            worth = self.scores[ids[own]].tolist()
+            at, many = 0, len(stop)
+            for end in range(low + 1, high + 1):
+                best, length, name, single = -np.inf, 1, -1, False
+                while at < many and stop[at] == end:
+                    single = lens[at] == 1
+                    if (value := worth[at] + score[end - lens[at]]) > best:
+                        best, length, name = value, lens[at], names[at]
+                    at += 1
+                if not single and (value := self.unknown + score[end - 1]) > best:
+                    best, length, name = value, 1, -1
+                score[end], back[end], piece[end] = best, length, name
+        out: list[int] = []
+        end = size
+        while end:
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:
+                out.extend(self.bytes_[list(chr(codes[end - 1]).encode("utf-8", "surrogatepass"))].tolist()[::-1])
+            end -= back[end]
+        return np.array(out[::-1], dtype=np.int32)
+
     def _follow(self, codes: np.ndarray, back: np.ndarray, piece: np.ndarray) -> list[np.ndarray]:
         count, size = codes.shape
         row, at = np.arange(count), np.full(count, size)
@@ -154,6 +206,9 @@ class Encoder:
             by_size.setdefault(len(c), []).append(c)
         found: dict[str, bytes] = {}
         for size, some in sorted(by_size.items()):
+            if size > 32 and len(some) < 8:
+                found.update((c, self.pieces.path_by_matches(c).tobytes()) for c in some)
+                continue
             step = max(1, self.cells // (size + 1))
             for i in range(0, len(some), step):
                 part = some[i : i + step]

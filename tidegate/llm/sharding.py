@@ -1,10 +1,11 @@
 """Shards of nearly equal bytes by histogram sort.
 
 Documents are ordered by the hash of their text, then by a hash of their id, so
-equal texts stand together and even a group of copies that outweighs a shard
-can be cut. Rounds of exact counts below candidate keys narrow each boundary
-until the bytes below it are within the tolerance of the target; only these
-counts reach the driver. Then the documents move once.
+equal texts stand together. Rounds of exact counts below candidate keys narrow
+each boundary until the bytes below it are within the tolerance of the target;
+only these counts reach the driver. A boundary that falls into a group of equal
+texts moves to the group's nearer end; only a group too large for that, as one
+that outweighs a shard, is cut. Then the documents move once.
 """
 
 from __future__ import annotations
@@ -94,21 +95,42 @@ def splitters(keys: DataFrame, parts: int, by: str = "bytes", tolerance: float =
     return [max(best[: i + 1]) for i in range(len(best))]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, rows_per_cell: int = 200_000) -> DataFrame:
+def whole_groups(keys: DataFrame, cuts: list[int], total: int, tolerance: float) -> list[int]:
+    """The cuts, moved to an end of the group of equal texts they fall into.
+
+    A cut moves only where that leaves the bytes below it within tolerance of a
+    part from its goal; else the group is cut.
+    """
+    parts = len(cuts) + 1
+    ends = [(c >> 64 << 64, (c >> 64) + 1 << 64) for c in cuts]
+    probes = sorted({k for pair in ends for k in pair if k < TOP})
+    if not probes:
+        return cuts
+    below = dict(zip(probes, _below(keys, probes)[0], strict=True)) | {TOP: total}
+    moved = []
+    for i, (cut, pair) in enumerate(zip(cuts, ends, strict=True)):
+        away, near = min((abs(below[k] - total * (i + 1) / parts), k) for k in pair)
+        moved.append(near if away <= tolerance * total / parts and near < TOP else cut)
+    return [max(moved[: i + 1]) for i in range(len(moved))]
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, group_tolerance: float = 0.01, bytes_per_cell: int = 1 << 27) -> DataFrame:
     """The documents with shard (from 0) and slot, gapless from 0 in each shard.
 
-    Shards follow the order of text hash, then id hash, and their bytes differ
-    from the mean by the tolerance and one document. A null text has one byte.
-    Large shards are ranked in cells of about rows_per_cell rows whose exact
-    counts are known from the last count. Repeated rows with one id get slots in
-    no stated order. An empty table gives an empty one.
+    Shards follow the order of text hash, then id hash. Their bytes differ from
+    the mean by the tolerance and one document, or by group_tolerance at each end
+    where that keeps equal texts together; larger groups of equal texts are cut.
+    A null text has one byte. Shards are ranked in cells of about bytes_per_cell
+    bytes whose exact counts are known from the last count. Repeated rows, which
+    nothing tells apart, get slots one after another. An empty table gives an
+    empty one.
     """
     high, low = sort_key(key, text)
     keys = written(docs.select(high.alias("high"), low.alias("low"), text_size(text).alias("size")), "keys")
-    cuts = splitters(keys, shards, "bytes", tolerance)
-    total_rows = keys.count()
-    cells = max(1, -(-total_rows // (shards * rows_per_cell)))
-    inner = splitters(keys, shards * cells, "rows", 0.5, total=total_rows) if cells > 1 else []
+    total = _below(keys, [TOP - 1])[0][0]
+    cuts = whole_groups(keys, splitters(keys, shards, "bytes", tolerance, total=total), total, group_tolerance)
+    cells = max(1, -(-total // (shards * bytes_per_cell)))
+    inner = splitters(keys, shards * cells, "bytes", 0.5, total=total) if cells > 1 else []
     bounds = sorted({*cuts, *inner})
     below = [0, *_below(keys, bounds)[1]] if bounds else [0]
     shard_of = [sum(c <= b for c in cuts) for b in [-1, *bounds]]

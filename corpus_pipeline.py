@@ -13,29 +13,29 @@ from pyspark.sql import functions as F
 from tidegate.llm import language_id, line_dedup, ngram_join, packing, quality_rules
 from tidegate.llm.common import written
 
-#: A document whose best language has less of the likelihood than this is rejected.
-LEAST_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no clear language."""
-    judged = language_id.documents_language(spark, docs)
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drops documents without a letter: they are of no language."""
+    predict = language_id.predictor(spark, language_id.train(docs.where(~language_id.held_out("doc_id"))))
+    return docs.where(predict(F.col("text"))["lang_pred"] != language_id.UNKNOWN)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base or a cutoff certified for their language."""
-    stratum = F.coalesce(F.col("lang"), F.lit(""))
     labels = quality_rules.quality_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    signals = written(quality_rules.with_signals(docs.select("doc_id", stratum.alias("stratum"), "text")).drop("text"), "signals")
-    cutoffs = quality_rules.certified_cutoffs(signals.join(labels, "doc_id"))
-    judged = quality_rules.judged(quality_rules.with_signals(docs.withColumn("stratum", stratum)), cutoffs)
-    return judged.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), "text")
+    signals = written(quality_rules.with_signals(rows).drop("text"), "signals")  # computed once, with the documents beside them
+    labelled = signals.withColumn("doc_id", F.col("doc.doc_id")).drop("doc").join(labels, "doc_id")
+    judged = quality_rules.judged(signals, quality_rules.certified_cutoffs(labelled))
+    return judged.where("kept").select("doc.*")
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that stand on many sites out of otherwise own documents."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    done = line_dedup.dedup_lines(docs.select(F.struct(*rest).alias("doc"), "doc_id", "source", "text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col(f"doc.{c}") for c in docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -40,7 +41,7 @@ def duck(sf_dir):
 
 
 def _plain(value):
-    if value is None or value != value:
+    if pd.api.types.is_scalar(value) and pd.isna(value):
         return "null"
     if isinstance(value, float):
         return f"{value:.6g}"

@@ -74,15 +74,3 @@ def reach_m(mode: Column, minutes: Column) -> Column:
     drive = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: drive_reach_m(wheel, h)))
     transit = F.greatest(F.lit(0.0), minutes - TRANSIT_WAIT_MIN) * TRANSIT_M_PER_MIN / TRANSIT_DETOUR
     return F.when(mode == "walk", minutes * WALK_M_PER_MIN / WALK_DETOUR).when(mode == "transit", transit).when(mode == "drive", drive)
-
-
-def cell(lat: Column, lon: Column, degrees: float) -> Column:
-    """The grid cell of a point."""
-    return F.struct(F.floor(lat / degrees).alias("y"), F.floor(lon / degrees).alias("x"))
-
-
-def cells_around(lat: Column, lon: Column, degrees: float) -> Column:
-    """The cell of a point and its eight neighbours, to explode before an equi-join on cells."""
-    y, x = F.floor(lat / degrees), F.floor(lon / degrees)
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    return F.transform(steps, lambda s: F.struct((y + s["a"]).alias("y"), (x + s["b"]).alias("x")))

@@ -87,22 +87,29 @@ def namesake(x: Column, y: Column, generic: Column, metres: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """A page's words: scripts, styles, comments and tags go, common entities are read, spaces fold."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    """A page's words: scripts, styles, comments and tags go, common entities are read, spaces fold.
+
+    A script or comment that never closes hides the rest of the page, and a tag
+    ends at the next bracket of either kind, so each pattern passes over a page
+    once, whatever stands in it.
+    """
+    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^<>]*>.*?(?:</\1\s*>|\z)", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?(?:-->|\z)", " "), r"<[^<>]*>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
 def links(html: Column) -> Column:
-    """Targets of the page's anchors, in order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a[^>]*\bhref="([^"]*)"'), 1)
+    """Targets of the page's anchors, in order, however they are quoted."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^<>]*?\bhref\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""), 1)
+    return F.transform(found, lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
 
 
 def stated_prices(text: Column) -> Column:
-    """Dollar amounts named in a text."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\$ ?(\d{1,4}(?:\.\d\d)?)"), 1), lambda x: x.cast("double"))
+    """Dollar amounts named in a text, with or without commas between thousands."""
+    found = F.regexp_extract_all(text, F.lit(r"\$ ?(\d{1,3}(?:,\d{3})+(?:\.\d\d)?|\d+(?:\.\d\d)?)"), 1)
+    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
 
 
 def listed_free(text: Column) -> Column:

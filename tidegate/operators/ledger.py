@@ -38,9 +38,10 @@ def resolve(claims: DataFrame) -> DataFrame:
     """
     key = Window.partitionBy("subject_id", "attribute")
     trusted = claims.withColumn("trust", lookup(F.col("source"), TRUST, DEFAULT_TRUST)).withColumn("rank", lookup(F.col("class"), CLASS_RANK, 0).cast("int"))
-    operating = F.collect_set(F.when(F.col("value") == "operating", F.struct("trust", "seen_at"))).over(key)
     closure = (F.col("attribute") == "business_status") & F.col("value").startswith("closed") & (F.col("confidence") >= CLOSURE_FROM)
-    answered = F.exists(operating, lambda o: (o["trust"] > F.col("trust")) & (o["seen_at"] > F.col("seen_at")))
+    # the latest claim of operating among the strictly more trusted ones
+    above = key.orderBy(F.round(F.col("trust") * -1000).cast("int")).rangeBetween(Window.unboundedPreceding, -1)
+    answered = F.coalesce(F.max(F.when(F.col("value") == "operating", F.col("seen_at"))).over(above) > F.col("seen_at"), F.lit(False))
     rows = trusted.withColumn("first", F.coalesce(closure & ~answered, F.lit(False)).cast("int"))
     order = key.orderBy(F.desc("first"), F.desc("rank"), F.desc("trust"), F.desc("confidence"), F.desc("seen_at"), "claim_id")
     best = F.first(F.struct("claim_id", "value", "class", "trust", "seen_at")).over(order)

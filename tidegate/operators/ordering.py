@@ -1,21 +1,24 @@
 """The order in which eligible options are shown, for variety, page by page.
 
 Each choice depends on those already made, so it is no window function: one
-request's eligible rows, bounded by what is in reach, are ordered together.
+request's eligible rows, bounded by what is in reach, are ordered together, as
+masks over all rows at once. A pass is a mask of rows it may show; showing one
+clears the rows that it rules out.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidegate.functions.geo import EARTH_M
+
 # Variety.
 LAST_SHOWN = 3
 SAME_CATEGORY, SAME_KIND = 0.03, 0.05
 SAME_PLACE_M, SAME_GROUNDS_M = 150.0, 1000.0
-GROUNDS = {"park", "garden", "waterfront", "attraction"}
+GROUNDS = ["park", "garden", "waterfront", "attraction"]
 LOVED_FROM = 0.85
 PAGE = 3
 MOST = 303
@@ -23,110 +26,103 @@ MOST = 303
 NEEDS = ["request_id", "option_id", "venue_id", "parent_id", "name_key", "category", "activity", "kind", "lat", "lon", "standing", "merit", "taste", "lead", "off", "age_doubt", "rank"]
 
 
-def _metres(a: tuple, b: tuple) -> float:
-    y = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(y)))
-
-
-class _Shown:
-    """What has been placed so far in one request."""
-
-    def __init__(self, rows: list):
-        self.rows, self.order = rows, []
-        self.taken: set[int] = set()
-        self.venues: set = set()
-        self.activities: set = set()
-        self.names: dict[str, list[tuple]] = {}
-        self.eligible = {r.venue_id for r in rows}
-        self.liked = {r.standing for r in rows if r.taste > 0.5}
-
-    def near_namesake(self, r) -> bool:
-        within = SAME_GROUNDS_M if r.category in GROUNDS else SAME_PLACE_M
-        return any((doubt or not r.age_doubt) and _metres(at, (r.lat, r.lon)) <= max(own, within) for at, own, doubt in self.names.get(r.name_key, ()))
-
-    def allows(self, r, standing: str | None, diverse: bool, children: bool) -> bool:
-        if r.rank in self.taken or r.venue_id in self.venues or self.near_namesake(r):
-            return False
-        if standing is not None and (r.standing != standing or r.age_doubt):
-            return False
-        parent = None if pd.isna(r.parent_id) else r.parent_id
-        if parent is not None and (parent in self.venues or (not children and parent in self.eligible)):
-            return False
-        fits = r.activity not in self.activities and not r.off and r.taste >= 0.5 and (r.standing not in self.liked or r.taste > 0.5)
-        return fits or not diverse
-
-    def take(self, r) -> None:
-        self.order.append(r)
-        self.taken.add(r.rank)
-        self.venues.add(r.venue_id)
-        if not pd.isna(r.parent_id):
-            self.venues.add(r.parent_id)
-        self.activities.add(r.activity)
-        if r.name_key:
-            self.names.setdefault(r.name_key, []).append(((r.lat, r.lon), SAME_GROUNDS_M if r.category in GROUNDS else SAME_PLACE_M, r.age_doubt))
-
-    def repeats(self, r) -> float:
-        return sum(SAME_CATEGORY * (s.category == r.category) + SAME_KIND * (s.kind is not None and s.kind == r.kind) for s in self.order[-LAST_SHOWN:])
-
-    def fill(self, standing: str) -> None:
-        """The best of what is left, once repeating the last shown is paid for."""
-        open_ = [r for r in self.rows if r.standing == standing]
-        while len(self.order) < MOST:
-            best, top = None, -math.inf
-            for r in open_:
-                if r.merit <= top:
-                    break  # merits only fall from here, and a repeat never adds
-                if self.allows(r, standing, False, False) and (score := r.merit - self.repeats(r)) > top:
-                    best, top = r, score
-            if best is None:
+def _codes(values: pd.Series) -> np.ndarray:
+    """Equal values as equal numbers from 0, missing ones as -1."""
+    return pd.factorize(values)[0]
+
+
+def _namesakes(rows: pd.DataFrame) -> list[np.ndarray]:
+    """For each row, the rows of its name so near that they would look like one place."""
+    lat, lon = np.radians(rows["lat"].to_numpy(float)), np.radians(rows["lon"].to_numpy(float))
+    reach = np.where(rows["category"].isin(GROUNDS), SAME_GROUNDS_M, SAME_PLACE_M)
+    found = [np.zeros(0, dtype=int)] * len(rows)
+    for key, at in rows.reset_index(drop=True).groupby("name_key").groups.items():
+        if not key or len(at) < 2:
+            continue
+        at = np.asarray(at)
+        for i in at:
+            h = np.sin((lat[at] - lat[i]) / 2) ** 2 + np.cos(lat[at]) * np.cos(lat[i]) * np.sin((lon[at] - lon[i]) / 2) ** 2
+            found[i] = at[2 * EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h))) <= np.maximum(reach[at], reach[i])]
+    return found
+
+
+def arrange(rows: pd.DataFrame, narrowed: bool = False) -> np.ndarray:
+    """The places, in display order, of rows that stand in merit order.
+
+    For each standing, ready before check first: unlike activities that suit the
+    taste, one each (not for a narrowed search); then the best merit less a cost
+    for what the last shown repeat, and beyond MOST by merit alone. Rows of a
+    doubtful age limit, and places inside a shown or eligible one, come last.
+    """
+    n = len(rows)
+    venue, parent = np.split(_codes(pd.concat([rows["venue_id"], rows["parent_id"]], ignore_index=True)), 2)
+    activity, category, kind = (_codes(rows[c]) for c in ("activity", "category", "kind"))
+    doubt, taste, merit = rows["age_doubt"].to_numpy(bool), rows["taste"].to_numpy(float), rows["merit"].to_numpy(float)
+    standing = rows["standing"].to_numpy()
+    likes = taste > 0.5
+    suits = ~rows["off"].to_numpy(bool) & (taste >= 0.5)
+    for s in set(standing[likes]):
+        suits &= (standing != s) | likes
+    inside = (parent >= 0) & np.isin(parent, venue)
+    near = _namesakes(rows)
+    free, fresh, order = np.ones(n, dtype=bool), np.ones(n, dtype=bool), []
+
+    def show(i: int) -> None:
+        order.append(i)
+        for whole in {venue[i], parent[i]} - {-1}:
+            free[(venue == whole) | (parent == whole)] = False
+        free[near[i] if doubt[i] else near[i][~doubt[near[i]]]] = False
+        free[i] = False
+        fresh[activity == activity[i]] = False
+
+    def show_all(among: np.ndarray, diverse: bool = False) -> None:
+        at = 0
+        while True:
+            mask = among[at:] & free[at:] & (fresh[at:] | (not diverse))
+            step = int(mask.argmax()) if len(mask) else 0
+            if not len(mask) or not mask[step]:
                 return
-            self.take(best)
-
-
-def promoted(order: list) -> list:
-    """The order with one option of each loved interest on the first page, never first."""
-    page, rest = order[:PAGE], order[PAGE:]
-    loved = lambda r: r.taste >= LOVED_FROM
-    slots = [i for i, r in enumerate(page) if i and not loved(r)]
-    have = {r.lead for r in page if loved(r)}
-    chosen = []
-    for r in rest:
-        if len(chosen) < len(slots) and loved(r) and not r.off and not r.age_doubt and r.lead not in have:
-            have.add(r.lead)
-            chosen.append(r)
-    slots = slots[len(slots) - len(chosen) :]
-    out = list(page)
-    for i, r in zip(slots, chosen, strict=True):
-        out[i] = r
-    picked = {r.rank for r in chosen}
-    return out + [page[i] for i in slots] + [r for r in rest if r.rank not in picked]
-
-
-def arrange(rows: list, narrowed: bool = False) -> list:
-    """Rows in merit order become rows in display order."""
-    shown = _Shown(rows)
-    for standing in ("ready", "check_first"):
+            show(at + step)
+            at += step + 1
+
+    for s in ("ready", "check_first"):
+        among = (standing == s) & ~doubt & ~inside
         if not narrowed:
-            for r in rows:
-                if shown.allows(r, standing, True, False):
-                    shown.take(r)
-        shown.fill(standing)
-        for r in rows:
-            if shown.allows(r, standing, False, False):
-                shown.take(r)
-    for r in rows:
-        if shown.allows(r, None, False, True):
-            shown.take(r)
-    return promoted(shown.order)
+            show_all(among & suits, diverse=True)
+        while len(order) < MOST and (among & free).any():
+            cost = np.zeros(n)
+            for last in order[-LAST_SHOWN:]:
+                cost += SAME_CATEGORY * (category == category[last]) + SAME_KIND * ((kind >= 0) & (kind == kind[last]))
+            show(int(np.where(among & free, merit - cost, -np.inf).argmax()))
+        show_all(among)
+    show_all(np.ones(n, dtype=bool))
+    return np.array(order, dtype=int)
+
+
+def first_page_loves(shown: pd.DataFrame) -> pd.DataFrame:
+    """The shown rows with one of each loved interest moved onto the first page, never to its first place.
+
+    What they displace follows the page; all others keep their order.
+    """
+    place = np.arange(len(shown), dtype=float)
+    loved = shown["taste"].to_numpy(float) >= LOVED_FROM
+    page = place < PAGE
+    have = shown["lead"][loved & page]
+    wanted = shown.assign(_at=place)[loved & ~page & ~shown["off"].to_numpy(bool) & ~shown["age_doubt"].to_numpy(bool) & ~shown["lead"].isin(have).to_numpy()]
+    slots = place[page & ~loved & (place > 0)]
+    chosen = wanted.drop_duplicates("lead")["_at"].to_numpy(int)[: len(slots)]
+    slots = slots[len(slots) - len(chosen) :].astype(int)
+    place[chosen] = slots
+    place[slots] += PAGE - slots - 1 + (np.arange(len(slots)) + 1) / (PAGE + 1)  # between the page and what follows it
+    return shown.iloc[np.argsort(place, kind="stable")]
 
 
 def display_order(eligible: DataFrame) -> DataFrame:
     """(request_id, option_id, shown): `eligible` has the columns NEEDS, rank being the merit order."""
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        group["kind"] = group["kind"].where(group["kind"].notna(), None)
-        order = arrange(list(group.itertuples(index=False)))
-        return pd.DataFrame([(r.request_id, r.option_id, i + 1) for i, r in enumerate(order)], columns=["request_id", "option_id", "shown"])
+        rows = group.sort_values("rank", ignore_index=True)
+        out = first_page_loves(rows.iloc[arrange(rows)])
+        return pd.DataFrame({"request_id": out["request_id"].to_numpy(), "option_id": out["option_id"].to_numpy(), "shown": np.arange(1, len(out) + 1)})
 
     return eligible.select(*NEEDS).groupBy("request_id").applyInPandas(of, "request_id long, option_id long, shown int")

@@ -4,22 +4,56 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import geo
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float, lat_limit: float = 60.0) -> DataFrame:
+class Grid:
+    """Cells that any two points within `metres` share or have side by side, at every latitude.
+
+    Rows are as high as the radius. A row is cut into equal cells around the
+    whole circle of latitude, each at least as wide as the radius looks from the
+    pole side of the rows beside it; near the poles one cell is the whole row.
+    """
+
+    def __init__(self, metres: float):
+        self.angle = metres / geo.EARTH_M * (1 + 1e-9)
+        self.height = math.degrees(self.angle)
+
+    def row(self, lat: Column) -> Column:
+        return F.floor(lat / self.height).cast("long")
+
+    def cells(self, row: Column) -> Column:
+        """How many cells a row has."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs(row - 1), F.abs(row + 2)) * self.height)
+        half = math.sin(self.angle / 2) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
+        return F.when(half < 0.4, F.floor(F.lit(2 * math.pi / 2.1) / half)).otherwise(F.lit(1)).cast("long")
+
+    def column(self, lon: Column, row: Column) -> Column:
+        n = self.cells(row)
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
+
+    def cell(self, lat: Column, lon: Column) -> Column:
+        row = self.row(lat)
+        return F.struct(row.alias("y"), self.column(lon, row).alias("x"))
+
+    def around(self, lat: Column, lon: Column) -> Column:
+        """The cells in which points within the radius can lie, without repeats."""
+        rows = [self.row(lat) + s for s in (-1, 0, 1)]
+        beside = lambda r: [F.struct(r.alias("y"), F.pmod(self.column(lon, r) + s, self.cells(r)).alias("x")) for s in (-1, 0, 1)]
+        return F.array_distinct(F.array(*(c for r in rows for c in beside(r))))
+
+
+def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs within `metres`; left has a_id, a_lat, a_lon and right b_id, b_lat, b_lon.
 
-    Cells are as wide as the radius at latitude lat_limit, so the pairs of a
-    point lie in its cell and the eight around it up to that latitude. The right
-    side is read once; the left is repeated nine times.
+    The right side is read once; the left is repeated for the cells around it.
     """
-    degrees = math.degrees(metres / geo.EARTH_M) / math.cos(math.radians(lat_limit))
-    near = left.withColumn("_c", F.explode(geo.cells_around(F.col("a_lat"), F.col("a_lon"), degrees)))
-    placed = right.withColumn("_c", geo.cell(F.col("b_lat"), F.col("b_lon"), degrees))
+    grid = Grid(metres)
+    near = left.withColumn("_c", F.explode(grid.around(F.col("a_lat"), F.col("a_lon"))))
+    placed = right.withColumn("_c", grid.cell(F.col("b_lat"), F.col("b_lon")))
     pairs = near.join(placed, (near["_c"]["y"] == placed["_c"]["y"]) & (near["_c"]["x"] == placed["_c"]["x"])).drop("_c")
     return pairs.withColumn("metres", geo.distance_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("metres") <= metres)
 

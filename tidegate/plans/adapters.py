@@ -121,3 +121,33 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 OCC_SQL = """SELECT o_orderkey AS occ_id, o_custkey % 100 AS venue_id, o_orderdate + to_minutes((o_orderkey % 1440)::INT) AS start_at,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + to_minutes((o_orderkey % 1440 + 60 + o_orderkey % 120)::INT) END AS end_at,
   CASE o_orderstatus WHEN 'F' THEN 'cancelled' WHEN 'P' THEN 'sold_out' ELSE 'scheduled' END AS status, o_orderkey % 4 = 0 AS late_entry FROM orders"""
+
+
+LISTED = ["Blue Door", "Blue Door Cafe", "Blue Door Books", "North St. Market", "The North Street Market", "Café Nord", "Nord"]
+LISTED_KEYS = ["blue door", "blue door cafe", "blue door books", "north street market", "north street market", "cafe nord", "nord"]
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of places with contacts: `customer`, spread over a city."""
+    k = F.col("c_custkey")
+    names = F.array(*map(F.lit, LISTED))
+    cats = F.array(*map(F.lit, CATEGORIES))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("record_id"),
+        F.get(names, (k % 7).cast("int")).alias("name"),
+        F.get(cats, (F.floor(k / 7) % 3).cast("int")).alias("category"),
+        (F.lit(40.70) + (k * 7919 % 30011) / F.lit(1000000.0)).alias("lat"),
+        (F.lit(-74.00) + (k * 104729 % 30011) / F.lit(1000000.0)).alias("lon"),
+        F.when(k % 11 == 0, "acme").alias("brand"),
+        F.when(k % 3 == 0, F.concat(F.lit("https://www.s"), (k % 50).cast("string"), F.lit(".example/x"))).alias("website"),
+        F.when(k % 4 == 1, F.concat(F.lit("+1 (914) 555-01"), (F.lit(10) + k % 40).cast("string"))).alias("phone"),
+        F.when(k % 5 == 0, (k % 4).cast("string")).alias("number"),
+        F.when(k % 2 == 0, "Main St.").alias("street"),
+        F.when(k % 97 == 0, F.array((k % 2).cast("string"))).alias("xids"),
+    )
+
+
+LISTINGS_SQL = f"""SELECT c_custkey AS id, {LISTED_KEYS}[c_custkey % 7 + 1] AS key, {CATEGORIES}[c_custkey // 7 % 3 + 1] AS category,
+  40.70::DOUBLE + (c_custkey * 7919 % 30011) / 1000000.0::DOUBLE AS lat, -74.00::DOUBLE + (c_custkey * 104729 % 30011) / 1000000.0::DOUBLE AS lon,
+  CASE WHEN c_custkey % 11 = 0 THEN 'acme' END AS brand, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 END AS site, CASE WHEN c_custkey % 4 = 1 THEN c_custkey % 40 END AS phone,
+  CASE WHEN c_custkey % 5 = 0 AND c_custkey % 2 = 0 THEN c_custkey % 4 END AS address, CASE WHEN c_custkey % 97 = 0 THEN c_custkey % 2 END AS xid FROM customer"""

@@ -210,16 +210,20 @@ def detour_payback(spark, d):
     return rows.select("request_id", "venue_id", F.round(cost, 4).alias("cost"))
 
 
-def diverse_order(spark, d):
+def displayable(spark, d):
+    """The eligible options of all requests, with what their display order depends on."""
     rows = scored(spark, d)
     kinds = F.create_map(*(F.lit(x) for pair in (("cafe", "eat"), ("restaurant", "eat"), ("bar", "drink"), ("park", "outdoors"), ("museum", "culture"), ("library", "culture"), ("cinema", "show"), ("bookshop", "shop")) for x in pair))
     order = Window.partitionBy("request_id").orderBy(F.when(F.col("class") == "ready", 0).otherwise(1), F.desc("merit"), "travel", "name", "venue_id")
-    ready = rows.select(
+    return rows.select(
         "request_id", F.col("venue_id").alias("option_id"), "venue_id", F.when(F.col("venue_id") % 20 == 0, F.col("venue_id") + 1).alias("parent_id"), text.match_key(F.col("name")).alias("name_key"), "category",
         kinds[F.col("category")].alias("activity"), F.when(F.col("venue_id") % 3 == 0, F.concat("category", F.lit(":x"))).alias("kind"), "lat", "lon", F.col("class").alias("standing"), "merit",
         F.when(F.col("venue_id") % 31 == 0, 0.9).otherwise(0.5).alias("taste"), F.when(F.col("venue_id") % 31 == 0, F.col("category")).alias("lead"), (F.col("venue_id") % 23 == 0).alias("off"), F.lit(False).alias("age_doubt"), F.row_number().over(order).alias("rank"),
     )
-    return ordering.display_order(ready)
+
+
+def diverse_order(spark, d):
+    return ordering.display_order(displayable(spark, d))
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
-from tidegate.operators.feasibility import once
+from tidegate.operators import quotes
 from tidegate.plans import adapters as A
 from tidegate.session import table
 from tidegate.sources import pages
@@ -122,17 +122,15 @@ def jsonld_blocks(spark, d):
 
 
 def stated_price(spark, d):
-    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Entry $12 or $ 7.50").when(F.col("doc_id") % 3 == 1, " free with purchase").otherwise(" free entry"))
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Entry $12 or $ 7.50, group $12,345.50 or $12345").when(F.col("doc_id") % 3 == 1, " free with purchase").otherwise(" free entry"))
     p = text.stated_prices(t)
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(p).alias("n"), F.coalesce(F.array_min(p), F.lit(-1.0)).alias("least"), text.listed_free(t).alias("free"))
 
 
 def quote_on_page(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    quotes = table(spark, d, "benchmark").select("item_id", F.regexp_extract("text", r"^(\S+ \S+ \S+ \S+ \S+)", 1).alias("quote"))
-    words = F.col("words")
-    grams = once(docs, "words", F.split("text", " ")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 5)), lambda i: F.array_join(F.slice(words, i + 1, 5), " "))).alias("quote"))
-    return grams.join(F.broadcast(quotes), "quote").select("doc_id", "item_id").distinct()
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return quotes.on_page(docs, asked).select(F.col("page_id").alias("doc_id"), F.col("quote_id").alias("item_id"))
 
 
 def clipped_text(spark, d):
@@ -148,7 +146,7 @@ def revenue_by_status(spark, d):
 
 QUERIES = {f.__name__: f for f in (semi_join_events, anti_join_no_events, left_join_hours, lateral_latest, union_sources, set_operations, distinct_on_latest, having_stale, filtered_counts, cursor_pages, missing_essentials, gap_prefix, forecast_window, hour_windows, session_taste, taste_fold, ttl_expiry, html_visible_text, page_links, jsonld_blocks, stated_price, quote_on_page, clipped_text, revenue_by_status)}
 
-_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)|<noscript\b[^<>]*>.*?(?:</noscript\s*>|\z)', ' ', 'g'), '(?s)<!--.*?(?:-->|\z)', ' ', 'g'), '<[^<>]*>', ' ', 'g')"
 for _name, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _TEXT = f"replace({_TEXT}, '{_name}', '{_sign}')"
 _TEXT = rf"trim(regexp_replace({_TEXT}, '[ \t\r\n]+', ' ', 'g'))"
@@ -174,14 +172,14 @@ ORACLES = {
       SELECT user_id, interest, arg_max(w, i) / 100 AS weight FROM f GROUP BY ALL""",
     "ttl_expiry": f"WITH c AS ({A.CLAIMS_SQL}) SELECT claim_id, attribute FROM c WHERE class = 'observation' AND seen_at + to_minutes(CASE attribute WHEN 'view' THEN 20 WHEN 'click' THEN 30 WHEN 'purchase' THEN 45 ELSE 60 END) > (SELECT max(seen_at) FROM c) - INTERVAL 1 DAY",
     "html_visible_text": f"SELECT page_id, length(t)::INT AS chars, sha256(t) AS sha FROM (SELECT page_id, {_TEXT} AS t FROM pages)",
-    "page_links": r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a[^>]*\bhref="([^"]*)"', 1) AS ls FROM pages) SELECT page_id, len(ls)::INT AS n, len(list_distinct(ls))::INT AS different,
+    "page_links": r"""WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\b[^<>]*?\bhref\s*=\s*("[^"<>]*"|''[^''<>]*''|[^\s"''<>]+)', 1), lambda x: trim(x, '"''')) AS ls FROM pages) SELECT page_id, len(ls)::INT AS n, len(list_distinct(ls))::INT AS different,
       len(list_distinct(list_filter(ls, lambda u: regexp_matches(lower(u), '\.ics(\?|$)|^webcal:|[?&](ical|outlook-ical)=|/calendar/'))))::INT AS feeds FROM l""",
     "jsonld_blocks": r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1))::INT AS n FROM pages""",
-    "stated_price": r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Entry $12 or $ 7.50' WHEN 1 THEN ' free with purchase' ELSE ' free entry' END AS t FROM documents WHERE text IS NOT NULL),
-      p AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '\$ ?(\d{1,4}(?:\.\d\d)?)', 1), lambda x: x::DOUBLE) AS p FROM t)
+    "stated_price": r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Entry $12 or $ 7.50, group $12,345.50 or $12345' WHEN 1 THEN ' free with purchase' ELSE ' free entry' END AS t FROM documents WHERE text IS NOT NULL),
+      p AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '\$ ?(\d{1,3}(?:,\d{3})+(?:\.\d\d)?|\d+(?:\.\d\d)?)', 1), lambda x: replace(x, ',', '')::DOUBLE) AS p FROM t)
       SELECT doc_id, len(p)::INT AS n, coalesce(list_min(p), -1.0) AS least, regexp_matches(lower(t), '\bfree\b') AND NOT regexp_matches(lower(t), '\bfree (with|for members|trial|parking)\b|\bsugar free\b') AS free FROM p""",
-    "quote_on_page": r"""WITH q AS (SELECT item_id, regexp_extract(text, '^(\S+ \S+ \S+ \S+ \S+)', 1) AS quote FROM benchmark), w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
-      g AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM w) SELECT DISTINCT doc_id, item_id FROM g JOIN q ON array_to_string(ws[i + 1:i + 5], ' ') = quote""",
+    "quote_on_page": r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS q FROM benchmark)
+      SELECT doc_id, item_id FROM f JOIN q ON q <> '' AND contains(' ' || t || ' ', ' ' || q || ' ')""",
     "clipped_text": r"SELECT item_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substring(text, 1, 79), '\s+\S*$', '') || '…' END AS t FROM benchmark",
     "revenue_by_status": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 0) AS net, round(avg(l_discount), 4) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
 }

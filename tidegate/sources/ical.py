@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 EVENT = "uid string, title string, start_at timestamp, end_at timestamp, all_day boolean, location string, cancelled boolean, recurring boolean"
-MOST = 2000
-_LENGTH = re.compile(r"^([+-]?)P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$")
+#: What each letter of a duration counts, before and after its T.
+UNITS = {"W": "weeks", "D": "days"}, {"H": "hours", "M": "minutes", "S": "seconds"}
 
 
 def unescape(text: str) -> str:
@@ -50,15 +50,24 @@ def instant(value: str, params: dict[str, str], zone: str) -> tuple[datetime | N
 
 
 def length(value: str) -> timedelta | None:
-    m = _LENGTH.match(value.strip())
-    if not m:
+    """A duration, read number by number; None for anything else."""
+    sign, mark, rest = value.strip().partition("P")
+    if not mark or sign not in ("", "+", "-"):
         return None
-    w, d, h, i, s = (int(x or 0) for x in m.groups()[1:])
-    return (-1 if m[1] == "-" else 1) * timedelta(weeks=w, days=d, hours=h, minutes=i, seconds=s)
+    total, seen = timedelta(), False
+    for part, units in zip(rest.partition("T")[::2], UNITS, strict=True):
+        at = 0
+        for m in re.finditer(r"(\d+)([A-Z])", part):
+            if m.start() != at or m[2] not in units:
+                return None
+            total, at, seen = total + timedelta(**{units[m[2]]: int(m[1])}), m.end(), True
+        if at != len(part):
+            return None
+    return (-total if sign == "-" else total) if seen else None
 
 
 def events_of(feed: str | None, zone: str = "UTC") -> list[tuple]:
-    """The feed's events, at most MOST; those without a start are left out."""
+    """All events of the feed; those without a start are left out."""
     found: list[tuple] = []
     stack: list[str] = []
     own: dict[str, tuple[dict[str, str], str]] = {}
@@ -68,7 +77,7 @@ def events_of(feed: str | None, zone: str = "UTC") -> list[tuple]:
             if value.upper() == "VEVENT":
                 own = {}
         elif name == "END":
-            if stack and stack.pop() == "VEVENT" and "DTSTART" in own and len(found) < MOST:
+            if stack and stack.pop() == "VEVENT" and "DTSTART" in own:
                 start, day = instant(own["DTSTART"][1], own["DTSTART"][0], zone)
                 end = instant(own["DTEND"][1], own["DTEND"][0], zone)[0] if "DTEND" in own else None
                 if end is None and start and "DURATION" in own and (span := length(own["DURATION"][1])):

@@ -182,7 +182,18 @@ def best_move(m: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self
     return (best, float(gain[best] - gain[own])) if gain[best] > gain[own] + 1e-9 else (own, 0.0)
 
 
-def exchange(bigrams: DataFrame, heads: int, clusters: int, least_gain: float = 0.02, blocks: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(bigrams: DataFrame, units: int, heads: int) -> DataFrame:
+    """(word, other, n): each head's neighbours; other counts from `units` on for those before it, and is 2 * units for itself.
+
+    The rows of a word lie together, so that a task sums them up before they move.
+    """
+    a, z, n = F.floor(F.col("code") / units).cast("int"), (F.col("code") % units).cast("int"), F.col("n")
+    after = bigrams.select(a.alias("word"), F.when(a == z, 2 * units).otherwise(z).alias("other"), n)
+    before = bigrams.where(a != z).select(z.alias("word"), (a + units).alias("other"), n)
+    return after.unionByName(before).where(F.col("word") < heads).repartition("word").sortWithinPartitions("word")
+
+
+def exchange(bigrams: DataFrame, heads: int, clusters: int, least_gain: float = 0.05, blocks: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """(class of every unit, class bigram counts) after exchange clustering.
 
     Each round, Spark gathers every word's counts of neighbouring classes, and
@@ -199,6 +210,7 @@ def exchange(bigrams: DataFrame, heads: int, clusters: int, least_gain: float =
     units = len(classes)
     spark = bigrams.sparkSession
     start = swept = now_ = likelihood(counts)
+    near = written(neighbours(bigrams, units, heads), "neighbours") if heads else bigrams
     turn = 0
     while heads:
         sent = spark.sparkContext.broadcast((classes, counts))
@@ -206,16 +218,9 @@ def exchange(bigrams: DataFrame, heads: int, clusters: int, least_gain: float =
 
         def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes = sent.value[0]
-            moving = np.zeros(units, dtype=bool)
-            moving[:heads] = (np.arange(heads) * 2654435761 + sweep * 40503 >> 7) % 2 == part
+            side = np.concatenate([classes, total + classes, [2 * total]]).astype(np.int32)
             for b in batches:
-                code, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-                a, z = code // units, code % units
-                same = a == z
-                go_a, go_z, loops = moving[a] & ~same, moving[z] & ~same, moving[a] & same
-                word = np.concatenate([a[go_a], z[go_z], a[loops]])
-                side = np.concatenate([classes[z[go_a]], total + classes[a[go_z]], np.full(int(loops.sum()), 2 * total)])
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(side), pa.array(np.concatenate([n[go_a], n[go_z], n[loops]]))], names=["word", "side", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(side[b.column(1).to_numpy()]), b.column(2)], names=["word", "side", "n"])
 
         def moves(rows: pd.DataFrame) -> pd.DataFrame:
             classes, m = sent.value[0], sent.value[1].copy()
@@ -236,7 +241,8 @@ def exchange(bigrams: DataFrame, heads: int, clusters: int, least_gain: float =
                         m[at, at] += sign * self_
             return pd.DataFrame({"word": names, "now": found})
 
-        sides = bigrams.mapInArrow(profiles, "word long, side long, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
+        moving = near.where(F.pmod(F.xxhash64("word", F.lit(sweep)), F.lit(2)) == part)
+        sides = moving.mapInArrow(profiles, "word int, side int, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
         moved = sides.groupBy(F.pmod(F.col("word"), F.lit(blocks)).alias("block")).applyInPandas(moves, "word long, now long").toPandas()
         new = classes.copy()
         new[moved["word"].to_numpy(dtype=np.int64)] = moved["now"].to_numpy(dtype=np.int64)
@@ -328,7 +334,7 @@ def _assign(contexts: DataFrame, counts: np.ndarray, clusters: int) -> DataFrame
     return rows.mapInArrow(of, "kind int, word long, n long, class int")
 
 
-def train(docs: DataFrame, heads: int = 50_000, frequent: int = 200_000, clusters: int = 64, strength: float = 5.0, least_gain: float = 0.02) -> tuple[ClassModel, DataFrame]:
+def train(docs: DataFrame, heads: int = 20_000, frequent: int = 200_000, clusters: int = 64, strength: float = 5.0, least_gain: float = 0.05) -> tuple[ClassModel, DataFrame]:
     """The model, and the table (word, n, class) of all training words.
 
     `heads` words exchange in rounds; the classes and counts of about `frequent`

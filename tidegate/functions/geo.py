@@ -74,3 +74,23 @@ def reach_m(mode: Column, minutes: Column) -> Column:
     drive = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: drive_reach_m(wheel, h)))
     transit = F.greatest(F.lit(0.0), minutes - TRANSIT_WAIT_MIN) * TRANSIT_M_PER_MIN / TRANSIT_DETOUR
     return F.when(mode == "walk", minutes * WALK_M_PER_MIN / WALK_DETOUR).when(mode == "transit", transit).when(mode == "drive", drive)
+
+
+def destination_multiplier(window: Column) -> Column:
+    """How much farther a destination may be than an everyday place, by the minutes there are."""
+    return F.when(window >= 210, 2.0).when(window >= 150, 1.5).otherwise(1.0)
+
+
+def tiles_across(degrees: Column, most: float = 0.49) -> Column:
+    """How many tiles of at most `most` degrees cover an extent."""
+    return F.ceil(F.round(degrees / most, 9)).cast("int")
+
+
+def extent_m(catchment: Column, reach: Column) -> Column:
+    """How far around an area its places are read: catchment and reach, to whole hundreds."""
+    return (F.ceil((catchment + reach) / 100) * 100).cast("int")
+
+
+def slack_m(radius: Column) -> Column:
+    """How far beyond an extent a place's point may lie: its middle a little outside."""
+    return F.greatest(F.lit(1000.0), radius / 4)

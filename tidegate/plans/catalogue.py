@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.plans import evidence, places, records
+from tidegate.plans import evidence, glue, places, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**places.QUERIES, **evidence.QUERIES, **records.QUERIES}
-ORACLES: dict[str, str] = {**places.ORACLES, **evidence.ORACLES, **records.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**places.QUERIES, **evidence.QUERIES, **records.QUERIES, **glue.QUERIES}
+ORACLES: dict[str, str] = {**places.ORACLES, **evidence.ORACLES, **records.ORACLES, **glue.ORACLES}

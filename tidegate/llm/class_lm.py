@@ -334,7 +334,7 @@ def _assign(contexts: DataFrame, counts: np.ndarray, clusters: int) -> DataFrame
     return rows.mapInArrow(of, "kind int, word long, n long, class int")
 
 
-def train(docs: DataFrame, heads: int = 20_000, frequent: int = 200_000, clusters: int = 64, strength: float = 5.0, least_gain: float = 0.05) -> tuple[ClassModel, DataFrame]:
+def train(docs: DataFrame, heads: int = 20_000, frequent: int = 400_000, clusters: int = 64, strength: float = 5.0, least_gain: float = 0.05) -> tuple[ClassModel, DataFrame]:
     """The model, and the table (word, n, class) of all training words.
 
     `heads` words exchange in rounds; the classes and counts of about `frequent`
@@ -358,13 +358,13 @@ def train(docs: DataFrame, heads: int = 20_000, frequent: int = 200_000, cluster
     assigned = written(_assign(contexts, counts, clusters), "assigned")
     rest = assigned.where("kind = 0").select("word", "n", "class")
     known = docs.sparkSession.createDataFrame(pd.DataFrame({"word": by_rank, "n": top["n"].to_numpy(dtype=np.int64), "class": classes[: len(top)].astype(np.int32)}), "word long, n long, class int") if len(top) else rest.limit(0)
-    vocabulary = written(rest.unionByName(known), "vocabulary")
+    vocabulary = rest.unionByName(known)
 
     # class bigrams: of heads, of one head and another word, of two other words
     final = counts.copy()
     final[clusters], final[:, clusters] = 0.0, 0.0
     final += _sum_codes(assigned.where("kind = 1").select(F.col("word").alias("code"), "n"), total)
-    two = contexts.where("next is not null").groupBy("word", "next").agg(F.sum("n").alias("n"))
+    two = contexts.where("next is not null").select("word", "next", "n").repartition("word").groupBy("word", "next").agg(F.sum("n").alias("n"))
     two = two.join(rest.select("word", F.col("class").alias("a")), "word").join(rest.select(F.col("word").alias("next"), F.col("class").alias("z")), "next")
     final += _sum_codes(two.select((F.col("a") * total + F.col("z")).cast("long").alias("code"), "n"), total)
 
@@ -455,6 +455,7 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, key: str =
         give_back()
 
     parts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(of, PART)
+    parts = written(parts, "parts")  # read for single words, and for two together
     # rows without a word are dealt by document, so that they don't meet in one task
     parts = parts.withColumn("_w", F.coalesce("word", "doc_id", "mark"))
     joined = parts.join(vocabulary.select(F.col("word").alias("_w"), F.col("n").alias("c"), F.col("class").alias("k")), "_w", "left")

@@ -163,14 +163,14 @@ QUERIES = {
     "identity_resolve": identity_resolve, "identity_parents": identity_parents, "create_if_nothing_near": create_if_nothing_near, "event_site_reuse": event_site_reuse, "merge_pointers": merge_pointers,
     "merge_and_split": merge_and_split, "name_key": name_key, "chain_prefix": chain_prefix, "fuzzy_same_show": fuzzy_same_show,
 }
-_PAIR = f"""l AS ({A.LISTINGS_SQL}),
+_PAIR = rf"""l AS ({A.LISTINGS_SQL}),
 m AS (SELECT a.id AS a_id, b.id AS b_id, a.key AS ka, b.key AS kb, a.category = b.category AS same_kind, coalesce(a.brand, b.brand) IS NOT NULL AS chain, a.site = b.site AS site, a.phone = b.phone AS phone,
   CASE WHEN a.address = b.address THEN 0.3::DOUBLE WHEN a.address <> b.address THEN -0.6::DOUBLE ELSE 0 END AS address, coalesce(a.xid = b.xid, false) AS known, {HAVERSINE.format(a='a.', b='b.')} AS metres FROM l a JOIN l b ON a.id <> b.id),
 t AS (SELECT *, string_split(ka, ' ') AS ta, string_split(kb, ' ') AS tb, ka <> kb AND (contains(ka, kb) OR contains(kb, ka)) AS inside, CASE WHEN length(ka) > length(kb) THEN replace(ka, kb, '') ELSE replace(kb, ka, '') END AS extra FROM m WHERE metres <= 250),
 s AS (SELECT *, len(list_intersect(ta, tb)) / len(list_distinct(ta || tb))::DOUBLE AS j FROM t),
 w AS (SELECT *, round(CASE WHEN ka = kb THEN 0.45 WHEN j >= 0.6 THEN 0.3 WHEN inside THEN 0.25 WHEN j >= 0.34 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN metres < 25 THEN 0.3 WHEN metres < 75 THEN 0.2 WHEN metres < 150 THEN 0.1 ELSE 0 END::DOUBLE
   + CASE WHEN same_kind THEN 0.1 ELSE -0.25 END::DOUBLE + CASE WHEN site THEN CASE WHEN chain THEN 0.05 ELSE 0.3 END ELSE 0 END::DOUBLE + CASE WHEN phone THEN CASE WHEN chain THEN 0.05 ELSE 0.25 END ELSE 0 END::DOUBLE + address, 3) AS total,
-  inside AND NOT same_kind AND metres < 120 AND regexp_matches(extra, '\b(cafe|books)\b') AND contains(extra, 'cafe') AS child FROM s),
+  inside AND NOT same_kind AND metres < 120 AND regexp_matches(extra, '\bcafe\b') AS child FROM s),
 q AS (SELECT a_id, b_id, metres, ka, kb, CASE WHEN known THEN 1.0::DOUBLE WHEN child THEN least(total, 0.54::DOUBLE) ELSE total END AS score,
   CASE WHEN known THEN 'same' WHEN child THEN 'child_of' WHEN total >= 0.85 THEN 'same' ELSE 'different' END AS relation FROM w)"""
 

@@ -67,7 +67,9 @@ class Pieces:
         # most substrings are no pieces; a table of hash bits says so before the search
         self.may = np.zeros(1 << 22, dtype=bool)
         self.may[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-        self.bytes_texts = {int(i): b for b, i in enumerate(self.bytes_)}
+        self.raw = [t.replace(MARK, " ").encode("utf-8", "surrogatepass") for t in self.texts]  # what each id stands for
+        for b, i in enumerate(self.bytes_.tolist()):
+            self.raw[i] = bytes([b])
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -177,20 +179,24 @@ class Pieces:
     def _follow(self, codes: np.ndarray, back: np.ndarray, piece: np.ndarray) -> list[np.ndarray]:
         count, size = codes.shape
         row, at = np.arange(count), np.full(count, size)
-        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while (live := at > 0).any():
-            r = row[live]
-            a = at[live]
-            steps.append((r, piece[a, r], codes[r, a - 1]))
-            at[live] = a - back[a, r]
-        found: list[list[int]] = [[] for _ in range(count)]
-        for r, ids, last in reversed(steps):
-            for i, p, c in zip(r.tolist(), ids.tolist(), last.tolist(), strict=True):
-                if p >= 0:
-                    found[i].append(p)
-                else:
-                    found[i].extend(self.bytes_[list(chr(c).encode("utf-8", "surrogatepass"))].tolist())
-        return [np.array(f, dtype=np.int32) for f in found]
+        rows, ids, last = [], [], []
+        while len(row):
+            a = at[row]
+            rows.append(row)
+            ids.append(piece[a, row])
+            last.append(codes[row, a - 1])
+            at[row] = a - back[a, row]
+            row = row[at[row] > 0]
+        # steps run from the end of each chunk: turned round, and sorted by chunk alone, they run from its start
+        rows, ids, last = (np.concatenate(x[::-1]) for x in (rows, ids, last))
+        order = np.argsort(rows, kind="stable")
+        ids, last = ids[order].astype(np.int32), last[order]
+        ends = np.cumsum(np.bincount(rows, minlength=count)).tolist()
+        found = [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        for r in np.unique(rows[order][ids < 0]).tolist():
+            i, j = ends[r - 1] if r else 0, ends[r]
+            found[r] = np.concatenate([[p] if p >= 0 else self.bytes_[list(chr(x).encode("utf-8", "surrogatepass"))] for p, x in zip(ids[i:j].tolist(), last[i:j].tolist(), strict=True)]).astype(np.int32)
+        return found
 
 
 class Encoder:
@@ -198,7 +204,8 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, room: int = 300_000, cells: int = 1 << 21):
         self.pieces, self.room, self.cells = pieces, room, cells
-        self.kept: dict[str, bytes] = {}
+        self.mark = pieces.bytes_[list(MARK.encode())].astype(np.int32).tobytes()
+        self.kept: dict[str | None, bytes] = {None: self.mark}  # None stands for a mark of the text itself
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         by_size: dict[int, list[str]] = {}
@@ -231,22 +238,22 @@ class Encoder:
                 cut.append(parts)
             else:
                 cut.append(_CHUNK.findall(MARK + text.replace(" ", MARK)))
-        new = self.learn({c for parts in cut for c in parts if c is not None}.difference(self.kept))
-        mark = self.pieces.bytes_[list(MARK.encode())].astype(np.int32).tobytes()
-        get = lambda c: mark if c is None else new[c] if c in new else self.kept[c]
-        out = [np.frombuffer(b"".join(map(get, parts)), dtype=np.int32) for parts in cut]
-        if len(self.kept) + len(new) > self.room:
-            self.kept.clear()
-        self.kept.update((c, x) for c, x in new.items() if len(c) <= 24)
+        kept = self.kept
+        new = self.learn({c for parts in cut for c in parts}.difference(kept))
+        if len(kept) + len(new) > self.room:
+            kept.clear()
+            kept[None] = self.mark
+            new = self.learn({c for parts in cut for c in parts}.difference(kept))
+        kept.update(new)
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, parts)), dtype=np.int32) for parts in cut]
+        for c in new:
+            if len(c) > 24:
+                del kept[c]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose ids these are."""
-        raw = bytearray()
-        for i in ids.tolist():
-            byte = self.pieces.bytes_texts.get(i)
-            raw += bytes([byte]) if byte is not None else self.pieces.texts[i].replace(MARK, " ").encode("utf-8", "surrogatepass")
-        text = raw.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.pieces.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.plans import evidence, gate, glue, places, records
+from tidegate.plans import evidence, feeds, gate, glue, places, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**places.QUERIES, **evidence.QUERIES, **records.QUERIES, **glue.QUERIES, **gate.QUERIES}
-ORACLES: dict[str, str] = {**places.ORACLES, **evidence.ORACLES, **records.ORACLES, **glue.ORACLES, **gate.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**places.QUERIES, **evidence.QUERIES, **records.QUERIES, **glue.QUERIES, **gate.QUERIES, **feeds.QUERIES}
+ORACLES: dict[str, str] = {**places.ORACLES, **evidence.ORACLES, **records.ORACLES, **glue.ORACLES, **gate.ORACLES, **feeds.ORACLES}

@@ -24,7 +24,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def first_of_key(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """One event of each key inside the watermark."""
+    """One event of each key: of a stream inside the watermark, of a table at all."""
+    if not events.isStreaming:
+        return events.dropDuplicates(keys)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 

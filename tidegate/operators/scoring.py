@@ -18,7 +18,7 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def fit_score(travel: Column, max_travel: Column, window: Column, useful: Column, least: Column, typical: Column, chips: Column | float = 0.5, weather: Column | float = 0.5) -> Column:
+def fit_score(travel: Column, max_travel: Column, window: Column, useful: Column, least: Column, typical: Column, chips: Column | float = 0.5, weather: Column | float = 0.5, places: int | None = 3) -> Column:
     """How well a visit fits the time there is: travel, slack, company, weather."""
     chips, weather = (x if isinstance(x, Column) else F.lit(x) for x in (chips, weather))
     reach = F.least(max_travel, F.greatest(F.lit(10.0), window * 0.25))
@@ -27,7 +27,8 @@ def fit_score(travel: Column, max_travel: Column, window: Column, useful: Column
     near = F.greatest(F.lit(0.0), 1 - travel / reach)
     score = (1 - long * TRIP_SHARE) * near + long * TRIP_SHARE * worth
     slack = clamp((useful - least) / F.greatest(F.lit(15.0), least))
-    return F.round(clamp(FIT["travel"] * score + FIT["slack"] * slack + FIT["chips"] * chips + FIT["weather"] * weather), 3)
+    whole = clamp(FIT["travel"] * score + FIT["slack"] * slack + FIT["chips"] * chips + FIT["weather"] * weather)
+    return whole if places is None else F.round(whole, places)
 
 
 def appeal_score(*, event: Column, landmark: Column, completeness: Column, part: Column, chain: Column, boost: Column) -> Column:

@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from tidegate.plans import catalogue
+from tidegate.plans import catalogue, places
 from tidegate.session import local_session
 
 HEADLINE = ["near_open_ranked", "feasibility_codes", "coverage_cube", "diverse_order", "evidence_resolve", "ledger_supersede", "snapshot_diff", "pair_scores", "radius_pairs", "knn_nearest", "taste_fold", "html_visible_text", "revenue_by_status"]
@@ -22,11 +22,16 @@ def main() -> None:
         began = time.time()
         catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         taken[name] = round(time.time() - began, 3)
-    # requests times candidates a second: the comparable unit of a search engine
-    began = time.time()
+    # requests times candidates a second, gated, scored and ordered: the comparable unit of a search engine
     pairs = catalogue.QUERIES["feasibility_codes"](spark, sf_dir).count()
-    rate = round(pairs / (time.time() - began))
-    print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken, "candidates_per_second": rate, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    rate = round(pairs / taken["near_open_ranked"])
+    # one request over the candidates in its reach, warm
+    one = places.one_request(spark, sf_dir)
+    one.write.format("noop").mode("overwrite").save()
+    began = time.time()
+    one.write.format("noop").mode("overwrite").save()
+    latency = round(time.time() - began, 3)
+    print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken, "candidates_per_second": rate, "one_request_seconds": latency, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
 if __name__ == "__main__":

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DAYS = ["Su", "Mo", "Tu", "We", "Th", "Fr", "Sa"]
 _DAY = "(?:Su|Mo|Tu|We|Th|Fr|Sa)"
@@ -77,6 +78,68 @@ def parse(rule: str | None) -> tuple[list[tuple[int, int, int]] | None, bool]:
     return sorted((d, a, b) for d, spans in week.items() for a, b in spans), approximate
 
 
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+_MONTH = "(?:" + "|".join(MONTHS) + ")"
+_MONTHS = re.compile(rf"^({_MONTH}(?:\s*-\s*{_MONTH})?(?:\s*,\s*{_MONTH}(?:\s*-\s*{_MONTH})?)*)\s*:?\s*")
+RULES = "array<struct<seq:int,fallback:boolean,months:array<int>,days:array<int>,holiday:boolean,spans:array<struct<start:int,end:int>>>>"
+
+
+def months_of(text: str) -> list[int]:
+    found: list[int] = []
+    for part in re.split(r"\s*,\s*", text):
+        first, _, last = (x.strip() for x in part.partition("-"))
+        a, b = MONTHS.index(first), MONTHS.index(last or first)
+        found += [(a + i) % 12 + 1 for i in range((b - a) % 12 + 1)]
+    return found
+
+
+def parts_of(rule: str | None) -> list[tuple] | None:
+    """The parts of a rule as (seq, fallback, months, days, holiday, spans), or None for what can't be read.
+
+    Months and days that are not named are all; days are empty for a part about
+    holidays alone. Comments in quotes are left aside; a part after || is a
+    fallback; "off" has no spans.
+    """
+    found: list[tuple] = []
+    for group, text in enumerate(re.sub(r'"[^"]*"', "", rule or "").split("||")):
+        for part in filter(None, (p.strip() for p in text.split(";"))):
+            months, days, holiday = list(range(1, 13)), list(range(7)), False
+            if m := _MONTHS.match(part):
+                months, part = months_of(m[1]), part[m.end() :].strip()
+            if m := _DAYS.match(part):
+                (days, holiday), part = days_of(m[1]), part[m.end() :].strip()
+            spans = [] if part in ("off", "closed") else [(0, 1440)] if part in ("24/7", "") and (part or months != list(range(1, 13)) or len(days) < 7) else spans_of(part)
+            if spans is None:
+                return None
+            found.append((len(found), group > 0, months, days, holiday, spans))
+    return found or None
+
+
+def dated_hours(rows: DataFrame, days: DataFrame, rule: str = "opening_hours") -> DataFrame:
+    """The rows, which have a day, with holiday and spans: the hours of that day, null for a rule that can't be read.
+
+    `days` says which days are holidays (day date, holiday boolean).
+
+    Each distinct rule is read once. The last part that speaks of a day decides;
+    a fallback speaks only where the others leave the day without hours.
+    """
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("seq", "fallback", "months", "days", "holiday")
+        for b in batches:
+            read = [parts_of(r) for r in b[rule]]
+            yield pd.DataFrame({rule: b[rule], "parts": [None if p is None else [dict(zip(names, x[:5], strict=True)) | {"spans": [{"start": a, "end": z} for a, z in x[5]]} for x in p] for p in read]})
+
+    parts = rows.select(rule).where(f"`{rule}` is not null").distinct().mapInPandas(of, f"`{rule}` string, parts {RULES}")
+    d = days.select("day", "holiday", (F.dayofweek("day") - 1).alias("_weekday"), F.month("day").alias("_month"))
+    speaks = lambda p: F.array_contains(p["months"], F.col("_month")) & (F.array_contains(p["days"], F.col("_weekday")) | (p["holiday"] & F.col("holiday")))
+    last = lambda fallback: F.try_element_at(F.filter("parts", lambda p: speaks(p) & (p["fallback"] == fallback)), F.lit(-1))["spans"]
+    main, other = last(F.lit(False)), last(F.lit(True))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    spans = F.when(F.col("parts").isNull(), None).when(F.coalesce(F.size(main), F.lit(0)) > 0, main).otherwise(F.coalesce(other, empty))
+    return rows.join(parts, rule).join(d, "day").select(*rows.columns, "holiday", spans.alias("spans"))
+
+
 def weekly_hours(rows: DataFrame, rule: str = "opening_hours") -> DataFrame:
     """The rows with hours array<struct<weekday, start, end>>, approximate and unread."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegate.functions import dates, hours
 from tidegate.operators import ledger
 from tidegate.plans import adapters as A
 from tidegate.session import table
@@ -207,3 +208,18 @@ def first_of_key(spark, d):
 def happening_soon(spark, d):
     now = F.lit("1996-06-01").cast("timestamp")
     return A.occurrences(spark, d).where((F.col("start_at") >= now) & (F.col("start_at") <= now + F.expr("interval 120 minutes"))).select("occ_id", "venue_id")
+
+
+RULED = ["Apr-Oct Mo-Fr 09:00-17:00; Nov-Mar Mo-Fr 10:00-16:00", "Mo-Su 08:00-20:00; PH off", "24/7", 'Sa,Su 10:00-02:00 "ring the bell" || Mo 12:00-13:00', "Mo-Fr 09:00-12:00,13:00-18:00; Dec off", "sunrise-sunset"]
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, o_orderkey % 6 AS r, dayofweek(o_orderdate) AS w, month(o_orderdate) AS m, day(o_orderdate) AS n, (day(o_orderdate) + 6) // 7 AS k FROM orders),
+  h AS (SELECT *, strftime(day, '%m-%d') IN ('01-01', '06-19', '07-04', '11-11', '12-25') OR (w = 1 AND ((m IN (1, 2) AND k = 3) OR (m = 5 AND n > 24) OR (m = 9 AND k = 1) OR (m = 10 AND k = 2))) OR (m = 11 AND w = 4 AND k = 4) AS hol FROM o)
+  SELECT id, CASE r WHEN 0 THEN CASE WHEN w BETWEEN 1 AND 5 THEN CASE WHEN m BETWEEN 4 AND 10 THEN '540-1020' ELSE '600-960' END ELSE '' END WHEN 1 THEN CASE WHEN hol THEN '' ELSE '480-1200' END WHEN 2 THEN '0-1440' WHEN 3 THEN CASE w WHEN 6 THEN '600-1560' WHEN 0 THEN '600-1560' WHEN 1 THEN '720-780' ELSE '' END
+    WHEN 4 THEN CASE WHEN m = 12 OR w IN (0, 6) THEN '' ELSE '540-720,780-1080' END ELSE 'unread' END AS spans FROM h""")
+def dated_hours(spark, d):
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    o = table(spark, d, "orders").select(k.alias("id"), day.alias("day"), F.get(F.array(*map(F.lit, RULED)), (k % 6).cast("int")).alias("opening_hours"))
+    days = o.select("day").distinct().withColumn("holiday", dates.new_york_holiday(F.col("day")))
+    got = hours.dated_hours(o, days)
+    return got.select("id", F.coalesce(F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ","), F.lit("unread")).alias("spans"))

@@ -39,8 +39,14 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feasibility.evaluate(A.requests(spark), A.venues(spark, sf_dir, "customer"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluated(spark, sf_dir).where("class <> 'ineligible'")
+def one_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a single search."""
+    return scoring.ranked(scored(spark, sf_dir, A.requests(spark).where("request_id = 7")))
+
+
+def scored(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:
+    pairs = evaluated(spark, sf_dir) if requests is None else feasibility.evaluate(requests, A.venues(spark, sf_dir, "customer"))
+    rows = pairs.where("class <> 'ineligible'")
     fit = scoring.fit_score(F.col("travel"), F.col("max_travel"), F.col("window_min"), F.col("useful"), F.col("min_useful"), F.col("min_useful") * 2)
     complete = (F.col("status").isNotNull().cast("int") + F.col("price").isNotNull().cast("int") + F.lit(1)) / 3
     appeal = scoring.appeal_score(event=F.lit(False), landmark=F.col("venue_id") % 50 == 0, completeness=complete, part=F.when(F.col("arrival").between(600, 1200), "prime").otherwise("fair"), chain=F.col("venue_id") % 9 == 0, boost=F.lit(0.0))

@@ -40,6 +40,71 @@ def test_signals(spark):
         assert r.base_failed == (len(w) < 10 or 100 * r.n_repeat_words > 20 * len(w))
 
 
+def test_signals_of_odd_tables(spark):
+    long = "word " * 400_000
+    rows = docs(spark, [long, long, None]).withColumn("max_repeat_share", F.lit("mine")).withColumn("_stratum", F.lit("mine")).withColumn("stratum", F.lit("en"))
+    signals = quality_rules.with_signals(rows)
+    cutoffs = spark.createDataFrame([("en", 0.01, None, None, None)], "stratum string, max_symbol_share double, max_dup_line_share double, max_repeat_share double, max_mean_word_chars double")
+    got = quality_rules.judged(signals, cutoffs).collect()
+    assert len(got) == 3 and all(r.max_repeat_share == r._stratum == "mine" and not r.kept for r in got)
+    assert sorted(r.n_repeat_words for r in got) == [0, 400_000, 400_000]
+    assert quality_rules.with_signals(rows.limit(0)).count() == 0 == quality_rules.judged(signals.limit(0), cutoffs).count()
+
+
+def test_ties_of_gain_take_the_mildest_cutoff(spark):
+    rows = [("en", False, 0.0, 0.0, 0.0, 5.0, 1)] * 3000 + [("en", False, 0.5, 0.0, 0.0, 5.0, 0)] * 50
+    table = spark.createDataFrame(rows, "stratum string, base_failed boolean, symbol_share double, dup_line_share double, repeat_share double, mean_word_chars double, quality int")
+    assert quality_rules.certified_cutoffs(table).first().max_symbol_share == quality_rules.GRIDS["symbol_share"][-1]
+
+
+def test_language_scores_equal_brute_force(spark):
+    """Words by their log frequency, else the longest n-grams of which one is known; all in plain Python."""
+    train = [("en", "the cat sat on the mat with the other cats"), ("fr", "le chat est sur le tapis avec les autres chats"), ("de", "die Katze sitzt auf der Matte")]
+    texts = ["the cats", "le tapis", "catsitting zzz", "Katzen", "qqq", "the-le the", "x"]
+    model = language_id.train(spark.createDataFrame([(i, t, c) for i, (c, t) in enumerate(train)], "doc_id long, text string, lang string"))
+    langs = sorted(c for c, _ in train)
+    counts = {n: {c: Counter() for c in langs} for n in range(5)}
+    for c, t in train:
+        for w in t.lower().split():
+            counts[0][c][w] += 1
+            p = f"^{w}$"
+            for n in range(1, 5):
+                counts[n][c].update(p[i : i + n] for i in range(len(p) - n + 1))
+
+    def logs(n, unit):
+        kinds, most = max(len(counts[n][c]) for c in langs), max(sum(counts[n][c].values()) for c in langs)
+        floor = math.log(0.5 / (most + 0.5 * kinds + 1))
+        return [math.log((counts[n][c][unit] + 0.5) / (sum(counts[n][c].values()) + 0.5 * kinds + 1)) - floor if counts[n][c][unit] else 0.0 for c in langs]
+
+    def word(w):
+        if any(counts[0][c][w] for c in langs):
+            return logs(0, w)
+        p = f"^{w}$"
+        for n in (4, 3, 2, 1):
+            known = [g for g in (p[i : i + n] for i in range(len(p) - n + 1)) if any(counts[n][c][g] for c in langs)]
+            if known:
+                return [sum(x) / len(known) for x in zip(*(logs(n, g) for g in known), strict=True)]
+        return [0.0] * len(langs)
+
+    got = language_id.identify(docs(spark, texts), model).orderBy("doc_id").collect()
+    for r in got:
+        tokens = [[word(w) for w in "".join(x if x.isalpha() else " " for x in t).split()] for t in texts[r.doc_id].lower().split()]
+        means = [[sum(x) / len(ws) for x in zip(*ws, strict=True)] for ws in tokens]
+        mean = [sum(x) / len(means) for x in zip(*means, strict=True)]
+        p = [math.exp((x - max(mean)) * len(means)) for x in mean]
+        best = max(range(len(langs)), key=lambda i: (p[i], -i))
+        assert r.lang_pred == langs[best] and abs(r.score - p[best] / sum(p)) < 1e-5
+
+
+def test_languages_of_odd_tables(spark):
+    model = language_id.train(docs(spark, ["the cat", "the cat"]))
+    assert language_id.identify(docs(spark, []), model).count() == 0
+    twice = docs(spark, ["the"]).union(docs(spark, ["the"]))
+    assert [r.lang_pred for r in language_id.identify(twice, model).collect()] == ["en", "en"]
+    many = spark.createDataFrame([(i, f"word{chr(97 + i // 26)}{chr(97 + i % 26)}", f"l{i:03}") for i in range(150)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many).langs) == 150  # every language is learnt
+
+
 def test_binomial_tail(spark):
     cases = [(50, 0), (200, 3), (1000, 2), (40, 1), (10, 5)]
     df = spark.createDataFrame(cases, "n long, k long")
@@ -106,6 +171,15 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_repeated_ids_and_ties(spark):
+    shared = "Read this on every site"
+    rows = [(i, f"own {i}\n{shared}", "en", f"site{i}", 0) for i in range(8)] + [(0, f"other\n{shared}\nx", "en", "site0", 0), (0, f"own 0\n{shared}", "en", "site0", 0), (None, f"none\n{shared}", "en", "site0", 0)]
+    rows += [(50 + i, "seven sites only\nown", "en", f"site{i}", 0) for i in range(7)] + [(99, ("line\n" * 200_000) + shared, "en", "site1", 0)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and all(r.n_spread == r.n_removed == 1 for r in got if r.doc_id is None or r.doc_id < 50 or r.doc_id == 99)
+    assert sorted(r.text for r in got if r.doc_id == 0) == ["other\nx", "own 0", "own 0"] and all(r.n_spread == 0 for r in got if r.doc_id and 50 <= r.doc_id < 90)
+
+
 def test_lines_go_from_short_documents_too(spark):
     shared = ["Licensed to all who read this page", "Follow us on every other site as well"]
     texts = [f"own {i}\n{shared[0]}\n{shared[1]}" for i in range(9)] + ["\n".join(shared), f"{shared[1]}\n\nx"]

@@ -76,6 +76,12 @@ def test_signatures_meet_whenever_sets_are_similar():
                     assert len(np.intersect1d(bands.signatures(a), bands.signatures(b)))
 
 
+def test_join_of_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    got = ngram_join.join_components(table(spark, [long, long + " end", "a b c d e f"]).union(table(spark, [long])), filter_bits=1 << 12).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (0, 0), (1, 0), (2, 2)]
+
+
 def test_one_of_each_keeps_the_smallest(spark):
     texts = ["a b c d e f g h", "a b c d e f g h", "z y x w v u", None]
     kept = ngram_join.one_of_each(table(spark, texts), filter_bits=1 << 10)
@@ -114,6 +120,23 @@ def test_fingerprints_estimate_similarity(spark):
     assert fingerprints.fingerprints(table(spark, [])).count() == 0
 
 
+def test_fingerprint_query_on_odd_tables(spark, tmp_path):
+    def run(name, rows):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        return {r.doc_id: r for r in fingerprints.op5(spark, str(tmp_path / name)).collect()}
+
+    one = run("one", [(7, "a b c d")])[7]  # its own next document
+    assert one.n_chars == 7 and one.near_next == 1.0
+    long = "word " * 100_000 + "end"
+    got = run("some", [(1, None), (2, ""), (3, long), (4, long), (5, "é🙂" * 8)])
+    assert got[3].fingerprint == got[4].fingerprint and got[3].near_next == 1.0 and got[1].fingerprint == got[2].fingerprint and got[5].n_chars == 16
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
+    for r in got.values():  # likeness is the share of equal samples
+        same = [r.fingerprint[i : i + 8] == r.edited_fingerprint[i : i + 8] for i in range(0, len(r.fingerprint), 8)]
+        assert abs(r.near_edited - sum(same) / len(same)) < 1e-9
+    assert run("none", []) == {}
+
+
 def test_next_in_order_closes_the_ring(spark):
     ids = spark.createDataFrame([(i,) for i in (5, -3, 99, 7, 12, 40)], "doc_id long")
     got = {r.doc_id: r.next_id for r in fingerprints.next_in_order(ids, "doc_id", rows_per_part=2).collect()}
@@ -271,6 +294,15 @@ def test_trees(spark):
     assert reply_trees.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_trees_of_ties_repeats_and_long_texts(spark):
+    long = "x<|im_end|>" * 50_000
+    rows = [(1, 1, None, 1.0, "user", long), (1, 3, 1, 0.5, "assistant", "b"), (1, 2, 1, 0.5, "assistant", "a")]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
+    assert [r.path for r in reply_trees.best_paths(nodes, 1).select("path").distinct().collect()] == [2]  # the smaller id of equal leaves
+    got = reply_trees.format_trees(nodes, 1).select(reply_trees.turns_of(F.col("text")).alias("t")).first().t
+    assert [x.text for x in got] == [long, "a"]
+
+
 def test_exchange_gain_is_the_likelihood_difference():
     rng = np.random.default_rng(0)
     words, clusters = 12, 3

@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,11 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bucket_of(key: Column | str, buckets: int) -> Column:
     """crc32 of the key as text, modulo the number of buckets."""
     key = F.col(key) if isinstance(key, str) else key

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import SPACE, written
+from tidegate.llm.common import SPACE, let, written
 
 
 def line_key(line: Column) -> Column:
@@ -61,7 +61,7 @@ def drop_lines(docs: DataFrame, spread: DataFrame, key: str = "doc_id", text: st
     hits = marked.join(spread.select("line"), "line", "left_semi").groupBy("_key", "_body").agg(F.collect_set("pos").alias("_at"))
     out = docs.join(hits, docs[key].eqNullSafe(hits["_key"]) & (body == hits["_body"]), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_at"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    kept = let(lines, lambda all_: F.array_join(F.transform(left, lambda i: F.get(all_, i)), "\n"))
     n_lines = F.size(F.filter(lines, lambda line: line.rlike(f"[^{SPACE}]")))
     hit = F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at")).cast("long")
     cut = (hit > 0) & (hit < n_lines)

@@ -15,14 +15,17 @@ cutoffs the one that gains most on the labels is used.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import SPACE, words, written
+from tidegate.llm.common import SPACE, let, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Cutoffs of more strata than this are joined by a shuffle.
+MOST_SENT = 10_000
 #: Cutoffs of each rule, mildest last.
 GRIDS: dict[str, list[float]] = {
     "symbol_share": [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35],
@@ -32,11 +35,6 @@ GRIDS: dict[str, list[float]] = {
 }
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeated_words(array: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window of words found twice or more in the text.
 
@@ -46,22 +44,22 @@ def repeated_words(array: Column, window: int = WINDOW) -> Column:
 
     def of(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(window))))
-        return F.when(F.size(w) < window, F.lit(0).cast("long")).otherwise(_let(hashes, repeats))
+        return F.when(F.size(w) < window, F.lit(0).cast("long")).otherwise(let(hashes, repeats))
 
     def repeats(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(pairs, places))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, places))
 
     def places(s: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
         at = F.transform(s, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"]))
-        return _let(F.sort_array(F.array_compact(at)), covered)
+        return let(F.sort_array(F.array_compact(at)), covered)
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return _let(array, of)
+    return let(array, of)
 
 
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -77,7 +75,7 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *GRIDS, "base_failed"]
     kept = [c for c in docs.columns if c not in names]
     counted = docs.select(
-        *kept, _let(words(text), of_words).alias("_w"), _let(lines, n_lines).alias("_l"), F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols")
+        *kept, let(words(text), of_words).alias("_w"), let(lines, n_lines).alias("_l"), F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols")
     ).select(*kept, F.col("_w.n").alias("n_words"), F.col("_w.chars").alias("word_chars"), "n_symbols", F.col("_l.all").alias("n_lines"), F.col("_l.dup").alias("n_dup_lines"), F.col("_w.repeat").alias("n_repeat_words"))
     share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return counted.select(
@@ -142,14 +140,18 @@ def judged(signals: DataFrame, cutoffs: DataFrame, stratum: str = "stratum") ->
     """The rows with `kept`: base passed and no measure above its certified cutoff.
 
     Cutoffs hold one row a stratum. A row of a stratum without cutoffs is judged
-    by the base alone.
+    by the base alone. A column `kept` is replaced; all others stay.
     """
-    over = [F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False)) for r in GRIDS]
-    rows = signals.join(cutoffs.withColumnRenamed("stratum", "_stratum"), F.col(stratum) == F.col("_stratum"), "left")
-    bad = over[0]
-    for x in over[1:]:
-        bad = bad | x
-    return rows.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_stratum", *(f"max_{r}" for r in GRIDS))
+    mark = uuid.uuid4().hex[:8]  # the rows may have columns of any name
+    key, cuts = f"_stratum_{mark}", f"_cuts_{mark}"
+    named = cutoffs.select(F.col("stratum").alias(key), F.struct(*(f"max_{r}" for r in GRIDS)).alias(cuts))
+    if cutoffs.limit(MOST_SENT + 1).count() <= MOST_SENT:  # one row a stratum; a few strata would be hot keys of a shuffle
+        named = F.broadcast(named)
+    bad = F.lit(False)
+    for r in GRIDS:
+        bad = bad | F.coalesce(F.col(r) > F.col(f"{cuts}.max_{r}"), F.lit(False))
+    kept = [c for c in signals.columns if c != "kept"]
+    return signals.join(named, F.col(stratum) == F.col(key), "left").select(*kept, (~F.col("base_failed") & ~bad).alias("kept"))
 
 
 def quality_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ A word is a 64-bit number made of its language and its letters. Words are
 counted, then pairs of frequent words. Every place where at least two frequent
 pairs meet is a pointer; it carries the words that follow, five in all at most,
 up to the end of the piece or to the first pair that is not frequent. Pointers go
-to the task of their prefix, sorted by their words, so that the pointers of every
+to the task of their prefix and are sorted by their words, so that the pointers of every
 longer prefix lie next to each other: a prefix grows to the right, depth first,
 by cutting its run of pointers at each new next word.
 """
@@ -174,12 +174,26 @@ def _keys_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(pair_key(a, b).view(np.int64)), batch.column("a"), batch.column("b"), batch.column("n")], names=["key", "a", "b", "n"])
 
 
-def _pointers(pairs: Marks, hot: Marks):
-    """Windows of three words or more with their counts and the prefix whose task they go to.
+def _pointers(pairs: Marks, hot: Marks, buckets: int):
+    """Windows of three words or more with their counts, in blocks of prefixes that go to one task.
 
-    A prefix has two words, or three where the first two are hot.
+    A prefix has two words, or three where the first two are hot. A block holds
+    whole columns: the words of its windows and their counts.
     """
 
+    def sent(held: Held) -> Iterator[pa.RecordBatch]:
+        held.pack()
+        for columns, counts in held.rows:
+            if not len(counts):
+                continue
+            bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, rows = bucket[order], np.stack([*(c[order].view(np.int64) for c in columns[1:]), counts[order]])
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, np.arange(0, len(bucket), 1 << 16)]))
+            blocks = [rows[:, low:high].tobytes() for low, high in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+        held.rows, held.size = [], 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held(["prefix", *(f"w{j}" for j in range(LONGEST))])
         for batch in batches:
@@ -200,8 +214,8 @@ def _pointers(pairs: Marks, hot: Marks):
                 prefix = two[start]
                 prefix = np.where(hot(prefix), pair_key(prefix, columns[2]), prefix)
                 if held.add(*summed([prefix, *columns], np.ones(len(start), dtype=np.int64))):
-                    yield from held.send()
-        yield from held.send()
+                    yield from sent(held)
+        yield from sent(held)
         give_back()
 
     return run
@@ -232,58 +246,46 @@ def grow(columns: list[np.ndarray], counts: np.ndarray, least: int, depth: int =
 
 
 def _grow_prefixes(least: int):
-    """Cuts a task's sorted pointers at each prefix and grows it; one prefix is held at a time."""
-    names = [f"w{j}" for j in range(LONGEST)]
-
-    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        prefix, counts = table["prefix"].to_numpy(), table["n"].to_numpy()
-        columns = [table[c].to_numpy().view(np.uint64) for c in names]
-        cuts = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1])
-        ends = np.concatenate([cuts[1:], [len(prefix)]])
+    """Puts a bucket's blocks together, sorts their windows, and grows each prefix; one bucket is held at a time."""
+
+    def settled(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.frombuffer(b, dtype=np.int64).reshape(LONGEST + 1, -1) for b in blocks], axis=1)
+        columns, counts = summed([c.view(np.uint64) for c in rows[:-1]], rows[-1])
+        cuts = np.concatenate([[0], np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1])
+        ends = np.concatenate([cuts[1:], [len(counts)]])
         found = []
         for i in np.flatnonzero(np.add.reduceat(counts, cuts) >= least):
             part = slice(int(cuts[i]), int(ends[i]))
-            # two prefixes may share a number; their first words part them
-            own = [c[part] for c in columns]
-            parts = np.flatnonzero((own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])) + 1
-            for low, high in zip([0, *parts.tolist()], [*parts.tolist(), len(own[0])], strict=True):
-                found += grow([c[low:high] for c in own], counts[part][low:high], least)
+            found += grow([c[part] for c in columns], counts[part], least)
         for at in range(0, len(found), 1 << 15):
             phrases, n = zip(*found[at : at + (1 << 15)], strict=True)
             signed = [np.array(p, dtype=np.uint64).view(np.int64).tolist() for p in phrases]
             yield pa.RecordBatch.from_arrays([pa.array(signed, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["words", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        now, held = None, []
         for batch in batches:
-            prefix = batch.column("prefix").to_numpy()
-            if not len(prefix):
-                continue
-            cut = np.flatnonzero(prefix != prefix[-1])
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            if cut or held and held[-1].column("prefix")[0].as_py() != prefix[0]:
-                if held or cut:
-                    whole = pa.Table.from_batches([*held, batch.slice(0, cut)])
-                    if len(whole):
-                        yield from settled(whole)
-                held = []
-            held.append(batch.slice(cut))
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
+                if bucket != now and held:
+                    yield from settled(held)
+                    held = []
+                now = bucket
+                held.append(block.as_py())
         if held:
-            yield from settled(pa.Table.from_batches(held))
+            yield from settled(held)
         give_back()
 
     return run
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, hot: int = 20_000, bucket: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Words (word, lang, form, n, total) and phrases (words, a) with counts of at least `least`.
 
     `docs` has lang and text; a null text is empty, a null lang UNDEFINED. total
     is the number of all words of the language. Phrases have two to five words of
     one piece, and all their occurrences count, overlapping ones too. `hot` is
     the number of occurrences beyond which a pair's pointers are dealt out by
-    their third word.
+    their third word, and `bucket` about how many occurrences go to one bucket.
     """
     docs = docs.select("lang", "text")
     counted = docs.mapInArrow(_count_words, "word long, lang string, form string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"), F.max("form").alias("form"))
@@ -297,9 +299,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, hot: int = 20_000) -> tu
     pairs = docs.mapInArrow(_count_pairs(known), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     pairs = written(pairs.mapInArrow(_keys_of_pairs, "key long, a long, b long, n long"), "pairs")
 
-    names = ["prefix", *(f"w{j}" for j in range(LONGEST))]
-    pointers = docs.mapInArrow(_pointers(Marks(pairs), Marks(pairs.where(F.col("n") > hot))), ", ".join(f"{c} long" for c in (*names, "n")))
-    grown = pointers.repartition("prefix").sortWithinPartitions(*names).mapInArrow(_grow_prefixes(least), "words array<long>, a long")
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    pointers = docs.mapInArrow(_pointers(Marks(pairs), Marks(pairs.where(F.col("n") > hot)), 1 + total // bucket), "bucket long, block binary")
+    grown = pointers.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_grow_prefixes(least), "words array<long>, a long")
     return words, written(grown.unionByName(pairs.select(F.array("a", "b").alias("words"), F.col("n").alias("a"))), "phrases")
 
 

@@ -108,12 +108,12 @@ def best_of_block(queries: np.ndarray, least: np.ndarray, block: dict[str, np.nd
         guess = (q @ index.rotation(dim).T) @ signs.T
         guess += (q @ centres)[:, None]
         for i in range(len(q)):
-            low, est = least[at + i], guess[i]
+            low, est, seeds = least[at + i], guess[i], np.zeros(0, dtype=np.int64)
             if len(vectors) > k:
                 seeds = np.argpartition(-est, k - 1)[:k]
                 low = max(low, exact(q[i], vectors[seeds]).min())
             slack = 1e-9 * (norms[i] + np.abs(est).max(initial=0))
-            rows = np.flatnonzero(est + bound * norms[i] + slack >= low)
+            rows = np.union1d(np.flatnonzero(est + bound * norms[i] + slack >= low), seeds)
             rough = vectors[rows] @ q[i]
             if len(rows) > k:
                 low = max(low, np.partition(rough, len(rows) - k)[len(rows) - k])
@@ -263,10 +263,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_i
         return found
 
     homes = known.select("rep", "v").mapInArrow(_homes(index), "dim int, cell int, rep long, v array<double>").withColumn("least", F.lit(float("-inf")))
-    seen = search(homes, every=False).select("rep", F.when(F.size("score") > k, F.element_at("score", -1)).otherwise(float("-inf")).alias("least"))
-    asking = known.select("rep", "v").join(written(seen, "seen"), "rep", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    seen = written(search(homes, every=False), "seen")
+    asking = known.select("rep", "v").join(seen, "rep", "left").select("rep", "v", F.when(F.size("score") > k, F.element_at("score", -1)).otherwise(float("-inf")).alias("least"))
     found = search(asking.mapInArrow(_open_lists(index, reach), "dim int, cell int, rep long, v array<double>, least double"), every=True)
-    near = found.select("rep", F.explode(F.arrays_zip("near", "score")).alias("x")).select("rep", F.col("x.near").alias("near"), F.col("x.score").alias("score"))
+    # what the first look found stays, also where an estimate falls short the second time
+    near = found.unionByName(seen).select("rep", F.explode(F.arrays_zip("near", "score")).alias("x")).select("rep", F.col("x.near").alias("near"), F.col("x.score").alias("score")).distinct()
     order = (F.desc("score"), F.asc("near"))
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).where(F.col("_n") <= k + 1).drop("_n")
     ids = near.join(distinct.select(F.col("rep").alias("near"), "ids"), "near").select("rep", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id")))).alias("x"))

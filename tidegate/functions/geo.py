@@ -25,11 +25,15 @@ ROAD_KMH = {"peak": 40.0, "night": 70.0, "day": 60.0}
 MAX_TRAVEL_MIN = {"walk": 25, "drive": 30, "transit": 35}
 
 
+def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """The squared sine of half the angle between two points; it grows with their distance."""
+    dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
+    return F.pow(F.sin(dlat / 2), 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2.0)
+
+
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres on a sphere."""
-    dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
-    h = F.pow(F.sin(dlat / 2), 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2.0)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(haversine(lat1, lon1, lat2, lon2))))
 
 
 def degrees_lat(metres: float) -> float:

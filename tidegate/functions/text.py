@@ -49,10 +49,10 @@ def phone_key(phone: Column) -> Column:
     return F.when(F.length(digits) >= 7, local)
 
 
-def name_prefixes(key: Column, longest: int = 4) -> Column:
-    """The first one to `longest` words of a key, to meet a list of chain names."""
+def name_prefixes(key: Column) -> Column:
+    """The first word of a key, the first two, and so on to the whole, to meet a list of chain names."""
     words = F.split(key, " ")
-    return F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest))), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
 
 
 def title_words(title: Column) -> Column:

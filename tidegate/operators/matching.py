@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import geo, labels
 
-POPULAR = 30
+POPULAR = 20
 #: Facts of a venue that say nothing of an event held there.
 NOT_INHERITED = ["opening_hours"]
 

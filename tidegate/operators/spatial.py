@@ -55,7 +55,10 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     near = left.withColumn("_c", F.explode(grid.around(F.col("a_lat"), F.col("a_lon"))))
     placed = right.withColumn("_c", grid.cell(F.col("b_lat"), F.col("b_lon")))
     pairs = near.join(placed, (near["_c"]["y"] == placed["_c"]["y"]) & (near["_c"]["x"] == placed["_c"]["x"])).drop("_c")
-    return pairs.withColumn("metres", geo.distance_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("metres") <= metres)
+    points = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
+    # most pairs go by latitude or by the cheaper measure; the exact one is worked out for the rest
+    likely = (F.abs(points[0] - points[2]) <= grid.height * (1 + 1e-6)) & (geo.haversine(*points) <= math.sin(min(grid.angle, math.pi) / 2) ** 2 * (1 + 1e-6))
+    return pairs.where(likely).withColumn("metres", geo.distance_m(*points)).where(F.col("metres") <= metres)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, metres: float) -> DataFrame:

@@ -131,7 +131,7 @@ def merge_and_split(spark, d):
     c = table(spark, d, "customer")
     links = c.select(F.col("c_custkey").alias("record_id"), F.col("c_nationkey").cast("long").alias("entity_id"))
     o = table(spark, d, "orders")
-    merges = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("seq"), F.lit("merge").alias("kind"), (F.col("o_orderkey") % 25).cast("long").alias("subject"), (F.col("o_orderkey") % 7).cast("long").alias("entity_id"))
+    merges = o.where("o_orderkey % 50 <> 1").select(F.col("o_orderkey").alias("seq"), F.lit("merge").alias("kind"), (F.col("o_orderkey") % 25).cast("long").alias("subject"), (F.col("o_orderkey") % 7).cast("long").alias("entity_id"))
     splits = o.where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("seq"), F.lit("split").alias("kind"), F.col("o_custkey").alias("subject"), (F.lit(1000000) + F.col("o_orderkey")).cast("long").alias("entity_id"))
     return identity.decided(links, merges.unionByName(splits))
 
@@ -201,7 +201,7 @@ ORACLES = {
     "create_if_nothing_near": f"WITH {_PAIR} SELECT id AS record_id FROM l WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM q WHERE a_id = id AND b_id % 2 = 0 AND score >= 0.55)",
     "event_site_reuse": f"WITH {_PAIR}, n AS (SELECT a_id, arg_min(b_id, (metres, b_id)) AS b_id FROM q WHERE a_id % 2 = 1 AND b_id % 2 = 0 AND metres <= 75 AND ka = kb GROUP BY 1) SELECT id AS a_id, coalesce(b_id, -1) AS b_id FROM l LEFT JOIN n ON a_id = id WHERE id % 2 = 1",
     "merge_pointers": "WITH RECURSIVE p AS (SELECT c_custkey AS id, c_custkey + 1 AS nxt FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 6 = 0), f AS (SELECT id, nxt AS here, 1 AS hops FROM p UNION ALL SELECT f.id, p.nxt, hops + 1 FROM f JOIN p ON p.id = f.here WHERE hops < 5) SELECT id, arg_max(here, hops) AS last FROM f GROUP BY 1",
-    "merge_and_split": "WITH m AS (SELECT o_orderkey % 25 AS e, arg_max(o_orderkey % 7, o_orderkey) AS t FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), s AS (SELECT o_custkey AS k, arg_max(1000000 + o_orderkey, o_orderkey) AS t FROM orders WHERE o_orderkey % 50 = 1 GROUP BY 1) SELECT c_custkey AS record_id, coalesce(s.t, m.t, c_nationkey)::BIGINT AS entity_id FROM customer LEFT JOIN m ON e = c_nationkey LEFT JOIN s ON k = c_custkey",
+    "merge_and_split": "WITH m AS (SELECT o_orderkey % 25 AS e, arg_max(o_orderkey % 7, o_orderkey) AS t FROM orders WHERE o_orderkey % 50 <> 1 GROUP BY 1), s AS (SELECT o_custkey AS k, arg_max(1000000 + o_orderkey, o_orderkey) AS t FROM orders WHERE o_orderkey % 50 = 1 GROUP BY 1) SELECT c_custkey AS record_id, coalesce(s.t, m.t, c_nationkey)::BIGINT AS entity_id FROM customer LEFT JOIN m ON e = c_nationkey LEFT JOIN s ON k = c_custkey",
     "name_key": r"""WITH k AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower('The ' || p_name || ' & Café, Inc. St.')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '\b(the|inc|llc|ltd|co)\b', ' ', 'g'), ' +', ' ', 'g')) AS k FROM part)
       SELECT p_partkey, array_to_string(list_transform(string_split(k, ' '), lambda w: CASE w WHEN 'st' THEN 'street' ELSE w END), ' ') AS k,
       array_to_string(list_transform(list_filter(list_zip(string_split(k, ' '), range(1, 99)), lambda z: length(z[1]) > 1 AND list_position(string_split(k, ' '), z[1]) = z[2]), lambda z: z[1]), ' ') AS t FROM k""",

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegate.functions import geo
+from tidegate.functions import geo, sun
 from tidegate.operators import feasibility, gate
 from tidegate.plans import adapters as A
 from tidegate.plans.places import EVALUATED_SQL
+from tidegate.session import table
 
 #: What candidates and requests say, as SQL of both engines, over pairs of request and venue.
 SAID = {
@@ -40,8 +41,6 @@ SAID = {
     "return_travel": "travel",
     "hours": "CASE venue_id % 11 WHEN 0 THEN 'none' WHEN 1 THEN 'error' WHEN 2 THEN 'approx' WHEN 3 THEN 'always' ELSE 'exact' END",
     "dawn_dusk": "category = 'park'",
-    "sunrise": "360",
-    "sunset": "1200",
     "kitchen_open": "CASE WHEN venue_id % 3 = 0 THEN open_min + 60 END",
     "kitchen_close": "CASE WHEN venue_id % 3 = 0 THEN close_min - 45 END",
     "last_entry": "CASE WHEN venue_id % 5 = 2 THEN 45 END",
@@ -56,9 +55,15 @@ SAID = {
 }
 
 
+#: The requests' Saturday, and its clock.
+DAY, ZONE = "2024-06-01", "America/New_York"
+
+
 def candidates(spark, d):
     """Pairs in reach with all that the gate reads."""
-    pairs = feasibility.timed(feasibility.in_reach(A.requests(spark), A.venues(spark, d)))
+    lit = sun.with_sun(A.venues(spark, d).withColumn("zone", F.lit(ZONE)), F.lit(DAY).cast("date"))
+    lit = lit.select(*(c for c in lit.columns if c not in ("zone", "sun")), "sun.sunrise", "sun.sunset")
+    pairs = feasibility.timed(feasibility.in_reach(A.requests(spark), lit))
     rows = pairs.select(*[c for c in pairs.columns if c not in ("arrival", "deadline", "closes", "useful", "min_age")], *(F.expr(v).alias(k) for k, v in SAID.items()))
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c)))
     return rows.select("*", one("asked_category").alias("categories"), one("asked_cuisine").alias("cuisines_asked"), one("cuisine").alias("cuisines"), one("asked_diet").alias("diets_asked"), F.create_map(F.lit("vegan"), F.col("diet_level")).alias("diet_levels"), one("asked_feature").alias("features_asked"), one("feature").alias("features"))
@@ -80,8 +85,9 @@ def parking_choice(spark, d):
 
 
 def destination_reach(spark, d):
-    w = spark.range(30, 300, 30).select(F.col("id").cast("int").alias("window_min"), F.explode(F.array(F.lit(25), F.lit(30), F.lit(35))).alias("base"))
-    return w.select("window_min", "base", F.round(F.col("base") * geo.destination_multiplier(F.col("window_min"))).cast("int").alias("limit_min"))
+    """How far an outing may be for each order taken for a request: its window by the order, its mode by the customer."""
+    w = table(spark, d, "orders").select("o_orderkey", (30 + F.col("o_orderkey") % 27 * 10).cast("int").alias("window_min"), F.get(F.array(*map(F.lit, (25, 30, 35))), (F.col("o_custkey") % 3).cast("int")).alias("base"))
+    return w.select("o_orderkey", F.round(F.col("base") * geo.destination_multiplier(F.col("window_min"))).cast("int").alias("limit_min"))
 
 
 QUERIES = {f.__name__: f for f in (gate_codes, gate_histogram, parking_choice, destination_reach)}
@@ -123,7 +129,7 @@ gb AS (SELECT *, coalesce(early, during, late) AS excluded, concat_ws(',', CASE
   CASE WHEN requirement = 'tour_only' THEN 'TOUR_ONLY' END, CASE WHEN coalesce(requirement, 'unknown') = 'unknown' THEN 'ADMISSION_UNKNOWN' END) AS doubts FROM ga)"""
 
 
-_PAIRS = f"{EVALUATED_SQL.replace(A.venues_sql('customer'), A.venues_sql())}, w AS (SELECT *, {_SAID} FROM (SELECT * EXCLUDE (arrival, deadline) FROM near))"
+_PAIRS = f"{EVALUATED_SQL.replace(A.venues_sql('customer'), A.venues_sql())}, sky AS (SELECT venue_id, sunrise, sunset FROM {sun.sun_sql(f"(SELECT venue_id, lat, lon, '{ZONE}' AS zone FROM ({A.venues_sql()}))", f"DATE '{DAY}'")}), w AS (SELECT *, {_SAID} FROM (SELECT * EXCLUDE (arrival, deadline) FROM near) JOIN sky USING (venue_id))"
 
 ORACLES = {
     "gate_codes": f"""WITH {_PAIRS}, {_gate_sql()} SELECT request_id, venue_id, CASE WHEN excluded IS NOT NULL THEN 'ineligible' WHEN doubts <> '' THEN 'check_first' ELSE 'ready' END AS class, coalesce(excluded, '') AS excluded_by, doubts,
@@ -134,5 +140,5 @@ ORACLES = {
     "parking_choice": f"""WITH {_PAIRS}, {_gate_sql()}, rr AS (SELECT request_id, venue_id, arrival, finish FROM gb WHERE kind = 'venue' AND mode = 'drive' AND excluded IS NULL),
       l AS (SELECT s_suppkey AS venue_id, s_suppkey * 10 + n AS lot_id, n * 3 + s_suppkey % 4 AS walk, 300 + s_suppkey * n % 9 * 60 AS o, 1000 + s_suppkey * n % 11 * 60 AS c FROM supplier CROSS JOIN (SELECT unnest([1, 2, 3]) AS n)),
       b AS (SELECT request_id, venue_id, arg_min(lot_id, (walk, lot_id)) AS lot_id FROM rr JOIN l USING (venue_id) WHERE o <= arrival - walk AND c >= finish + walk GROUP BY ALL) SELECT request_id, venue_id, coalesce(lot_id, -1) AS lot_id FROM rr LEFT JOIN b USING (request_id, venue_id)""",
-    "destination_reach": "SELECT w.range::INT AS window_min, base, round(base * CASE WHEN w.range >= 210 THEN 2.0 WHEN w.range >= 150 THEN 1.5 ELSE 1.0 END)::INT AS limit_min FROM range(30, 300, 30) w CROSS JOIN (SELECT unnest([25, 30, 35]) AS base)",
+    "destination_reach": "SELECT o_orderkey, round([25, 30, 35][o_custkey % 3 + 1] * CASE WHEN 30 + o_orderkey % 27 * 10 >= 210 THEN 2.0 WHEN 30 + o_orderkey % 27 * 10 >= 150 THEN 1.5 ELSE 1.0 END)::INT AS limit_min FROM orders",
 }

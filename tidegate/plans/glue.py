@@ -92,7 +92,7 @@ def domain_names_venue(spark, d):
 
 
 _FILMS = """f AS (SELECT p_partkey AS id, p_name, (p_partkey * 7919 % 100003) AS pop FROM part),
-  top AS (SELECT *, row_number() OVER (ORDER BY pop DESC, id) AS place FROM f QUALIFY place <= 30),
+  top AS (SELECT *, row_number() OVER (ORDER BY pop DESC, id) AS place FROM f QUALIFY place <= 20),
   k AS (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, arg_min(id, place) AS film_id, round(1 - (min(place) - 1) / 30.0::DOUBLE, 3) AS score FROM top GROUP BY 1)"""
 
 
@@ -197,16 +197,17 @@ def fresh_confirmation(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.confirmed(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 7 == 0, F.lit("1997-01-01").cast("timestamp")).alias("fresh"))
 
 
-@query("SELECT range::INT AS hour, CASE WHEN range >= 18 OR range < 6 THEN 2 WHEN range BETWEEN 11 AND 13 THEN 12 ELSE 8 END AS minutes FROM range(24)")
+@query("SELECT event_id, CASE WHEN hour(ts) >= 18 OR hour(ts) < 6 THEN 2 WHEN hour(ts) BETWEEN 11 AND 13 THEN 12 ELSE 8 END AS minutes FROM events")
 def parking_buffer(spark, d):
-    return spark.range(24).select(F.col("id").cast("int").alias("hour"), dates.buffer_at(F.col("id"), [(18, 6, 2), (11, 14, 12)], 8).alias("minutes"))
+    return table(spark, d, "events").select("event_id", dates.buffer_at(F.hour("ts"), [(18, 6, 2), (11, 14, 12)], 8).alias("minutes"))
 
 
-@query("""WITH d AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY))::DATE AS day), x AS (SELECT *, month(day) AS m, day(day) AS n, dayofweek(day) AS w, (day(day) + 6) // 7 AS k FROM d)
-  SELECT strftime(day, '%Y-%m-%d') AS day FROM x WHERE strftime(day, '%m-%d') IN ('01-01', '06-19', '07-04', '11-11', '12-25') OR (w = 1 AND ((m IN (1, 2) AND k = 3) OR (m = 5 AND n > 24) OR (m = 9 AND k = 1) OR (m = 10 AND k = 2))) OR (m = 11 AND w = 4 AND k = 4)""")
+@query("""WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS orders FROM orders GROUP BY 1), x AS (SELECT *, month(day) AS m, day(day) AS n, dayofweek(day) AS w, (day(day) + 6) // 7 AS k FROM d)
+  SELECT strftime(day, '%Y-%m-%d') AS day, orders FROM x WHERE strftime(day, '%m-%d') IN ('01-01', '06-19', '07-04', '11-11', '12-25') OR (w = 1 AND ((m IN (1, 2) AND k = 3) OR (m = 5 AND n > 24) OR (m = 9 AND k = 1) OR (m = 10 AND k = 2))) OR (m = 11 AND w = 4 AND k = 4)""")
 def public_holidays(spark, d):
-    days = spark.sql("SELECT explode(sequence(DATE'1992-01-01', DATE'2026-12-31')) AS day")
-    return days.where(dates.new_york_holiday(F.col("day"))).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    """The orders of each public holiday."""
+    days = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("orders"))
+    return days.where(dates.new_york_holiday(F.col("day"))).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "orders")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M') WHEN 1 THEN strftime(o_orderdate + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M') WHEN 2 THEN strftime(timezone('UTC', timezone('America/New_York', o_orderdate + INTERVAL 12 HOUR)), '%Y-%m-%d %H:%M') ELSE '' END AS at FROM orders""")
@@ -308,10 +309,10 @@ def priority_first(spark, d):
     return matching.first_of_each(o, ["o_custkey"], [(F.col("o_orderstatus") == "O").desc(), F.col("o_orderdate").asc_nulls_first(), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT s_suppkey AS id, s_name AS name, 'venue' AS kind FROM supplier UNION ALL SELECT p_partkey, p_name, 'event' FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT s_suppkey AS id, s_name AS name, 'venue' AS kind FROM supplier UNION ALL SELECT p_partkey, p_name, 'event' FROM part")
 def venue_and_event_names(spark, d):
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("venue").alias("kind"))
-    return a.unionByName(table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("event").alias("kind")))
+    return a.unionByName(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("event").alias("kind")))
 
 
 @query(f"""WITH v AS (SELECT venue_id, category FROM ({A.venues_sql()})), o AS (SELECT occ_id, venue_id FROM ({A.OCC_SQL}) WHERE start_at >= TIMESTAMP '1996-01-01' AND start_at < TIMESTAMP '1996-02-01')
@@ -445,12 +446,13 @@ def ledger_write(spark, d):
 # ---- places and events
 
 
-@query("""WITH t AS (SELECT range AS i FROM range(60)), b AS (SELECT i, -74.3::DOUBLE + i % 10 * 0.21::DOUBLE AS west, 40.5::DOUBLE + i // 10 * 0.13::DOUBLE AS south, 0.2::DOUBLE + i * 0.05::DOUBLE AS size FROM t)
-  SELECT i, ceil(round(size / 0.49::DOUBLE, 9))::INT AS across, round(size / ceil(round(size / 0.49::DOUBLE, 9)), 6) AS step, (ceil((1500 + 100 * i + 18000.0) / 100) * 100)::INT AS extent, greatest(1000, (1500 + 100 * i) / 4.0::DOUBLE) AS slack FROM b""")
+@query("""WITH b AS (SELECT c_custkey AS i, 0.2::DOUBLE + c_custkey % 60 * 0.05::DOUBLE AS size, 1500 + 100 * (c_custkey % 60) AS catchment, c_custkey % 7 * 3000.0::DOUBLE AS reach FROM customer)
+  SELECT i AS c_custkey, ceil(round(size / 0.49::DOUBLE, 9))::INT AS across, round(size / ceil(round(size / 0.49::DOUBLE, 9)), 6) AS step, (ceil((catchment + reach) / 100) * 100)::INT AS extent, greatest(1000, catchment / 4.0::DOUBLE) AS slack FROM b""")
 def extents(spark, d):
-    i = F.col("i")
-    rows = spark.range(60).select(F.col("id").alias("i"), (F.lit(0.2) + F.col("id") * 0.05).alias("size"))
-    return rows.select("i", geo.tiles_across(F.col("size")).alias("across"), F.round(F.col("size") / geo.tiles_across(F.col("size")), 6).alias("step"), geo.extent_m(1500 + 100 * i, F.lit(18000.0)).alias("extent"), geo.slack_m(1500 + 100 * i).alias("slack"))
+    """The tiles and extents in which each customer's area would be read."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", (F.lit(0.2) + k % 60 * 0.05).alias("size"), (1500 + 100 * (k % 60)).alias("catchment"), (k % 7 * 3000.0).alias("reach"))
+    return rows.select("c_custkey", geo.tiles_across(F.col("size")).alias("across"), F.round(F.col("size") / geo.tiles_across(F.col("size")), 6).alias("step"), geo.extent_m(F.col("catchment"), F.col("reach")).alias("extent"), geo.slack_m(F.col("catchment")).alias("slack"))
 
 
 @query(f"""WITH o AS (SELECT occ_id, venue_id % 10 AS venue_id, 'show ' || occ_id % 3 AS title_key, date_trunc('day', start_at) AS start_at, ['site', 'ticket', 'feed'][occ_id % 3 + 1] AS source FROM ({A.OCC_SQL}))

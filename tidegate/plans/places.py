@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +85,16 @@ def travel_estimate(spark, d):
 
 
 def reach_inverse(spark, d):
-    base = spark.range(5, 121).select(F.col("id").cast("int").alias("minutes"), F.explode(F.array(*map(F.lit, ("walk", "drive", "transit")))).alias("mode"))
-    return base.select("minutes", "mode", F.round(geo.reach_m(F.col("mode"), F.col("minutes")), 2).alias("metres"))
+    """How far each order's customer gets in its minutes, by its mode."""
+    o = table(spark, d, "orders")
+    mode = F.get(F.array(*map(F.lit, ("walk", "drive", "transit"))), (F.col("o_custkey") % 3).cast("int"))
+    return o.select("o_orderkey", F.round(geo.reach_m(mode, (5 + F.col("o_orderkey") % 116).cast("int")), 2).alias("metres"))
 
 
 def drive_two_speed(spark, d):
-    base = spark.range(0, 60).select((F.col("id") * 500).alias("metres"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    return base.select("metres", "hour", F.round(geo.drive_minutes(F.col("metres").cast("double"), F.col("hour")), 4).alias("minutes"))
+    """Wheel time over as many metres as an order's price has whole units."""
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.round(geo.drive_minutes(F.floor("o_totalprice").cast("double"), F.col("o_orderkey") % 24), 6).alias("minutes"))
 
 
 def feasibility_codes(spark, d):
@@ -181,14 +186,19 @@ _WEEKLY = f"""w AS (SELECT venue_id, open_min, close_min, weekday, minute FROM (
 i AS (SELECT venue_id, weekday, minute, open_min + s * 1440 AS o, close_min + s * 1440 AS c FROM w CROSS JOIN (SELECT unnest([-1, 0, 1]) AS s) WHERE (weekday + s + 7) % 7 <> venue_id % 7)"""
 
 
+# When kinds of places are at their best, in minutes that may pass midnight.
+PARTS = [("cafe", "prime", 420, 690), ("cafe", "fair", 690, 1110), ("bar", "prime", 1020, 1560), ("bar", "fair", 960, 1020), ("restaurant", "prime", 690, 870), ("restaurant", "prime", 1050, 1320), ("restaurant", "fair", 480, 690), ("restaurant", "fair", 870, 1050), ("restaurant", "fair", 1320, 1500)]
+
+
 def daypart_class(spark, d):
-    spans = spark.createDataFrame([("cafe", "prime", 420, 690), ("cafe", "fair", 690, 1110), ("bar", "prime", 1020, 1560), ("bar", "fair", 960, 1020), ("restaurant", "prime", 690, 870), ("restaurant", "prime", 1050, 1320), ("restaurant", "fair", 480, 690), ("restaurant", "fair", 870, 1050), ("restaurant", "fair", 1320, 1500)], "category string, part string, start int, end int")
-    minutes = spark.range(0, 1440, 30).select(F.col("id").cast("int").alias("minute"))
-    asked = minutes.select("minute", F.explode(F.array(*map(F.lit, ("cafe", "bar", "restaurant")))).alias("category"))
-    inside = lambda m: (m >= F.col("start")) & (m < F.col("end"))
-    rows = asked.join(F.broadcast(spans), "category").withColumn("hit", inside(F.col("minute")) | inside(F.col("minute") + 1440))
-    best = rows.groupBy("category", "minute").agg(F.max(F.when(F.col("hit"), F.when(F.col("part") == "prime", 2).otherwise(1)).otherwise(0)).alias("b"))
-    return best.select("category", "minute", F.when(F.col("b") == 2, "prime").when(F.col("b") == 1, "fair").otherwise("off").alias("part"))
+    """The part of the day at which each occurrence begins, for the kind of its place."""
+    def of(category):
+        hit = lambda part: reduce(lambda x, y: x | y, (F.lit(False), *(((F.col("minute") >= a) & (F.col("minute") < b)) | ((F.col("minute") + 1440 >= a) & (F.col("minute") + 1440 < b)) for c, p, a, b in PARTS if c == category and p == part)))
+        return F.when(hit("prime"), "prime").when(hit("fair"), "fair").otherwise("off")
+
+    kinds = ("cafe", "bar", "restaurant")
+    occ = A.occurrences(spark, d).select("occ_id", (F.hour("start_at") * 60 + F.minute("start_at")).alias("minute"), F.get(F.array(*map(F.lit, kinds)), (F.col("venue_id") % 3).cast("int")).alias("category"))
+    return occ.select("occ_id", "category", F.coalesce(*(F.when(F.col("category") == c, of(c)) for c in kinds)).alias("part"))
 
 
 def event_feasible(spark, d):
@@ -245,12 +255,10 @@ ORACLES = {
     "near_open_ranked": f"WITH {SCORED_SQL} SELECT request_id, place, venue_id, name, class, travel, useful, merit FROM ({RANK_SQL}) WHERE place <= 3",
     "page_slice": f"WITH {SCORED_SQL} SELECT request_id, place, venue_id, merit FROM ({RANK_SQL}) WHERE place BETWEEN 7 AND 9",
     "travel_estimate": f"WITH {EVALUATED_SQL.replace(A.venues_sql('customer'), A.venues_sql())} SELECT request_id, venue_id, mode, travel AS minutes, round(distance, 1) AS metres FROM near",
-    "reach_inverse": f"""WITH b AS (SELECT range::INT AS minutes FROM range(5, 121)), h AS (SELECT minutes, greatest(0, minutes - 8)::DOUBLE AS w, range AS hour FROM b CROSS JOIN range(24)),
-      g AS (SELECT minutes, {_REACH('hour')} AS road FROM h)
-      SELECT minutes, 'walk' AS mode, round(minutes * 80.0::DOUBLE / 1.3::DOUBLE, 2) AS metres FROM b UNION ALL
-      SELECT minutes, 'transit', round(greatest(0, minutes - 8) * 300.0::DOUBLE / 1.3::DOUBLE, 2) FROM b UNION ALL
-      SELECT minutes, 'drive', round(max(CASE WHEN road <= 7000 THEN road / 1.4::DOUBLE ELSE 5000 + (road - 7000) / 1.25::DOUBLE END), 2) FROM g GROUP BY minutes""",
-    "drive_two_speed": f"SELECT a.range * 500 AS metres, h.range::INT AS hour, round({drive_sql('(a.range * 500)::DOUBLE', 'h.range')}, 4) AS minutes FROM range(60) a CROSS JOIN range(24) h",
+    "reach_inverse": f"""WITH o AS (SELECT o_orderkey, o_custkey % 3 AS mode, (5 + o_orderkey % 116)::INT AS minutes FROM orders), b AS (SELECT DISTINCT minutes FROM o), h AS (SELECT minutes, greatest(0, minutes - 8)::DOUBLE AS w, range AS hour FROM b CROSS JOIN range(24)),
+      g AS (SELECT minutes, {_REACH('hour')} AS road FROM h), d AS (SELECT minutes, max(CASE WHEN road <= 7000 THEN road / 1.4::DOUBLE ELSE 5000 + (road - 7000) / 1.25::DOUBLE END) AS far FROM g GROUP BY minutes)
+      SELECT o_orderkey, round(CASE mode WHEN 0 THEN minutes * 80.0::DOUBLE / 1.3::DOUBLE WHEN 1 THEN far ELSE greatest(0, minutes - 8) * 300.0::DOUBLE / 1.3::DOUBLE END, 2) AS metres FROM o JOIN d USING (minutes)""",
+    "drive_two_speed": f"SELECT o_orderkey, round({drive_sql('floor(o_totalprice)::DOUBLE', '(o_orderkey % 24)')}, 6) AS minutes FROM orders",
     "feasibility_codes": f"WITH {EVALUATED_SQL} SELECT request_id, venue_id, class, coalesce(excluded_by, '') AS excluded_by, travel, useful FROM x",
     "exclusion_histogram": f"WITH {EVALUATED_SQL} SELECT request_id, excluded_by, count(*) AS n FROM x WHERE excluded_by IS NOT NULL GROUP BY ALL",
     "relaxation_offer": f"""WITH {EVALUATED_SQL}, o(i, code, excluded_by) AS (VALUES {_OFFERS}), g AS (SELECT request_id, code, i, count(*) AS admits FROM x JOIN o USING (excluded_by) GROUP BY ALL)
@@ -273,9 +281,9 @@ ORACLES = {
     "next_opening": f"""WITH {_WEEKLY}, g AS (SELECT *, max(c) OVER (PARTITION BY venue_id, weekday, minute ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
       z AS (SELECT venue_id, weekday, minute, o FROM g WHERE before IS NULL OR before < o)
       SELECT w.venue_id, w.weekday, w.minute, coalesce(min(z.o), -1) AS opens FROM w LEFT JOIN z ON z.venue_id = w.venue_id AND z.weekday = w.weekday AND z.minute = w.minute AND z.o > w.minute GROUP BY ALL""",
-    "daypart_class": """WITH s(category, part, a, b) AS (VALUES ('cafe', 2, 420, 690), ('cafe', 1, 690, 1110), ('bar', 2, 1020, 1560), ('bar', 1, 960, 1020), ('restaurant', 2, 690, 870), ('restaurant', 2, 1050, 1320), ('restaurant', 1, 480, 690), ('restaurant', 1, 870, 1050), ('restaurant', 1, 1320, 1500)),
-      m AS (SELECT range::INT AS minute FROM range(0, 1440, 30))
-      SELECT category, minute, CASE max(CASE WHEN (minute >= a AND minute < b) OR (minute + 1440 >= a AND minute + 1440 < b) THEN part ELSE 0 END) WHEN 2 THEN 'prime' WHEN 1 THEN 'fair' ELSE 'off' END AS part FROM s CROSS JOIN m GROUP BY ALL""",
+    "daypart_class": f"""WITH s(category, part, a, b) AS (VALUES {', '.join(f"('{c}', {2 if x == 'prime' else 1}, {a}, {b})" for c, x, a, b in PARTS)}),
+      o AS (SELECT occ_id, hour(start_at) * 60 + minute(start_at) AS minute, ['cafe', 'bar', 'restaurant'][venue_id % 3 + 1] AS category FROM ({A.OCC_SQL}))
+      SELECT occ_id, category, CASE max(CASE WHEN (minute >= a AND minute < b) OR (minute + 1440 >= a AND minute + 1440 < b) THEN part ELSE 0 END) WHEN 2 THEN 'prime' WHEN 1 THEN 'fair' ELSE 'off' END AS part FROM o JOIN s USING (category) GROUP BY ALL""",
     "event_feasible": f"""WITH o AS (SELECT *, date_trunc('day', start_at) + to_minutes(((occ_id * 7) % 1440)::INT) AS arr, coalesce(end_at, start_at + INTERVAL 2 HOUR) AS ends FROM ({A.OCC_SQL})),
       u AS (SELECT *, arr + INTERVAL 4 HOUR AS dead FROM o), m AS (SELECT *, floor((epoch_ms(least(ends, dead)) - epoch_ms(greatest(arr, start_at))) / 60000.0)::INT AS useful FROM u)
       SELECT occ_id, useful, CASE WHEN status = 'cancelled' THEN 'EVENT_CANCELLED' WHEN status = 'sold_out' THEN 'EVENT_SOLD_OUT' WHEN ends <= arr THEN 'EVENT_ENDED' WHEN arr > start_at AND NOT late_entry THEN 'NO_LATE_ENTRY'
@@ -296,14 +304,16 @@ BUSY = [
 
 
 def busy_level(spark, d):
-    """How busy kinds of places usually are, each half hour of a week; the night belongs to the day before."""
-    spans = spark.createDataFrame([(c, day, a, b, n) for c, days, a, b, n in BUSY for day in days], "category string, day int, start int, end int, level int")
-    asked = spark.range(0, 7 * 48).select((F.col("id") / 48).cast("int").alias("weekday"), (F.col("id") % 48 * 30).cast("int").alias("minute"))
-    shifted = asked.select("weekday", "minute", F.explode(F.array(F.struct(F.col("weekday").alias("day"), F.col("minute").alias("at")), F.struct(((F.col("weekday") + 6) % 7).alias("day"), (F.col("minute") + 1440).alias("at")))).alias("q")).select("weekday", "minute", "q.day", "q.at")
-    hit = F.when((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), F.col("level")).otherwise(0)
-    rows = shifted.crossJoin(F.broadcast(spans.select("category").distinct())).join(F.broadcast(spans), ["category", "day"], "left")
-    best = rows.groupBy("category", "weekday", "minute").agg(F.max(hit).alias("b"))
-    return best.select("category", "weekday", "minute", F.when(F.col("b") == 2, "busy").when(F.col("b") == 1, "moderate").otherwise("quiet").alias("level"))
+    """How busy the kind of place of each event's user usually is at the event's time; the night belongs to the day before."""
+    kinds = ("bar", "museum", "park")
+    e = table(spark, d, "events").select("event_id", F.get(F.array(*map(F.lit, kinds)), (F.col("user_id") % 3).cast("int")).alias("category"), (F.dayofweek("ts") - 1).alias("weekday"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+
+    def level(category):
+        within = lambda day, a, b: ((F.col("weekday") == day) & (F.col("minute") >= a) & (F.col("minute") < b)) | ((F.col("weekday") == (day + 1) % 7) & (F.col("minute") + 1440 >= a) & (F.col("minute") + 1440 < b))
+        hit = lambda n: reduce(lambda x, y: x | y, (F.lit(False), *(within(day, a, b) for c, days, a, b, m in BUSY if c == category and m == n for day in days)))
+        return F.when(hit(2), "busy").when(hit(1), "moderate").otherwise("quiet")
+
+    return e.select("event_id", "category", F.coalesce(*(F.when(F.col("category") == c, level(c)) for c in kinds)).alias("level"))
 
 
 def tag_facts(spark, d):
@@ -329,9 +339,9 @@ def hours_of_rules(spark, d):
 QUERIES |= {"busy_level": busy_level, "tag_facts": tag_facts, "hours_of_rules": hours_of_rules}
 _BUSY = ", ".join(f"('{c}', {day}, {a}, {b}, {n})" for c, days, a, b, n in BUSY for day in days)
 ORACLES |= {
-    "busy_level": f"""WITH s(category, day, a, b, level) AS (VALUES {_BUSY}), q AS (SELECT range // 48 AS weekday, range % 48 * 30 AS minute FROM range(336))
-      SELECT category, weekday::INT AS weekday, minute::INT AS minute, CASE max(CASE WHEN (day = weekday AND minute >= a AND minute < b) OR (day = (weekday + 6) % 7 AND minute + 1440 >= a AND minute + 1440 < b) THEN level ELSE 0 END) WHEN 2 THEN 'busy' WHEN 1 THEN 'moderate' ELSE 'quiet' END AS level
-      FROM s CROSS JOIN q GROUP BY ALL""",
+    "busy_level": f"""WITH s(category, day, a, b, level) AS (VALUES {_BUSY}), q AS (SELECT event_id, ['bar', 'museum', 'park'][user_id % 3 + 1] AS category, dayofweek(ts) AS weekday, hour(ts) * 60 + minute(ts) AS minute FROM events)
+      SELECT event_id, category, CASE max(CASE WHEN (day = weekday AND minute >= a AND minute < b) OR (day = (weekday + 6) % 7 AND minute + 1440 >= a AND minute + 1440 < b) THEN level ELSE 0 END) WHEN 2 THEN 'busy' WHEN 1 THEN 'moderate' ELSE 'quiet' END AS level
+      FROM q JOIN s USING (category) GROUP BY ALL""",
     "tag_facts": """WITH t AS (SELECT c_custkey::VARCHAR AS external_id, ['cafe', 'bar', 'library', 'theatre', 'restaurant', NULL][c_custkey % 6 + 1] AS cat, c_name AS name, CASE c_custkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS fee,
         CASE c_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS w, CASE c_custkey % 7 WHEN 0 THEN 'required' WHEN 1 THEN 'yes' END AS r FROM customer)
       SELECT external_id, 'name' AS attribute, name AS value, 'published' AS class, 0.9::DOUBLE AS confidence FROM t

@@ -15,13 +15,14 @@ from tidegate.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter: they are of no language."""
+    """Drops documents without a letter, which are of no language, and tells the language of those that don't say it."""
     predict = language_id.predictor(spark, language_id.train(docs.where(~language_id.held_out("doc_id"))))
-    return docs.where(predict(F.col("text"))["lang_pred"] != language_id.UNKNOWN)
+    told = docs.select(F.struct(*docs.columns).alias("doc"), predict(F.col("text"))["lang_pred"].alias("told")).where(F.col("told") != language_id.UNKNOWN)
+    return told.select(*(F.coalesce("doc.lang", "told").alias(c) if c == "lang" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base or a cutoff certified for their language."""
+    """Drops documents that fail the base or the cutoffs certified for their language, as the first stage left it."""
     labels = quality_rules.quality_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), "text")
     signals = written(quality_rules.with_signals(rows).drop("text"), "signals")  # computed once, with the documents beside them

@@ -5,10 +5,11 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.llm import language_id, line_dedup, packing, quality_rules, queries
+from tidegate.llm import language_id, line_dedup, packing, quality_rules, queries, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -119,11 +120,34 @@ def test_cutoffs_need_evidence(spark):
         return spark.createDataFrame(rows, "stratum string, base_failed boolean, symbol_share double, dup_line_share double, repeat_share double, mean_word_chars double, quality int")
 
     sure = quality_rules.certified_cutoffs(labelled(2000, 100)).first()
-    assert sure.max_symbol_share == 0.25 and sure.max_dup_line_share is None
-    assert quality_rules.certified_cutoffs(labelled(300, 100)).count() == 0
+    assert sure.max_symbol_share == 0.2 and sure.max_dup_line_share == 0.95  # one step for all rules
+    assert quality_rules.certified_cutoffs(labelled(149, 100)).count() == 1  # 0.98^149 < 0.05 < 0.98^148
+    assert quality_rules.certified_cutoffs(labelled(148, 100)).count() == 0
+    two = labelled(149, 100).unionByName(labelled(149, 100).withColumn("stratum", F.lit("fr")))
+    assert quality_rules.certified_cutoffs(two).count() == 0  # the level is shared by the strata
     assert quality_rules.certified_cutoffs(labelled(1, 0).limit(0)).count() == 0
 
 
+def test_cutoffs_bind_on_a_small_table(spark):
+    """At sf0.01 English has 218 good labels, just enough: what is rejected is more than the base."""
+    rows = quality_rules.op1(spark, "/root/testdata/sf0.01").collect()
+    assert any(not r.kept and not r.base_failed for r in rows) and not any(r.kept and r.base_failed for r in rows)
+
+
+def test_loss_stays_within_its_bound_over_many_tables():
+    """Good documents rejected at a certified step exceed the loss in fewer tables than the risk, by simulation of the stated rule."""
+    rng, n, loss, risk, failures = np.random.default_rng(4), 400, 0.02, 0.05, 0
+    true = np.linspace(0.0, 0.08, 9)  # what each step, mildest first, rejects of all good documents
+    tail = lambda k: sum(math.comb(n, j) * loss**j * (1 - loss) ** (n - j) for j in range(k + 1)) if k < n * loss else 1.0
+    for _ in range(600):
+        u = rng.random(n)
+        step = 0
+        while step < 9 and tail(int((u < true[step]).sum())) <= risk:
+            step += 1
+        failures += step > 0 and true[step - 1] > loss
+    assert failures <= 600 * risk * 1.3
+
+
 def test_certified_rules_keep_good_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = quality_rules.op1(spark, sf).join(quality_rules.quality_of(spark.read.parquet(f"{sf}/labels.parquet")), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
@@ -291,3 +315,12 @@ def test_sha_of_untouched_text(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = line_dedup.op10(spark, sf_dir).where("n_removed = 0").join(df.select("doc_id", "text"), "doc_id").limit(20).collect()
     assert all(r.text_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in kept)
+
+
+def test_columns_of_the_operators_own_names_pass(spark):
+    own = ["_w", "_l", "_high", "_low", "_c", "_key", "_body", "_at", "line", "pos", "cell"]
+    df = spark.createDataFrame([(i, f"a b {i}\nshared line", f"s{i}") for i in range(9)], "doc_id long, text string, source string").withColumns({c: F.lit("mine") for c in own})
+    for got in (quality_rules.with_signals(df), line_dedup.dedup_lines(df), sharding.shard_by_bytes(df, shards=3)):
+        rows = got.collect()
+        assert len(rows) == 9 and all(r[c] == "mine" for r in rows for c in own)
+    assert all(r.n_spread == 1 for r in line_dedup.dedup_lines(df).collect())

@@ -21,6 +21,7 @@ def test_stages(spark, sf_dir):
     assert set(fourth) <= set(third) == set(second) <= set(first)
     raw = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert set(first) == {i for i, r in raw.items() if any(c.isalpha() for c in r.text or "")}
+    assert all(r.lang == (raw[i].lang or r.lang) and r.lang for i, r in first.items())  # told where it is not given
     signals = {r.doc_id: r for r in quality_rules.with_signals(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     assert set(second) <= {i for i in first if not signals[i].base_failed}
     assert all(r.n_chars == len(r.text) for r in third.values())

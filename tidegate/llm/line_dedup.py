@@ -9,6 +9,8 @@ as an estimate errs by less than the margin.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +58,16 @@ def drop_lines(docs: DataFrame, spread: DataFrame, key: str = "doc_id", text: st
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     body = F.xxhash64(F.col(text))
-    rows = docs.select(F.col(key).alias("_key"), body.alias("_body"), F.posexplode(lines).alias("pos", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
-    marked = rows.select("_key", "_body", "pos", line_key(F.col("line")).alias("line"))
-    hits = marked.join(spread.select("line"), "line", "left_semi").groupBy("_key", "_body").agg(F.collect_set("pos").alias("_at"))
-    out = docs.join(hits, docs[key].eqNullSafe(hits["_key"]) & (body == hits["_body"]), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_at"))
+    mark = uuid.uuid4().hex[:8]  # the documents may have columns of any name
+    key_, body_, at = (f"_{x}_{mark}" for x in ("key", "body", "at"))
+    rows = docs.select(F.col(key).alias(key_), body.alias(body_), F.posexplode(lines).alias("pos", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
+    marked = rows.select(key_, body_, "pos", line_key(F.col("line")).alias("line"))
+    hits = marked.join(spread.select("line"), "line", "left_semi").groupBy(key_, body_).agg(F.collect_set("pos").alias(at))
+    out = docs.join(hits, docs[key].eqNullSafe(hits[key_]) & (body == hits[body_]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
     kept = let(lines, lambda all_: F.array_join(F.transform(left, lambda i: F.get(all_, i)), "\n"))
     n_lines = F.size(F.filter(lines, lambda line: line.rlike(f"[^{SPACE}]")))
-    hit = F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at")).cast("long")
+    hit = F.when(F.col(at).isNull(), 0).otherwise(F.size(at)).cast("long")
     cut = (hit > 0) & (hit < n_lines)
     old = [c for c in docs.columns if c not in (text, "n_lines", "n_spread", "n_removed")]
     return out.select(

@@ -1,15 +1,17 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-A rule rejects a document whose measure exceeds a cutoff. For every stratum and
-rule, each cutoff of a fixed grid is tested on the labelled documents of good
-quality: the hypothesis that it rejects more than its share of them falls when
-the exact binomial tail P(Bin(n, share) <= rejected) is small enough. Cutoffs
-are tested from the mildest on, which needs no correction along the grid, and
-the level is divided by the number of strata and rules, so with the stated
-confidence the cutoffs reject no more than `max_loss` of a stratum's good
-documents that pass the base. The base (too few words, too much repetition) is
-a fixed rule before them and stands outside this guarantee. Among certified
-cutoffs the one that gains most on the labels is used.
+A rule rejects a document whose measure exceeds a cutoff. The rules tighten
+together, step by step of a fixed grid: at each step a document goes if any of
+its measures exceeds that step's cutoff. For every stratum, each step is tested
+on the labelled documents of good quality: the hypothesis that it rejects more
+than `max_loss` of them falls when the exact binomial tail P(Bin(n, max_loss) <=
+rejected) is small enough. Steps are tested from the mildest on, which needs no
+correction along the grid, and the level is divided by the number of strata, so
+with the stated confidence no stratum loses more than `max_loss` of its good
+documents that pass the base, by all rules together. About 220 good documents
+certify a step for one of four strata. The base (too few words, too much
+repetition) is a fixed rule before them and stands outside this guarantee. Among
+certified steps the one that gains most on the labels is used.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Cutoffs of more strata than this are joined by a shuffle.
 MOST_SENT = 10_000
-#: Cutoffs of each rule, mildest last.
+#: Cutoffs of each rule, mildest last; those at one place are one step.
 GRIDS: dict[str, list[float]] = {
-    "symbol_share": [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35],
-    "dup_line_share": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
-    "repeat_share": [0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.16, 0.18],
-    "mean_word_chars": [6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
+    "symbol_share": [0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.08, 0.12, 0.2],
+    "dup_line_share": [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95],
+    "repeat_share": [0.1, 0.12, 0.14, 0.15, 0.16, 0.17, 0.18, 0.19, 0.2],
+    "mean_word_chars": [7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 14.0, 16.0, 20.0],
 }
 
 
@@ -74,9 +76,11 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     of_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeat"))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *GRIDS, "base_failed"]
     kept = [c for c in docs.columns if c not in names]
+    mark = uuid.uuid4().hex[:8]  # the rows may have columns of any name
+    w, l = f"_w_{mark}", f"_l_{mark}"  # noqa: E741
     counted = docs.select(
-        *kept, let(words(text), of_words).alias("_w"), let(lines, n_lines).alias("_l"), F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols")
-    ).select(*kept, F.col("_w.n").alias("n_words"), F.col("_w.chars").alias("word_chars"), "n_symbols", F.col("_l.all").alias("n_lines"), F.col("_l.dup").alias("n_dup_lines"), F.col("_w.repeat").alias("n_repeat_words"))
+        *kept, let(words(text), of_words).alias(w), let(lines, n_lines).alias(l), F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols")
+    ).select(*kept, F.col(f"{w}.n").alias("n_words"), F.col(f"{w}.chars").alias("word_chars"), "n_symbols", F.col(f"{l}.all").alias("n_lines"), F.col(f"{l}.dup").alias("n_dup_lines"), F.col(f"{w}.repeat").alias("n_repeat_words"))
     share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return counted.select(
         "*",
@@ -105,35 +109,29 @@ def log_binomial_tail(n: Column, k: Column, share: float) -> Column:
 
 
 def certified_cutoffs(labelled: DataFrame, stratum: str = "stratum", max_loss: float = 0.02, risk: float = 0.05, price: float = 4.0, grids: dict[str, list[float]] | None = None) -> DataFrame:
-    """(stratum, one column per rule): the cutoffs in force, null where none is certified.
+    """(stratum, one column per rule): the cutoffs in force; a stratum without a certified step has no row.
 
     `labelled` has the columns of with_signals, a stratum and quality (1: good).
-    Each rule may lose max_loss divided by the number of rules. A certified
-    cutoff is chosen for the most bad documents rejected less `price` for each
-    good one; the mildest wins ties, and one without a gain isn't used. Strata
-    with too few labels get no cutoff. An empty table gives an empty one.
+    Of the certified steps the one is chosen with the most bad documents rejected
+    less `price` for each good one; the mildest wins ties, and one without a gain
+    isn't used. Strata with too few labels get no cutoff. Lists of `grids` are
+    equally long. An empty table gives an empty one.
     """
     grids = grids or GRIDS
-    each = max_loss / len(grids)
-
-    def exceeded(rule: str, grid: list[float]) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: F.col(rule) > c))
-
-    cases = F.array(*(F.struct(F.lit(r).alias("rule"), exceeded(r, g).alias("over")) for r, g in grids.items()))
-    judged = labelled.where(~F.col("base_failed")).select(F.col(stratum).alias("stratum"), (F.col("quality") == 1).cast("long").alias("good"), F.explode(cases).alias("c"))
-    counts = judged.groupBy("stratum", "c.rule", "c.over").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    of_rule = Window.partitionBy("stratum", "rule")
-    counts = counts.withColumn("n", F.sum("good").over(of_rule))
-    grid = F.create_map(*(x for r, g in grids.items() for x in (F.lit(r), F.array(*map(F.lit, g)))))
-    spread = counts.select("stratum", "rule", "n", "good", "bad", F.posexplode(F.transform(grid[F.col("rule")], lambda c, i: F.struct(c.alias("cutoff"), (F.col("over") > i).alias("hit")))).alias("i", "c"))
-    tested = spread.groupBy("stratum", "rule", "n", "i", "c.cutoff").agg(F.sum(F.when(F.col("c.hit"), F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(F.col("c.hit"), F.col("bad")).otherwise(0)).alias("bad"))
+    steps = len(next(iter(grids.values())))
+    if any(len(g) != steps for g in grids.values()):
+        raise ValueError("the grids' lists must be equally long")
+    exceeded = F.greatest(F.lit(0), *(F.size(F.filter(F.array(*map(F.lit, g)), lambda c: F.col(r) > c)) for r, g in grids.items()))  # noqa: B023  used at once
+    rows = labelled.where(~F.col("base_failed")).select(F.col(stratum).alias("stratum"), (F.col("quality") == 1).cast("long").alias("good"), exceeded.alias("over"))
+    counts = rows.groupBy("stratum", "over").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    spread = counts.select("stratum", "good", "bad", "over", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
+    tested = spread.groupBy("stratum", "i").agg(F.sum("good").alias("n"), F.sum(F.when(F.col("over") > F.col("i"), F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(F.col("over") > F.col("i"), F.col("bad")).otherwise(0)).alias("bad"))
     strata = tested.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    level = F.log(F.lit(risk) / (F.col("strata") * len(grids)))
-    milder = Window.partitionBy("stratum", "rule").orderBy(F.desc("i"))
-    sure = tested.join(F.broadcast(strata)).withColumn("ok", F.min((log_binomial_tail(F.col("n"), F.col("k"), each) <= level).cast("int")).over(milder) == 1)
+    milder = Window.partitionBy("stratum").orderBy(F.desc("i"))
+    sure = tested.join(F.broadcast(strata)).withColumn("ok", F.min((log_binomial_tail(F.col("n"), F.col("k"), max_loss) <= F.log(F.lit(risk) / F.col("strata"))).cast("int")).over(milder) == 1)
     gain = F.col("bad") - price * F.col("k")
-    best = sure.where(F.col("ok") & (gain > 0)).groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, F.col("i"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in grids))
+    best = sure.where(F.col("ok") & (gain > 0)).groupBy("stratum").agg(F.max_by("i", F.struct(gain, F.col("i"))).alias("i"))
+    return best.select("stratum", *(F.get(F.array(*map(F.lit, g)), F.col("i")).alias(f"max_{r}") for r, g in grids.items()))
 
 
 def judged(signals: DataFrame, cutoffs: DataFrame, stratum: str = "stratum") -> DataFrame:
@@ -167,8 +165,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return judged(signals, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _grid_sql() -> str:
-    return ", ".join(f"('{r}', {i}, {c})" for r, g in GRIDS.items() for i, c in enumerate(g))
+def _over_sql() -> str:
+    return ", ".join(f"len(list_filter({g}::DOUBLE[], lambda c: {r} > c))" for r, g in GRIDS.items())
 
 
 OP1_SQL = rf"""
@@ -187,20 +185,14 @@ m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
              coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
              coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars FROM s),
 q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-lab AS (UNPIVOT (SELECT doc_id, stratum, quality, symbol_share, dup_line_share, repeat_share, mean_word_chars FROM m JOIN q USING (doc_id) WHERE NOT base_failed)
-        ON symbol_share, dup_line_share, repeat_share, mean_word_chars INTO NAME rule VALUE v),
-grid(rule, i, cutoff) AS (VALUES {_grid_sql()}),
-t AS (SELECT stratum, rule, i, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v > cutoff) AS k,
-             count(*) FILTER (quality <> 1 AND v > cutoff) AS bad
-      FROM lab JOIN grid USING (rule) GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k >= n * 0.005 THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
-             exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))) END AS tail,
+lab AS (SELECT stratum, quality, greatest({_over_sql()}) AS over FROM m JOIN q USING (doc_id) WHERE NOT base_failed),
+t AS (SELECT stratum, i, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND over > i) AS k, count(*) FILTER (quality <> 1 AND over > i) AS bad FROM lab CROSS JOIN range(9) s(i) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * 0.02 THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+             exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98)))) END AS tail,
              (SELECT count(DISTINCT stratum) FROM t) AS strata FROM t),
-ok AS (SELECT *, min((tail <= 0.05 / (strata * 4))::INT) OVER (PARTITION BY stratum, rule ORDER BY i DESC) = 1 AS ok, bad - 4.0 * k AS gain FROM p),
-best AS (SELECT stratum, rule, arg_max(cutoff, gain * 1000 + i) AS cutoff FROM ok WHERE ok AND gain > 0 GROUP BY ALL),
-piv AS (SELECT stratum, max(cutoff) FILTER (rule = 'symbol_share') AS a, max(cutoff) FILTER (rule = 'dup_line_share') AS b,
-               max(cutoff) FILTER (rule = 'repeat_share') AS c, max(cutoff) FILTER (rule = 'mean_word_chars') AS d FROM best GROUP BY stratum)
+ok AS (SELECT *, min((tail <= 0.05 / strata)::INT) OVER (PARTITION BY stratum ORDER BY i DESC) = 1 AS ok, bad - 4.0 * k AS gain FROM p),
+best AS (SELECT stratum, arg_max(i, gain * 1000 + i) AS i FROM ok WHERE ok AND gain > 0 GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (coalesce(symbol_share > a, false) OR coalesce(dup_line_share > b, false) OR coalesce(repeat_share > c, false) OR coalesce(mean_word_chars > d, false)) AS kept
-FROM m LEFT JOIN piv USING (stratum)
+       NOT base_failed AND coalesce(greatest({_over_sql()}) <= i, true) AS kept
+FROM m LEFT JOIN best USING (stratum)
 """

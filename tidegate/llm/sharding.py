@@ -10,6 +10,9 @@ that outweighs a shard, is cut. Then the documents move once.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,16 +86,14 @@ def splitters(keys: DataFrame, parts: int, by: str = "bytes", tolerance: float =
         tried = sorted({b[0] + (b[2] - b[0]) * j // (probes + 1) for g, b in zip(goals, brackets, strict=True) if open_(g, b) for j in range(1, probes + 1)})
         counts = _below(keys, tried)[which]
         for i, (g, (lo, n_lo, hi, n_hi)) in enumerate(zip(goals, brackets, strict=True)):
-            for key, n in zip(tried, counts, strict=True):
-                if lo < key < hi:
-                    if n <= g:
-                        lo, n_lo = key, n
-                    else:
-                        hi, n_hi = key, n
-                        break
+            at = bisect.bisect_right(counts, g)  # counts grow with the keys
+            if at and tried[at - 1] > lo:
+                lo, n_lo = tried[at - 1], counts[at - 1]
+            if at < len(tried) and tried[at] < hi:
+                hi, n_hi = tried[at], counts[at]
             brackets[i] = (lo, n_lo, hi, n_hi)
     best = [b[0] if g - b[1] <= b[3] - g else b[2] for g, b in zip(goals, brackets, strict=True)]
-    return [max(best[: i + 1]) for i in range(len(best))]
+    return list(itertools.accumulate(best, max))
 
 
 def whole_groups(keys: DataFrame, cuts: list[int], total: int, tolerance: float) -> list[int]:
@@ -111,7 +112,7 @@ def whole_groups(keys: DataFrame, cuts: list[int], total: int, tolerance: float)
     for i, (cut, pair) in enumerate(zip(cuts, ends, strict=True)):
         away, near = min((abs(below[k] - total * (i + 1) / parts), k) for k in pair)
         moved.append(near if away <= tolerance * total / parts and near < TOP else cut)
-    return [max(moved[: i + 1]) for i in range(len(moved))]
+    return list(itertools.accumulate(moved, max))
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, group_tolerance: float = 0.01, bytes_per_cell: int = 1 << 27) -> DataFrame:
@@ -130,10 +131,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     total = _below(keys, [TOP - 1])[0][0]
     cuts = whole_groups(keys, splitters(keys, shards, "bytes", tolerance, total=total), total, group_tolerance)
     cells = max(1, -(-total // (shards * bytes_per_cell)))
-    inner = splitters(keys, shards * cells, "bytes", 0.5, total=total) if cells > 1 else []
+    inner = splitters(keys, shards * cells, "bytes", 0.5, probes=3, total=total) if cells > 1 else []
     bounds = sorted({*cuts, *inner})
     below = [0, *_below(keys, bounds)[1]] if bounds else [0]
-    shard_of = [sum(c <= b for c in cuts) for b in [-1, *bounds]]
+    shard_of = [bisect.bisect_right(cuts, b) for b in [-1, *bounds]]
     first = {}
     for s, n in zip(shard_of, below, strict=True):
         first.setdefault(s, n)
@@ -146,9 +147,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
         return pd.DataFrame({"cell": at.astype(np.int32), "shard": shard_of[at], "before": before[at]})
 
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    placed = docs.select(*kept, high.alias("_high"), low.alias("_low")).withColumn("_c", cell("_high", "_low"))
-    rank = F.row_number().over(Window.partitionBy("_c.cell").orderBy("_high", "_low")) - 1
-    return placed.select(*kept, F.col("_c.shard").alias("shard"), (F.col("_c.before") + rank).alias("slot"))
+    mark = uuid.uuid4().hex[:8]  # the documents may have columns of any name
+    h, l, c = (f"_{x}_{mark}" for x in ("high", "low", "cell"))  # noqa: E741
+    placed = docs.select(*kept, high.alias(h), low.alias(l)).withColumn(c, cell(h, l))
+    rank = F.row_number().over(Window.partitionBy(f"{c}.cell").orderBy(h, l)) - 1
+    return placed.select(*kept, F.col(f"{c}.shard").alias("shard"), (F.col(f"{c}.before") + rank).alias("slot"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from tidegate.llm.common import written
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, which are of no language, and tells the language of those that don't say it."""
     predict = language_id.predictor(spark, language_id.train(docs.where(~language_id.held_out("doc_id"))))
-    told = docs.select(F.struct(*docs.columns).alias("doc"), predict(F.col("text"))["lang_pred"].alias("told")).where(F.col("told") != language_id.UNKNOWN)
-    return told.select(*(F.coalesce("doc.lang", "told").alias(c) if c == "lang" else F.col(f"doc.`{c}`") for c in docs.columns))
+    mark = f"_told_{uuid.uuid4().hex[:8]}"  # the documents may have columns of any name
+    told = docs.withColumn(mark, predict(F.col("text"))["lang_pred"]).where(F.col(mark) != language_id.UNKNOWN)
+    return told.select(*(F.coalesce("lang", mark).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

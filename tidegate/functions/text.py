@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their base letters; Spark has no Unicode normalisation.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+def _accents() -> tuple[str, str]:
+    """Small Latin letters that decompose into one of a-z and marks, and those letters; Spark has no Unicode normalisation."""
+    letters = [chr(c) for low, high in ((0x00DF, 0x0250), (0x1E00, 0x1F00)) for c in range(low, high)]
+    split = [(x, unicodedata.normalize("NFKD", x)) for x in letters if x.islower()]
+    pairs = [(x, s[0]) for x, s in split if s != x and "a" <= s[0] <= "z" and all(map(unicodedata.combining, s[1:]))]
+    return "".join(x for x, _ in pairs), "".join(s for _, s in pairs)
+
+
+ACCENTS = _accents()
 # Abbreviations written out in keys, and words that only join names in a title.
 STREET_WORDS = {"st": "street", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "rd": "road", "pl": "place", "sq": "square", "ln": "lane", "dr": "drive", "pkwy": "parkway", "ct": "court", "mt": "mount", "ft": "fort"}
 JOINING_WORDS = ["a", "an", "and", "at", "by", "for", "in", "of", "on", "vs", "with", "featuring", "feat", "presents", "live", "special", "guest", "guests"]
 
 
+def without_marks(text: Column) -> Column:
+    """Lower case, with the base letters of accented ones and without combining marks."""
+    return F.regexp_replace(F.translate(F.lower(text), *ACCENTS), r"\p{M}", "")
+
+
 def name_key(name: Column) -> Column:
     """Lower case without marks, punctuation, articles and company forms."""
-    plain = F.translate(F.lower(name), *ACCENTS)
-    plain = F.regexp_replace(F.replace(plain, F.lit("&"), F.lit(" and ")), "['’`]", "")
+    plain = F.regexp_replace(F.replace(without_marks(name), F.lit("&"), F.lit(" and ")), "['’`]", "")
     plain = F.regexp_replace(plain, "[^a-z0-9]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(the|inc|llc|ltd|co)\b", " "), " +", " "))
 

@@ -6,6 +6,8 @@ leaves a code that makes the result "check first".
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05) -> DataFrame:
-    """Pairs of request and venue whose straight-line distance the travel limit allows.
+def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05, metres: Callable[[Column, Column, Column, Column], Column] = geo.distance_m) -> DataFrame:
+    """Pairs of request and venue whose distance the travel limit allows.
 
+    `metres` measures a trip from point to point; it may be longer than the
+    straight line (water.trip_m), never shorter, since the cells are by that line.
     Requests are spread over the grid cells that their reach covers, so the join
     is an equi-join on cells and never a cross join; venues are read once.
     """
@@ -45,7 +49,7 @@ def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05) -> D
     spread = asked.withColumn("_y", F.explode(span("r_lat", dlat))).withColumn("_x", F.explode(span("r_lon", dlon)))
     placed = venues.withColumn("_y", F.floor(F.col("lat") / degrees)).withColumn("_x", F.floor(F.col("lon") / degrees))
     pairs = spread.join(placed, ["_y", "_x"]).drop("_y", "_x")
-    return once(pairs, "distance", geo.distance_m(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon"))).where("distance <= reach")
+    return once(pairs, "distance", metres(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon"))).where("distance <= reach")
 
 
 def timed(pairs: DataFrame) -> DataFrame:

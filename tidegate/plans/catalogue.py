@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.plans import evidence, feeds, gate, glue, places, records, scores, sky
+from tidegate.plans import evidence, feeds, food, gate, glue, places, records, scores, shores, sky
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**places.QUERIES, **evidence.QUERIES, **records.QUERIES, **glue.QUERIES, **gate.QUERIES, **feeds.QUERIES, **scores.QUERIES, **sky.QUERIES}
-ORACLES: dict[str, str] = {**places.ORACLES, **evidence.ORACLES, **records.ORACLES, **glue.ORACLES, **gate.ORACLES, **feeds.ORACLES, **scores.ORACLES, **sky.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**places.QUERIES, **evidence.QUERIES, **records.QUERIES, **glue.QUERIES, **gate.QUERIES, **feeds.QUERIES, **scores.QUERIES, **sky.QUERIES, **food.QUERIES, **shores.QUERIES}
+ORACLES: dict[str, str] = {**places.ORACLES, **evidence.ORACLES, **records.ORACLES, **glue.ORACLES, **gate.ORACLES, **feeds.ORACLES, **scores.ORACLES, **sky.ORACLES, **food.ORACLES, **shores.ORACLES}

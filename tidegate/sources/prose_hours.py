@@ -59,16 +59,18 @@ def page_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     """(key, pos, line, heading, under): the visible lines of each page, from 1.
 
     heading says whether the line is in a heading; under is the last heading
-    before it in its section ("" for none), the line itself if it is one.
+    before it in its section ("" for none), the line itself if it is one. A tag
+    that never closes takes the rest of the page, so each pattern passes over a
+    page once, whatever stands in it.
     """
-    tags = lambda names: "(?i)</?(" + "|".join(names) + r")(?![a-z0-9])[^>]*>"
+    tags = lambda names: "(?i)</?(" + "|".join(names) + r")(?![a-z0-9])[^>]*(?:>|\z)"
     t = F.regexp_replace(F.col(html), "[\x01-\x03]", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?(?:-->|\z)", "")
-    t = F.regexp_replace(t, "(?is)<(" + "|".join(HIDDEN) + r")(?![a-z0-9])[^>]*>.*?(?:</\1[^>]*>|\z)", "\n")
-    t = F.regexp_replace(t, "(?i)<h[1-6](?![a-z0-9])[^>]*>", "\n\x01")
-    t = F.regexp_replace(t, "(?i)</h[1-6](?![a-z0-9])[^>]*>", "\x02\n")
+    t = F.regexp_replace(t, "(?is)<(" + "|".join(HIDDEN) + r")(?![a-z0-9])[^>]*(?:>.*?(?:</\1[^>]*(?:>|\z)|\z)|\z)", "\n")
+    t = F.regexp_replace(t, r"(?i)<h[1-6](?![a-z0-9])[^>]*(?:>|\z)", "\n\x01")
+    t = F.regexp_replace(t, r"(?i)</h[1-6](?![a-z0-9])[^>]*(?:>|\z)", "\x02\n")
     t = F.regexp_replace(t, tags(SECTIONS).replace("/?", "/"), "\n\x03\n")
-    t = F.regexp_replace(F.regexp_replace(t, tags(BLOCKS), "\n"), "<[^>]*>", " ")
+    t = F.regexp_replace(F.regexp_replace(t, tags(BLOCKS), "\n"), r"<[^>]*(?:>|\z)", " ")
     rows = pages.select(F.col(key).alias("page_id"), F.posexplode(F.split(decoded(t), "\n", -1)).alias("at", "raw"))
     page = Window.partitionBy("page_id").orderBy("at")
     before = page.rowsBetween(Window.unboundedPreceding, -1)

@@ -53,7 +53,8 @@ def crosses(lat1: Column, lon1: Column, lat2: Column, lon2: Column, middle: Line
         return F.concat(F.array(at(F.greatest(west["lon"], F.lit(first)), west["lat"]), at(F.least(east["lon"], F.lit(last)), east["lat"])), F.transform(bends, lambda v: slope(v["lon"]) - v["lat"]))
 
     known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
-    shared = (F.greatest(lon1, lon2) >= first) & (F.least(lon1, lon2) <= last)  # most trips are settled here
+    low, high = min(y for _, y in line), max(y for _, y in line)
+    shared = (F.greatest(lon1, lon2) >= first) & (F.least(lon1, lon2) <= last) & (F.greatest(lat1, lat2) >= low) & (F.least(lat1, lat2) <= high)  # settles most trips
     gaps = let(let(ends, sides), lambda g: F.exists(g, lambda x: x < 0) & F.exists(g, lambda x: x > 0))
     return F.when(known, F.when(shared, gaps).otherwise(F.lit(False)))
 

@@ -49,7 +49,11 @@ def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05, metr
     spread = asked.withColumn("_y", F.explode(span("r_lat", dlat))).withColumn("_x", F.explode(span("r_lon", dlon)))
     placed = venues.withColumn("_y", F.floor(F.col("lat") / degrees)).withColumn("_x", F.floor(F.col("lon") / degrees))
     pairs = spread.join(placed, ["_y", "_x"]).drop("_y", "_x")
-    return once(pairs, "distance", metres(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon"))).where("distance <= reach")
+    points = [F.col(c) for c in ("r_lat", "r_lon", "lat", "lon")]
+    near = once(pairs, "distance", geo.distance_m(*points)).where("distance <= reach")
+    if metres is geo.distance_m:
+        return near
+    return once(near.drop("distance"), "distance", metres(*points)).where("distance <= reach")
 
 
 def timed(pairs: DataFrame) -> DataFrame:

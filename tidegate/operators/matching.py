@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions import geo, labels
+from tidegate.functions import geo, titles
 
 POPULAR = 20
 #: Facts of a venue that say nothing of an event held there.
@@ -83,13 +83,13 @@ def popular_films(films: DataFrame) -> DataFrame:
     once = films.groupBy("film_id").agg(F.max_by(F.struct("title", "popularity"), "popularity").alias("f")).select("film_id", "f.title", "f.popularity")
     top = once.orderBy(F.desc("popularity"), "film_id").limit(POPULAR)
     ranked = top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("popularity"), "film_id")))  # POPULAR rows
-    keyed = ranked.select("film_id", "place", F.get(labels.film_keys(F.col("title")), F.lit(0)).alias("key")).where(F.length("key") >= 3)
+    keyed = ranked.select("film_id", "place", F.get(titles.film_keys(F.col("title")), F.lit(0)).alias("key")).where(F.length("key") >= 3)
     return keyed.groupBy("key").agg(F.min_by(F.struct("film_id", "place"), "place").alias("f")).select("key", "f.film_id", F.round(1 - (F.col("f.place") - 1) / 30, 3).alias("score"))
 
 
 def by_title(screenings: DataFrame, films: DataFrame) -> DataFrame:
     """(occ_id, film_id, score): the film of each screening, by the closest of its title's keys that one has."""
-    keys = screenings.select("occ_id", F.posexplode(labels.film_keys(F.col("title"))).alias("pos", "key"))
+    keys = screenings.select("occ_id", F.posexplode(titles.film_keys(F.col("title"))).alias("pos", "key"))
     return keys.join(films, "key").groupBy("occ_id").agg(F.min_by(F.struct("film_id", "score"), "pos").alias("f")).select("occ_id", "f.film_id", "f.score")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegate.functions import clock, dates, geo, labels, text
+from tidegate.functions import clock, dates, geo, labels, text, titles
 from tidegate.operators import matching, sinks
 from tidegate.plans import adapters as A
 from tidegate.plans.places import HAVERSINE
@@ -108,33 +108,46 @@ def popular_films(spark, d):
     return _films(spark, d)
 
 
-@query(f"""WITH {_FILMS} SELECT p_partkey AS occ_id, film_id, score FROM part JOIN k ON key = trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) OR (p_partkey % 2 = 1 AND key = trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')))""")
+@query(f"""WITH {_FILMS} SELECT p_partkey AS occ_id, film_id, score FROM part JOIN k ON key = trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))""")
 def films_by_title(spark, d):
-    title = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("Movie Night: "), "p_name", F.lit(" (35mm) - with the director"))).otherwise(F.concat(F.lit("Outdoor films | "), F.upper("p_name"), F.lit(" [open caption] in 70mm")))
+    around = [("Movie Night: ", " (35mm) - with the director"), ("Outdoor films | ", " [open caption] in 70mm"), ("Family Movie Night - ", " + Talkback"), ("Members' Screening: ", ": Live score"), ("", " sing-along | Director's cut"), ("Free movies on the pier – ", " - Q&A: a panel")]
+    k = F.col("p_partkey") % len(around)
+    put = lambda side: F.get(F.array(*(F.lit(x[side]) for x in around)), k.cast("int"))
+    title = F.concat(put(0), F.when(k == 1, F.upper("p_name")).otherwise(F.col("p_name")), put(1))
     return matching.by_title(table(spark, d, "part").select(F.col("p_partkey").alias("occ_id"), title.alias("title")), _films(spark, d))
 
 
-TITLES = ["Jazz on the Lawn", "Open Mic Comedy", "Cheese tasting and wine", "Beer tastings", "Fireworks parade", "Storytime", "Tea tasting", "Plain evening", "Improv and board games brunch"]
-
-
-def _interest_sql(t: str) -> str:
-    names = sorted({k for _, of, _ in labels.TITLE_INTERESTS for k in of})
-    quoted = lambda p: p.replace("'", "''")
-    hit = lambda p, but: f"regexp_matches({t}, '{quoted(p)}')" + (f" AND NOT regexp_matches({t}, '{quoted(but)}')" if but else "")
-    one = lambda k: "greatest(0.0, " + ", ".join(f"CASE WHEN {hit(p, but)} THEN {of[k]} ELSE 0.0 END" for p, of, but in labels.TITLE_INTERESTS if k in of) + ")::DOUBLE"
-    return "list_filter([" + ", ".join(f"{{'k': '{k}', 'v': {one(k)}}}" for k in names) + "], lambda e: e.v > 0)"
-
-
-@query(f"""WITH t AS (SELECT o_orderkey, lower({TITLES}[o_orderkey % 9 + 1]) AS t, o_custkey AS u FROM orders), i AS (SELECT o_orderkey, u, {_interest_sql('t')} AS i FROM t)
-  SELECT o_orderkey, array_to_string(list_transform(i, lambda e: e.k || ':' || round(e.v * 100)::INT), ',') AS interests,
-  round(0.5::DOUBLE + 0.5::DOUBLE * (greatest(0, coalesce(list_max(list_transform(i, lambda e: e.v * CASE e.k WHEN 'comedy' THEN u % 5 / 4.0::DOUBLE WHEN 'drinks' THEN -(u % 3) / 2.0::DOUBLE WHEN 'live_music' THEN 0.5::DOUBLE ELSE 0 END)), 0))
-    - greatest(0, -coalesce(list_min(list_transform(i, lambda e: e.v * CASE e.k WHEN 'comedy' THEN u % 5 / 4.0::DOUBLE WHEN 'drinks' THEN -(u % 3) / 2.0::DOUBLE WHEN 'live_music' THEN 0.5::DOUBLE ELSE 0 END)), 0))), 3) AS match FROM i""")
+# Titles and, stated by hand, what they say: interest:percent, and whether drinks are the outing.
+TITLES = {
+    "Jazz on the Lawn": "live_music:100",
+    "Open Mic Comedy": "comedy:100,live_music:50",
+    "Cheese tasting and wine": "drinks:100,food:100",
+    "Beer tastings": "drinks:100",
+    "Fireworks parade": "festivals:100,outdoors:50",
+    "STORYTIME": "books:100",
+    "Tea tasting": "cafes:100",
+    "Plain evening": "",
+    "Improv & board games brunch": "comedy:100,food:100,games:100",
+    "Ice cream tasting": "food:100",
+    "Oil tasting, olive oil tasting": "drinks:100,food:100",
+    "Food tastings": "food:100",
+    "Craft fair: artist talk": "art:100,books:100,festivals:100,markets:100",
+    "Stand-up vs. hip-hop (5K race)": "comedy:100,live_music:100,sports:100",
+    "Bar crawling, brewers, pubs": "",
+    "Pub crawl; happy hour/tour": "drinks:100,museums:100",
+}
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, o_custkey AS u, {list(TITLES.values())}[o_orderkey % {len(TITLES)} + 1] AS interests FROM orders),
+  f AS (SELECT o_orderkey, interests, list_transform(list_filter(string_split(interests, ','), lambda e: e <> ''), lambda e: split_part(e, ':', 2)::DOUBLE / 100 * CASE split_part(e, ':', 1) WHEN 'comedy' THEN u % 5 / 4.0::DOUBLE WHEN 'drinks' THEN -(u % 3) / 2.0::DOUBLE WHEN 'live_music' THEN 0.5::DOUBLE ELSE 0 END) AS felt FROM t)
+  SELECT o_orderkey, interests, contains(interests, 'drinks:100') AS drinks, round(0.5::DOUBLE + 0.5::DOUBLE * (greatest(0, coalesce(list_max(felt), 0)) - greatest(0, -coalesce(list_min(felt), 0))), 3) AS match FROM f""")
 def title_taste(spark, d):
     k, u = F.col("o_orderkey"), F.col("o_custkey")
     weights = F.create_map(F.lit("comedy"), u % 5 / F.lit(4.0), F.lit("drinks"), -(u % 3) / F.lit(2.0), F.lit("live_music"), F.lit(0.5))
-    rows = table(spark, d, "orders").select("o_orderkey", labels.title_interests(F.get(F.array(*map(F.lit, TITLES)), (k % 9).cast("int"))).alias("i"), weights.alias("w"))
+    title = F.get(F.array(*map(F.lit, TITLES)), (k % len(TITLES)).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", titles.title_interests(title).alias("i"), titles.drink_title(title).alias("drinks"), weights.alias("w"))
     listed = F.array_join(F.transform(F.array_sort(F.map_entries("i")), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 100).cast("int").cast("string"))), ",")
-    return rows.select("o_orderkey", listed.alias("interests"), labels.taste_match(F.col("i"), F.col("w")).alias("match"))
+    return rows.select("o_orderkey", listed.alias("interests"), "drinks", titles.taste_match(F.col("i"), F.col("w")).alias("match"))
 
 
 @query("SELECT s_suppkey, 'cafes:' || CASE WHEN s_suppkey % 2 = 0 THEN 100 ELSE 50 END || CASE WHEN s_suppkey % 3 = 0 THEN ',food:50' ELSE '' END AS merged FROM supplier")
@@ -142,7 +155,7 @@ def interest_merge(spark, d):
     k = F.col("s_suppkey")
     own = F.map_filter(F.create_map(F.lit("cafes"), F.when(k % 2 == 0, 1.0).otherwise(0.0)), lambda a, v: v > 0)
     place = F.map_filter(F.create_map(F.lit("cafes"), F.lit(1.0), F.lit("food"), F.when(k % 3 == 0, 1.0).otherwise(0.0)), lambda a, v: v > 0)
-    m = labels.stronger(own, place, 0.5)
+    m = titles.stronger(own, place, 0.5)
     return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), (e["value"] * 100).cast("int").cast("string"))), ",").alias("merged"))
 
 

@@ -33,19 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once to the shared folder and read back, which ends their lineage.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder.
 
     The folder is the one the session names in spark.checkpoint.dir; where that
     is unset and all runs in one process, a temporary one is named there.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tidegate_shared", None)
     if not folder:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = spark._tidegate_shared = tempfile.mkdtemp(prefix="tidegate-")
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read back, which ends their lineage."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

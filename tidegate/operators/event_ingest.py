@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import geo, text
 from tidegate.operators.publish import Book
+from tidegate.session import cut
 
 # How long an event may run, how far ahead it may lie, how long one lasts that states no end.
 LONGEST_DAYS = 14
@@ -61,8 +62,10 @@ def ingest(book: Book, batch: str, file: DataFrame, source: str, area: str, now:
     The audit refuses a batch with a fact that says nothing, or none of whose
     rows could be written.
     """
+    if book.has(batch):
+        return False
     key = F.concat(F.lit(f"{source}:"), F.col("id"))
-    rows = checked(file, now, center, radius_m).withColumn("key", key)
+    rows = cut(checked(file, now, center, radius_m).withColumn("key", key), "checked")  # every table of the batch is made from these
     good = rows.where("reason is null")
     facts, listed = book.rows("facts", of=good.select("key")), book.rows("listings").where(F.col("source") == source)
     events = good.select("key", venue_of().alias("venue"), "title", "start_at", "end_at", F.coalesce("status", F.lit("scheduled")).alias("status"))

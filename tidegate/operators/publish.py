@@ -49,6 +49,10 @@ class Book:
         """(batch, attempt, no): what is published, in order."""
         return self.spark.read.schema(MANIFEST).parquet(f"{self.home}/manifest")
 
+    def has(self, batch: str) -> bool:
+        """Whether the batch is published."""
+        return not self.manifest().where(F.col("batch") == batch).isEmpty()
+
     def rows(self, name: str, of: DataFrame | None = None) -> DataFrame:
         """A table as published: of each key the newest row, unless that says it is gone; of the keys in `of` alone, where given."""
         staged = self._staged(name)
@@ -63,7 +67,7 @@ class Book:
         The audit names rows that must not be; any such row refuses the batch,
         and two rows of one key always do.
         """
-        if not self.manifest().where(F.col("batch") == batch).isEmpty():
+        if self.has(batch):
             return False
         attempt = uuid.uuid4().hex
         for name, rows in tables.items():

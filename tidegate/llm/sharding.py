@@ -150,7 +150,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     mark = uuid.uuid4().hex[:8]  # the documents may have columns of any name
     h, l, c = (f"_{x}_{mark}" for x in ("high", "low", "cell"))  # noqa: E741
     placed = docs.select(*kept, high.alias(h), low.alias(l)).withColumn(c, cell(h, l))
-    rank = F.row_number().over(Window.partitionBy(f"{c}.cell").orderBy(h, l)) - 1
+    unsigned = [F.col(x).bitwiseXOR(F.lit(-(1 << 63))) for x in (h, l)]  # as the bounds compare them, so that slots follow one order throughout
+    rank = F.row_number().over(Window.partitionBy(f"{c}.cell").orderBy(*unsigned)) - 1
     return placed.select(*kept, F.col(f"{c}.shard").alias("shard"), (F.col(f"{c}.before") + rank).alias("slot"))
 
 

@@ -41,9 +41,12 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feasibility.evaluate(A.requests(spark), A.venues(spark, sf_dir, "customer"))
 
 
+ONE_REQUEST = 7
+
+
 def one_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of a single search."""
-    return scoring.ranked(scored(spark, sf_dir, A.requests(spark).where("request_id = 7")))
+    return scoring.ranked(scored(spark, sf_dir, A.requests(spark).where(f"request_id = {ONE_REQUEST}")))
 
 
 def scored(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:

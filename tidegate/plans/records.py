@@ -73,7 +73,8 @@ def missing_essentials(spark, d):
 def gap_prefix(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))
+    seconds = F.unix_micros("ts") / F.lit(1e6)  # with their fraction: a gap is cut to whole seconds, its ends are not
+    gap = F.floor(seconds - F.lag(seconds).over(w))
     runs = e.withColumn("gap", gap).withColumn("broken", F.sum(F.when(F.col("gap") > 86400, 1).otherwise(0)).over(w))
     return runs.where("broken = 0").groupBy("user_id").agg(F.count("*").alias("n"))
 

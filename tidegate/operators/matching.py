@@ -30,10 +30,11 @@ def by_name(asked: DataFrame, venues: DataFrame) -> DataFrame:
     An equal key wins if one venue has it; else the one venue whose key starts
     with what was asked. Two or more are ambiguous.
     """
-    exact = asked.join(venues.select("venue_id", F.col("key").alias("ask_key")), "ask_key").groupBy("ask_id").agg(F.count("*").alias("n_exact"), F.min("venue_id").alias("exact_id"))
+    # counted by key before asks meet them: asks that bear one name would each meet every venue of that name
+    exact = venues.groupBy(F.col("key").alias("ask_key")).agg(F.count("*").alias("n_exact"), F.min("venue_id").alias("exact_id"))
     words = venues.select("venue_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("key", " "))), lambda n: F.array_join(F.slice(F.split("key", " "), F.lit(1), n), " "))).alias("ask_key"))
-    begins = asked.join(words, "ask_key").groupBy("ask_id").agg(F.count("*").alias("n"), F.min("venue_id").alias("id"))
-    rows = asked.join(exact, "ask_id", "left").join(begins, "ask_id", "left")
+    begins = words.groupBy("ask_key").agg(F.count("*").alias("n"), F.min("venue_id").alias("id"))
+    rows = asked.join(begins.join(exact, "ask_key", "left"), "ask_key", "left")
     found = F.when(F.col("n_exact") == 1, "exact").when(F.col("n_exact") > 1, "ambiguous").when(F.col("n") == 1, "unique").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return rows.select("ask_id", found.alias("found"), F.when(found == "exact", F.col("exact_id")).when(found == "unique", F.col("id")).alias("venue_id"))
 

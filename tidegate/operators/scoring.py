@@ -56,10 +56,27 @@ def ranked(rows: DataFrame, page: int = 3, offset: int = 0, max_offset: int = 30
     start = min(max(0, offset), max_offset)
     standing = F.when(F.col("class") == "ready", 0).when(F.col("class") == "check_first", 1).otherwise(2)
     order = Window.partitionBy("request_id").orderBy(standing, F.desc("merit"), "travel", "name", "venue_id")
-    placed = rows.where(F.col("class") != "ineligible").withColumn("place", F.row_number().over(order))
+    placed = _near_top(rows.where(F.col("class") != "ineligible"), standing, start + page).withColumn("place", F.row_number().over(order))
     return placed.where((F.col("place") > start) & (F.col("place") <= start + page))
 
 
+def _near_top(rows: DataFrame, standing: Column, most: int) -> DataFrame:
+    """Of each request's rows the `most` best by standing and merit, what ties with the last of them, and few more.
+
+    Rows go in fixed parts by venue. If `most` parts have a row at or above some
+    merit, so have the `most` best rows: only those reach the sort, which would
+    else hold all rows of a task.
+    """
+    parts = 64 + 4 * most
+    down = F.when(F.isnan("merit"), float("-inf")).otherwise(F.coalesce(-F.col("merit").cast("double"), F.lit(float("inf"))))  # as desc sorts
+    best = rows.groupBy("request_id", standing.alias("_at"), F.pmod(F.xxhash64("venue_id"), F.lit(parts)).alias("_part")).agg(F.min(down).alias("_down"))
+    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("_at", "_down"))
+    last = best.withColumn("_n", nth).where(F.col("_n") == most).select(F.col("request_id").alias("_of"), F.col("_at").alias("_last_at"), F.col("_down").alias("_last_down"))
+    met = rows.join(F.broadcast(last), F.col("request_id").eqNullSafe(F.col("_of")), "left")
+    above = (standing < F.col("_last_at")) | ((standing == F.col("_last_at")) & (down <= F.col("_last_down")))
+    return met.where(F.coalesce(above, F.lit(True))).drop("_of", "_last_at", "_last_down")
+
+
 def open_shares(peers: DataFrame, slots: list[int], length: int = 60) -> DataFrame:
     """(category, slot, listed, open): of the places with stated hours, those open throughout each slot."""
     slot = F.explode(F.array(*map(F.lit, slots)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import geo
+from tidegate.session import spread
 
 
 class Grid:
@@ -46,25 +47,48 @@ class Grid:
         return F.array_distinct(F.array(*(c for r in rows for c in beside(r))))
 
 
+#: Rows of one point go together, in this many parts by their hash, so that no group grows with the table as a whole.
+PARTS = 16
+
+
+def _by_point(rows: DataFrame, side: str) -> DataFrame:
+    """One row for a point and part, with the rows themselves as an array."""
+    cols = [F.col(f"`{c}`") for c in rows.columns]
+    part = F.pmod(F.xxhash64(f"{side}_id"), F.lit(PARTS)).alias("_part")
+    return rows.groupBy(f"{side}_lat", f"{side}_lon", part).agg(F.collect_list(F.struct(*cols)).alias(f"_{side}")).drop("_part")
+
+
 def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs within `metres`; left has a_id, a_lat, a_lon and right b_id, b_lat, b_lon.
 
     The right side is read once; the left is repeated for the cells around it.
+    Distances are those of points: rows that share one are measured together and
+    laid out as pairs in the same task.
     """
     grid = Grid(metres)
-    near = left.withColumn("_c", F.explode(grid.around(F.col("a_lat"), F.col("a_lon"))))
-    placed = right.withColumn("_c", grid.cell(F.col("b_lat"), F.col("b_lon")))
+    near = spread(_by_point(left, "a").withColumn("_c", F.explode(grid.around(F.col("a_lat"), F.col("a_lon")))))
+    placed = _by_point(right, "b").withColumn("_c", grid.cell(F.col("b_lat"), F.col("b_lon")))
     pairs = near.join(placed, (near["_c"]["y"] == placed["_c"]["y"]) & (near["_c"]["x"] == placed["_c"]["x"])).drop("_c")
     points = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
     # most pairs go by latitude or by the cheaper measure; the exact one is worked out for the rest
     likely = (F.abs(points[0] - points[2]) <= grid.height * (1 + 1e-6)) & (geo.haversine(*points) <= math.sin(min(grid.angle, math.pi) / 2) ** 2 * (1 + 1e-6))
-    return pairs.where(likely).withColumn("metres", geo.distance_m(*points)).where(F.col("metres") <= metres)
+    far = pairs.where(likely).withColumn("metres", geo.distance_m(*points)).where(F.col("metres") <= metres)
+    laid = far.select("metres", "_b", F.explode("_a").alias("_a")).select("metres", "_a", F.explode("_b").alias("_b"))
+    return laid.select(*(F.col(f"_a.`{c}`") for c in left.columns), *(F.col(f"_b.`{c}`") for c in right.columns), "metres")
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, metres: float) -> DataFrame:
-    """The k nearest of `right` within `metres` of each left point, ties by id."""
-    place = F.row_number().over(Window.partitionBy("a_id").orderBy("metres", "b_id"))
-    return radius_join(left, right, metres).withColumn("place", place).where(F.col("place") <= k)
+    """The k nearest of `right` within `metres` of each left point, ties by id.
+
+    Of rows of `right` that share a point only the first k can be among them, and
+    rows of `left` that share one have the same.
+    """
+    first = F.row_number().over(Window.partitionBy("b_lat", "b_lon").orderBy("b_id"))
+    few = right.withColumn("_n", first).where(F.col("_n") <= k).drop("_n")
+    points = left.select("a_lat", "a_lon").distinct().withColumn("a_id", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("a_lat", "a_lon").orderBy("metres", "b_id"))
+    best = radius_join(points, few, metres).withColumn("place", place).where(F.col("place") <= k).drop("a_id")
+    return left.join(best, ["a_lat", "a_lon"]).select(*(F.col(f"`{c}`") for c in left.columns), *(F.col(f"`{c}`") for c in right.columns), "metres", "place")
 
 
 def without_neighbour(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:

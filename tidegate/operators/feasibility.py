@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import geo
+from tidegate.session import spread
 
 #: Minutes by which an event may run past the deadline.
 DEADLINE_GRACE_MIN = 15
@@ -39,16 +40,17 @@ def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05, metr
     `metres` measures a trip from point to point; it may be longer than the
     straight line (water.trip_m), never shorter, since the cells are by that line.
     Requests are spread over the grid cells that their reach covers, so the join
-    is an equi-join on cells and never a cross join; venues are read once.
+    is an equi-join on cells and never a cross join; venues are read once and dealt
+    out over all tasks, as each of them meets many requests.
     """
     limit = F.create_map(*(x for m, n in geo.MAX_TRAVEL_MIN.items() for x in (F.lit(m), F.lit(n))))
     asked = requests.withColumn("max_travel", limit[F.col("mode")]).withColumn("reach", geo.reach_m(F.col("mode"), F.col("max_travel")))
     dlat = F.degrees(F.col("reach") / geo.EARTH_M)
     dlon = dlat / F.cos(F.radians(F.col("r_lat")))
     span = lambda c, d: F.sequence(F.floor((F.col(c) - d) / degrees), F.floor((F.col(c) + d) / degrees))
-    spread = asked.withColumn("_y", F.explode(span("r_lat", dlat))).withColumn("_x", F.explode(span("r_lon", dlon)))
-    placed = venues.withColumn("_y", F.floor(F.col("lat") / degrees)).withColumn("_x", F.floor(F.col("lon") / degrees))
-    pairs = spread.join(placed, ["_y", "_x"]).drop("_y", "_x")
+    covered = asked.withColumn("_y", F.explode(span("r_lat", dlat))).withColumn("_x", F.explode(span("r_lon", dlon)))
+    placed = spread(venues).withColumn("_y", F.floor(F.col("lat") / degrees)).withColumn("_x", F.floor(F.col("lon") / degrees))
+    pairs = covered.join(placed, ["_y", "_x"]).drop("_y", "_x")
     points = [F.col(c) for c in ("r_lat", "r_lon", "lat", "lon")]
     near = once(pairs, "distance", geo.distance_m(*points)).where("distance <= reach")
     if metres is geo.distance_m:

@@ -1,9 +1,9 @@
 """The order in which eligible options are shown, for variety, page by page.
 
 Each choice depends on those already made, so it is no window function: one
-request's eligible rows, bounded by what is in reach, are ordered together, as
-masks over all rows at once. A pass is a mask of rows it may show; showing one
-clears the rows that it rules out.
+request's eligible rows, bounded by what is in reach, are ordered together. A
+pass goes once over the rows it may show; showing one clears the rows that it
+rules out, which are looked up by place and name.
 """
 
 from __future__ import annotations
@@ -46,6 +46,13 @@ def _namesakes(rows: pd.DataFrame) -> list[np.ndarray]:
     return found
 
 
+def _together(codes: np.ndarray, n: int) -> dict[int, np.ndarray]:
+    """The rows, of n, that have each code; codes may hold several columns one after the other."""
+    order = np.argsort(codes, kind="stable")
+    found, at = np.unique(codes[order], return_index=True)
+    return {int(c): rows % n for c, rows in zip(found, np.split(order, at[1:]), strict=True)}
+
+
 def arrange(rows: pd.DataFrame, narrowed: bool = False) -> np.ndarray:
     """The places, in display order, of rows that stand in merit order.
 
@@ -65,25 +72,22 @@ def arrange(rows: pd.DataFrame, narrowed: bool = False) -> np.ndarray:
         suits &= (standing != s) | likes
     inside = (parent >= 0) & np.isin(parent, venue)
     near = _namesakes(rows)
-    free, fresh, order = np.ones(n, dtype=bool), np.ones(n, dtype=bool), []
+    party = _together(np.concatenate([venue, parent]), n)
+    free, order = np.ones(n, dtype=bool), []
+    done: set[int] = set()  # activities that are shown
 
     def show(i: int) -> None:
         order.append(i)
         for whole in {venue[i], parent[i]} - {-1}:
-            free[(venue == whole) | (parent == whole)] = False
+            free[party[whole]] = False
         free[near[i] if doubt[i] else near[i][~doubt[near[i]]]] = False
         free[i] = False
-        fresh[activity == activity[i]] = False
+        done.add(activity[i])
 
     def show_all(among: np.ndarray, diverse: bool = False) -> None:
-        at = 0
-        while True:
-            mask = among[at:] & free[at:] & (fresh[at:] | (not diverse))
-            step = int(mask.argmax()) if len(mask) else 0
-            if not len(mask) or not mask[step]:
-                return
-            show(at + step)
-            at += step + 1
+        for i in np.flatnonzero(among):
+            if free[i] and not (diverse and activity[i] in done):
+                show(i)
 
     for s in ("ready", "check_first"):
         among = (standing == s) & ~doubt & ~inside

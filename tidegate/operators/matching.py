@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import geo, titles
+from tidegate.session import cut
 
 POPULAR = 20
 #: Facts of a venue that say nothing of an event held there.
@@ -74,18 +75,32 @@ def curated(entries: DataFrame, places: DataFrame, metres: float) -> DataFrame:
     return rows.groupBy("entry_id").agg(F.min_by("place_id", rank).alias("place_id"))
 
 
-def popular_films(films: DataFrame) -> DataFrame:
-    """(key, film_id, score): the POPULAR first of a list by popularity, by title key; the tenth still scores 0.7.
+def popular_films(films: DataFrame, most: int | None = POPULAR) -> DataFrame:
+    """(key, film_id, score): the `most` first of a list by popularity, or all, by title key; the tenth still scores 0.7, the 31st and later 0.
 
     A key of fewer than three letters would match too much; of two films with one
     key the more popular has it. Films have film_id, title and popularity; a film
     that several lists name counts once, at its most popular.
     """
     once = films.groupBy("film_id").agg(F.max_by(F.struct("title", "popularity"), "popularity").alias("f")).select("film_id", "f.title", "f.popularity")
-    top = once.orderBy(F.desc("popularity"), "film_id").limit(POPULAR)
-    ranked = top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("popularity"), "film_id")))  # POPULAR rows
+    order = [F.desc("popularity"), F.col("film_id")]
+    if most is None:
+        ranked = _places(once, order)
+    else:
+        ranked = once.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # `most` rows
     keyed = ranked.select("film_id", "place", F.get(titles.film_keys(F.col("title")), F.lit(0)).alias("key")).where(F.length("key") >= 3)
-    return keyed.groupBy("key").agg(F.min_by(F.struct("film_id", "place"), "place").alias("f")).select("key", "f.film_id", F.round(1 - (F.col("f.place") - 1) / 30, 3).alias("score"))
+    score = F.greatest(F.lit(0.0), 1 - (F.col("f.place") - 1) / 30)
+    return keyed.groupBy("key").agg(F.min_by(F.struct("film_id", "place"), "place").alias("f")).select("key", "f.film_id", F.round(score, 3).alias("score"))
+
+
+def _places(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows with their place in a total order: by ranges, each sorted by itself behind the counts of those before it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("count")  # a row for each range
+    starts = ranges.groupBy("_range").count().select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(starts), "_range").withColumn("place", F.col("_before") + own).drop("_range", "_before")
 
 
 def by_title(screenings: DataFrame, films: DataFrame) -> DataFrame:

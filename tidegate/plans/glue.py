@@ -92,15 +92,15 @@ def domain_names_venue(spark, d):
 
 
 _FILMS = """f AS (SELECT p_partkey AS id, p_name, (p_partkey * 7919 % 100003) AS pop FROM part),
-  top AS (SELECT *, row_number() OVER (ORDER BY pop DESC, id) AS place FROM f QUALIFY place <= 20),
-  k AS (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, arg_min(id, place) AS film_id, round(1 - (min(place) - 1) / 30.0::DOUBLE, 3) AS score FROM top GROUP BY 1)"""
+  top AS (SELECT *, row_number() OVER (ORDER BY pop DESC, id) AS place FROM f),
+  k AS (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, arg_min(id, place) AS film_id, round(greatest(0.0::DOUBLE, 1 - (min(place) - 1) / 30.0::DOUBLE), 3) AS score FROM top GROUP BY 1)"""
 
 
 def _films(spark, d):
     k = F.col("p_partkey")
     p = table(spark, d, "part")
     lists = p.select(k.alias("film_id"), F.col("p_name").alias("title"), (k * 7919 % 100003).alias("popularity"))
-    return matching.popular_films(lists.unionByName(lists.where("film_id % 2 = 0").withColumn("popularity", F.col("popularity") - 5)))
+    return matching.popular_films(lists.unionByName(lists.where("film_id % 2 = 0").withColumn("popularity", F.col("popularity") - 5)), most=None)
 
 
 @query(f"WITH {_FILMS} SELECT key, film_id, score FROM k WHERE length(key) >= 3")

@@ -73,6 +73,11 @@ def reach_over_water(spark, d):
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     asked = table(spark, d, "supplier").select(k.alias("request_id"), F.get(F.array(*map(F.lit, ("drive", "transit", "walk"))), (k % 3).cast("int")).alias("mode"), (F.lit(40.86) + k * 37 % 400 / F.lit(2000.0)).alias("r_lat"), (F.lit(-73.79) + k * 91 % 700 / F.lit(1000.0)).alias("r_lon"))
     places = table(spark, d, "customer").select(c.alias("venue_id"), (F.lit(40.74) + c * 7919 % 3301 / F.lit(10000.0)).alias("lat"), (F.lit(-73.82) + c * 104729 % 997 / F.lit(1300.0)).alias("lon"))
-    pairs = feasibility.in_reach(asked, places, metres=water.trip_m)
-    over = water.crosses(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon"))
-    return pairs.groupBy("request_id", "mode").agg(F.count("*").alias("places"), F.count_if(over).alias("over_bridge"), F.sum(F.round("distance").cast("long")).alias("metres"))
+    # each end's way to the bridge is known before the ends meet; the crossing is settled once a pair, of those in straight reach
+    bridge = F.lit(water.BRIDGE[1]), F.lit(water.BRIDGE[0])
+    asked = feasibility.once(asked, "to_bridge", geo.distance_m(F.col("r_lat"), F.col("r_lon"), *bridge))
+    places = feasibility.once(places, "from_bridge", geo.distance_m(*bridge, F.col("lat"), F.col("lon")))
+    near = feasibility.in_reach(asked, places)
+    told = feasibility.once(near, "over", water.crosses(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon")))
+    pairs = told.withColumn("trip", F.when(F.col("over"), F.col("to_bridge") + F.col("from_bridge")).otherwise(F.col("distance"))).where("trip <= reach")
+    return pairs.groupBy("request_id", "mode").agg(F.count("*").alias("places"), F.count_if("over").alias("over_bridge"), F.sum(F.round("trip").cast("long")).alias("metres"))

@@ -12,7 +12,12 @@ Exact copies become one class first. Classes that share a signature are
 candidates. Most are settled by comparing each with the smallest class of its
 signatures; components found so far then leave only pairs between different
 components, which are compared as well, so no link is lost. A parity bitmap
-bounds the symmetric difference from below and spares most exact comparisons.
+bounds the symmetric difference from below and spares most exact comparisons;
+large sets have a second one, as wide as their size asks for, which pairs meet
+before the sets themselves are moved.
+
+Signatures travel as their lowest 40 bits: those that are equal by chance only
+add candidates, which the exact comparison turns down.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from tidegate.llm.common import give_back, hashed_words, id_filter, mix64, text_
 from tidegate.llm.components import connected_components
 
 BITS = 512
+#: Bits of a signature that are kept, so that a row takes less room in a shuffle.
+SIGNATURE_BITS = 40
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -127,11 +134,19 @@ class Bands:
         return np.concatenate(found)
 
 
-DIGEST = "doc_id long, n long, class long, bits array<long>"
+def wide_bits(s: np.ndarray) -> np.ndarray | None:
+    """A parity bitmap of at least two bits an element, as longs; none for sets that the fixed one serves."""
+    if 2 * len(s) <= BITS:
+        return None
+    size = 1 << int(2 * len(s) - 1).bit_length()
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64)
+
+
+DIGEST = "doc_id long, n long, class long, bits array<long>, wide array<long>"
 
 
 def _digest(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, class, bits) of each document; class is null for empty sets."""
+    """(doc_id, n, class, bits, wide) of each document; class is null for empty sets."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +158,8 @@ def _digest(docs: DataFrame, size: int) -> DataFrame:
                 packed = np.packbits(bits, axis=1).view(np.int64).ravel()
                 offsets = np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed))],
-                    names=["doc_id", "n", "class", "bits"],
+                    [batch.column(0).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed)), pa.array(map(wide_bits, sets), pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "class", "bits", "wide"],
                 )
         give_back()
 
@@ -174,7 +189,8 @@ def _signatures(docs: DataFrame, size: int, bands: tuple[int, int, int, int]) ->
 
 
 def _pairs(sigs: list[np.ndarray], classes: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(classes))], names=["sig", "class"])
+    kept = np.concatenate(sigs) & np.uint64((1 << SIGNATURE_BITS) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(np.concatenate(classes))], names=["sig", "class"])
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame, filter_bits: int) -> DataFrame:
@@ -206,6 +222,26 @@ def _could_link(a: str, b: str, num: int, den: int) -> Column:
     return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * apart <= (den - num) * (na + nb))
 
 
+def _wide_could_link(num: int, den: int) -> Column:
+    """Whether the wide bitmaps x and y of sets of nx and ny allow the similarity; the larger is folded to the other's size."""
+    xor = lambda x, y: F.zip_with(x, y, lambda i, j: i.bitwiseXOR(j))
+
+    def folded(x: Column, to: Column) -> Column:
+        """By one half; sets of similar sizes have bitmaps of one size or of the next."""
+        return F.when(F.size(x) == to, x).when(F.size(x) == 2 * to, xor(F.slice(x, F.lit(1), to), F.slice(x, to + 1, to)))
+
+    least = F.least(F.size("x"), F.size("y"))
+    apart = F.aggregate(xor(folded(F.col("x"), least), folded(F.col("y"), least)), F.lit(0), lambda n, i: n + F.bit_count(i))
+    return F.coalesce((den + num) * apart <= (den - num) * (F.col("nx") + F.col("ny")), F.lit(True))
+
+
+def _likely(pairs: DataFrame, digest: DataFrame, num: int, den: int) -> DataFrame:
+    """The written pairs (a, b) that the wide bitmaps, met by ids, leave."""
+    about = lambda name, n, wide: digest.where("wide is not null").select(F.col("doc_id").alias(name), F.col("n").alias(n), F.col("wide").alias(wide))
+    met = pairs.join(about("a", "nx", "x"), "a", "left").join(about("b", "ny", "y"), "b", "left")
+    return written(met.where(_wide_could_link(num, den)).select("a", "b"), "likely")
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int, filter_bits: int) -> DataFrame:
     """The written pairs (a, b) whose exact similarity reaches num / den."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -240,7 +276,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # first pass: each class against the smallest class of its signatures
     first = signed.select(F.col("id").alias("b"), F.min("id").over(group).alias("a")).where("a < b").distinct()
     tried = first.join(about("a", "p"), "a").join(about("b", "q"), "b").where(_could_link("p", "q", num, den)).select("a", "b")
-    edges = written(_linked(written(tried, "tried"), rows, size, num, den, filter_bits), "edges")
+    edges = written(_linked(_likely(written(tried, "tried"), digest, num, den), rows, size, num, den, filter_bits), "edges")
     found = connected_components(edges)
 
     # second pass: what still stands in different components; rows stay slim until the last join
@@ -254,7 +290,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     differ = (F.col("p.component") != F.col("q.component")) & (~F.col("q.out") | (F.col("p.id") < F.col("q.id"))) & _could_link("p", "q", num, den)
     rest = left.alias("l").join(right.alias("r"), (F.col("l.sig") == F.col("r.sig")) & differ)
     late = written(rest.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct(), "tried")
-    more = written(_linked(late, rows, size, num, den, filter_bits), "edges")
+    more = written(_linked(_likely(late, digest, num, den), rows, size, num, den, filter_bits), "edges")
     final = connected_components(edges.union(more)) if not more.isEmpty() else found
 
     of_class = classes.select("class", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("class", F.coalesce("component", "id").alias("component"))

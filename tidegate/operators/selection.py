@@ -3,7 +3,9 @@
 What a loop over records in order of merit would choose, settled in rounds. A
 record is chosen once no better undecided one is its twin, and goes once a chosen
 one is. Twins share a token and lie within that token's distance, so a round only
-looks at the best few undecided records of a token and a cell of a grid.
+looks at the best few undecided records of a token and a cell of a grid. Records
+that are alike in all that twins are told by, and are twins of themselves, need
+no round: only the best of them can be chosen.
 """
 
 from __future__ import annotations
@@ -47,16 +49,29 @@ def _pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
     return a.join(b, (a["_token"] == b["_t"]) & (a["_cell"]["y"] == b["_c"]["y"]) & (a["_cell"]["x"] == b["_c"]["x"]))
 
 
+def _best_of_alike(rows: DataFrame, twins: Callable[[Column, Column], Column]) -> DataFrame:
+    """The rows without those that a better one equals in all but id and merit, where such rows are twins.
+
+    A worse one is never chosen: either the better one is, or what keeps that
+    one out is a twin of the worse one too.
+    """
+    told = [c for c in rows.columns if c not in ("id", "merit")]
+    own = F.struct(*rows.columns)
+    apart = F.when(~F.coalesce(twins(own, own), F.lit(False)), F.col("id"))  # such a row is a group by itself
+    best = F.max_by(F.struct("id", "merit"), F.struct("merit", -F.col("id"))).alias("_best")
+    return rows.withColumn("_apart", apart).groupBy(*told, "_apart").agg(best).select(*(F.col(f"_best.{c}") if c in ("id", "merit") else F.col(c) for c in rows.columns))
+
+
 def choose_apart(rows: DataFrame, tokens: Tokens, twins: Callable[[Column, Column], Column], standing: DataFrame | None = None, listed: int = 4, rounds: int = 1000) -> DataFrame:
     """(id, chosen) for every record.
 
-    `rows` has id (distinct), merit, lat, lon and the token columns; whatever
+    `rows` has id (a distinct number), merit, lat, lon and the token columns; whatever
     `twins` reads of two records may stand beside them. Better is a larger merit,
     then a smaller id; a null merit is the least. Records of `standing`, which
     has the same columns, are chosen beforehand and are not in the result. Twins
     that share no token, or lie further apart than its metres, are not seen.
 
-    A round lists the `listed` best undecided records of each token and cell. A
+    `twins` must not read id or merit. A round lists the `listed` best undecided records of each token and cell. A
     record is only chosen where its lists reach down to it, so a crowded cell
     takes more rounds but no row is left out and no task gets a whole cell.
     """
@@ -68,7 +83,11 @@ def choose_apart(rows: DataFrame, tokens: Tokens, twins: Callable[[Column, Colum
         gone = _pairs(_looking(left, tokens), _placed(of, tokens)).where(twins(F.col("a"), F.col("b"))).select(F.col("a.id").alias("id")).distinct()
         return left.join(gone, "id", "left_anti")
 
-    undecided = cut(rows if standing is None else without_twins(rows, standing.select(*cols)), "undecided")
+    best_of_alike = _best_of_alike(rows, twins)
+    if standing is not None:
+        told = [c for c in cols if c not in ("id", "merit")]
+        best_of_alike = without_twins(best_of_alike, standing.select(*cols).dropDuplicates(told))
+    undecided = cut(best_of_alike, "undecided")
     chosen: list[DataFrame] = []
     for _ in range(rounds):
         if undecided.isEmpty():

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import language_id, line_dedup, ngram_join, packing, quality_rules
-from tidegate.llm.common import id_filter, written
+from tidegate.llm.common import with_may, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     judged = quality_rules.judged(signals, quality_rules.certified_cutoffs(signals.join(labels, "doc_id")))
     dropped = written(judged.where(~F.col("kept")).select("row").distinct(), "dropped")
     # most documents go straight through: only those that a bitmap marks as possibly dropped meet the exact list
-    marked = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row")).withColumn("may", id_filter(dropped, "row", 1 << 26)(F.col("row")))
+    marked = with_may(docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row")), dropped, "row", 1 << 26)
     doubtful = marked.where("may").join(dropped, "row", "left_anti")
     return marked.where(~F.col("may")).select("doc.*").unionByName(doubtful.select("doc.*"))
 

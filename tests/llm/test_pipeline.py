@@ -6,7 +6,7 @@ from tests.llm.test_documents import check_packing
 from tests.llm.test_pairs_and_models import brute_components
 
 from tidegate.llm import line_dedup, quality_rules
-from tidegate.llm.common import written
+from tidegate.llm.common import with_may, written
 
 
 def test_stages(spark, sf_dir):
@@ -83,3 +83,13 @@ def test_quality_stage_writes_no_text(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
     assert P.apply_quality_rules(spark, docs, sf_dir).count() < docs.count()
     assert len(tables) == 2 and not any({"doc", "text"} & set(columns) for columns in tables)
+
+
+def test_quality_stage_runs_no_python(spark, sf_dir):
+    """pipeline: the bitmap of dropped documents is a join, which says yes to every id and to few others, and no node of the stage runs Python."""
+    ids = spark.range(-3000, 3000, 3)
+    may = with_may(spark.range(-3000, 3000).withColumn("word", F.lit("mine")), ids, "id", 1 << 16)
+    assert may.columns == ["id", "word", "may"] and may.count() == 6000
+    assert may.where("may and id % 3 = 0").count() == 2000 and may.where("may").count() < 2200
+    plan = P.apply_quality_rules(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan

@@ -87,9 +87,7 @@ def id_filter(ids: DataFrame, key: str, bits: int = 1 << 23):
     and more other keys. An exact join must follow; the bitmap only spares the
     shuffle of rows that can't match.
     """
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
-    at = ids.select(place(F.col(key)).alias("at")).select(F.expr("cast(at div 64 AS int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("mask"))
-    marks = at.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    marks = _marks(ids, key, bits).toPandas()
     words_ = np.zeros(bits // 64, dtype=np.int64)
     words_[marks["word"].to_numpy(dtype=np.int64)] = marks["mask"].to_numpy(dtype=np.int64)
     sent = ids.sparkSession.sparkContext.broadcast(words_)
@@ -99,7 +97,30 @@ def id_filter(ids: DataFrame, key: str, bits: int = 1 << 23):
         at = at.to_numpy(dtype=np.int64)
         return pd.Series(((sent.value.view(np.uint64)[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(bool))
 
-    return lambda c: marked(place(c))
+    return lambda c: marked(_place(c, bits))
+
+
+def _place(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(bits))
+
+
+def _marks(ids: DataFrame, key: str, bits: int) -> DataFrame:
+    """(word, mask): the 64-bit words of the ids' bitmap that have a bit."""
+    at = ids.select(_place(F.col(key), bits).alias("at")).select(F.expr("cast(at div 64 AS int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("mask"))
+    return at.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def with_may(rows: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
+    """The rows with `may`, false only where the key is not among `ids`: the test of id_filter without Python.
+
+    At most bits / 64 words of the bitmap are broadcast to a join.
+    """
+    mark = uuid.uuid4().hex[:8]  # the rows may have columns of any name
+    word, mask = f"_word_{mark}", f"_mask_{mark}"
+    sent = F.broadcast(_marks(ids, key, bits).select(F.col("word").alias(word), F.col("mask").alias(mask)))
+    at = _place(F.col(key), bits)
+    bit = F.call_function("shiftright", F.coalesce(F.col(mask), F.lit(0).cast("long")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return rows.join(sent, F.floor(at / 64).cast("int") == F.col(word), "left").select(*(F.col(f"`{c}`") for c in rows.columns), (bit == 1).alias("may"))
 
 
 def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegate.session import shared_path
@@ -23,18 +23,28 @@ KEEP_DAYS = 5
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS = "id long, seq long, arrived long, as_of timestamp, seen boolean, version long, edited long, due long, content string"
 OUTCOMES = "id long, seq long, at long, what string"
-STATE = "version long, newest long, absent long, due long, content string"
+STATE = "records array<struct<id: long, version: long, newest: long, absent: long, due: long, content: string>>"
+#: Records whose ids agree but for this many bits share a state, so that a poll reads and writes it once for all of them.
+SHARED_BITS = 6
 
 
-def _long(value: float | None) -> int | None:
-    return None if value is None or value != value else int(value)
+#: What Follower reads: the columns of ROWS, then the time of data in milliseconds and what records of one state share.
+READ = ["id", "seq", "arrived", "as_of", "seen", "version", "edited", "due", "content", "at", "shared"]
+OUTCOME = Row("id", "seq", "at", "what")
+
+
+def _place(row: tuple) -> tuple:
+    """Rows go by arrival and number, unknown ones last."""
+    _, seq, arrived, *_ = row
+    return arrived is None, arrived or 0, seq is None, seq or 0
 
 
 class Follower(StatefulProcessor):
-    """One record's state: its version, its newest snapshot, when it was found missing, what it said and what comes due.
+    """The state of up to 2 ** SHARED_BITS records, of each its version, its newest snapshot, when it was found missing, what it said and what comes due.
 
     A record has one timer at most: the date that it names while it is there,
-    or the day it is forgotten once it is gone.
+    or the day it is forgotten once it is gone. The first of them is the
+    state's timer, and when it goes off, so does all that event time has passed.
     """
 
     def __init__(self, keep_days: int = KEEP_DAYS):
@@ -42,36 +52,55 @@ class Follower(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("record", STATE)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows), ignore_index=True).sort_values(["arrived", "seq"])  # a record's rows of one poll: one a snapshot
-        held = self.state.get() if self.state.exists() else None
-        before = self._timer(held)
-        what = []
-        as_of = came["as_of"].astype("datetime64[ms]").astype("int64").tolist()
-        known = came.astype(object).where(came.notna(), None)
-        for at, seen, version, edited, due, content in zip(as_of, came["seen"], known["version"], known["edited"], known["due"], known["content"], strict=True):
-            held, outcome = self._seen(held, edited, (_long(version), at, None, _long(due), content)) if seen else self._absent(held, at)
-            what.append(outcome)
-        after = self._timer(held)
+        self.state = handle.getValueState("records", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        was = self._records()
+        records = dict(was)
+        for record, seq, _, _, seen, version, edited, due, content, at, _ in sorted(map(tuple, rows), key=_place):  # a record's rows of one poll: one a snapshot
+            held = records.get(record)
+            held, outcome = self._seen(held, edited, (version, at, None, due, content)) if seen else self._absent(held, at)
+            if held is not None:
+                records[record] = held
+            yield OUTCOME(record, seq, at, outcome)
+        before, after = self._first_timer(was), self._first_timer(records)
         if before != after:
             if before is not None:
                 self.handle.deleteTimer(before)
             if after is not None:
                 self.handle.registerTimer(after)
-        if held is not None:
-            self.state.update(held)
-        yield pd.DataFrame({"id": key[0], "seq": came["seq"].to_numpy(), "at": as_of, "what": what})
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        version, newest, absent, due, content = self.state.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if absent is None:
-            self.state.update((version, newest, None, None, content))
-        else:
+        self._keep(was, records)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        was = self._records()
+        records = dict(was)
+        for record, held in was.items():
+            at = self._timer(held)
+            if at is None or at >= passed:
+                continue
+            version, newest, absent, _, content = held
+            if absent is None:
+                records[record] = (version, newest, None, None, content)
+            else:
+                del records[record]
+            yield OUTCOME(record, -1, at, "due" if absent is None else "forgotten")
+        if (after := self._first_timer(records)) is not None:
+            self.handle.registerTimer(after)
+        self._keep(was, records)
+
+    def _records(self) -> dict[int, tuple]:
+        kept = self.state.get()
+        return {record: tuple(held) for record, *held in kept[0]} if kept else {}
+
+    def _keep(self, was: dict[int, tuple], records: dict[int, tuple]) -> None:
+        if not records and was:
             self.state.clear()
-        yield pd.DataFrame({"id": [key[0]], "seq": [-1], "at": [at], "what": ["due" if absent is None else "forgotten"]})
+        elif records != was:
+            self.state.update(([(record, *held) for record, held in records.items()],))
+
+    def _first_timer(self, records: dict[int, tuple]) -> int | None:
+        return min((at for held in records.values() if (at := self._timer(held)) is not None), default=None)
 
     def close(self) -> None:
         pass
@@ -115,7 +144,8 @@ def follow(rows: DataFrame, late: str, keep_days: int = KEEP_DAYS) -> DataFrame:
     rows without id, time of data or `seen`.
     """
     timed = rows.where("id is not null and as_of is not null and seen is not null").withWatermark("as_of", late)
-    return timed.groupBy("id").transformWithStateInPandas(Follower(keep_days), OUTCOMES, "append", "EventTime")
+    read = timed.withColumn("at", F.unix_millis("as_of")).withColumn("shared", F.shiftright("id", SHARED_BITS)).select(*READ)
+    return read.groupBy("shared").transformWithState(Follower(keep_days), OUTCOMES, "append", "EventTime")
 
 
 def replay(spark: SparkSession, polls: Iterable[DataFrame], late: str, keep_days: int = KEEP_DAYS) -> DataFrame:

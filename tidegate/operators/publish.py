@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MANIFEST = "batch string, attempt string, no long"
@@ -56,10 +57,12 @@ class Book:
     def rows(self, name: str, of: DataFrame | None = None) -> DataFrame:
         """A table as published: of each key the newest row, unless that says it is gone; of the keys in `of` alone, where given."""
         staged = self._staged(name)
-        staged = staged if of is None else staged.join(of.distinct(), of.columns, "left_semi")
+        staged = staged if of is None else staged.join(of, of.columns, "left_semi")
         kept = [c for c in staged.columns if c not in ("attempt", "gone")]
-        newest = staged.join(self.manifest().select("attempt", "no"), "attempt").groupBy(*self.tables[name][1]).agg(F.max_by(F.struct(*kept, "gone"), "no").alias("r"))
-        return newest.where("not r.gone").select("r.*").select(*kept)
+        # a batch has a key once, so the newest row is the one of the key's last batch; rows are sorted once, after they meet
+        last = F.max("no").over(Window.partitionBy(*self.tables[name][1]))
+        newest = staged.join(F.broadcast(self.manifest().select("attempt", "no")), "attempt").withColumn("_last", last)
+        return newest.where("no = _last and not gone").select(*kept)
 
     def publish(self, batch: str, tables: dict[str, DataFrame], audit: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> bool:
         """Stages the tables, audits what was written, and publishes it; false for a batch published before.
@@ -70,13 +73,20 @@ class Book:
         if self.has(batch):
             return False
         attempt = uuid.uuid4().hex
-        for name, rows in tables.items():
-            rows.select(*self._staged(name).drop("attempt").columns, F.lit(attempt).alias("attempt")).write.mode("append").partitionBy("attempt").parquet(f"{self.home}/{name}")
+
+        def write(name: str) -> None:
+            tables[name].select(*self._staged(name).drop("attempt").columns).write.mode("append").parquet(f"{self.home}/{name}/attempt={attempt}")
+
+        # the tables' jobs are small beside what starting them takes, and none waits for another
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(write, tables))
         wrote = {name: self._staged(name).where(F.col("attempt") == attempt).drop("attempt") for name in tables}
         faults = {f"{name}: a key twice": rows.groupBy(*self.tables[name][1]).count().where("count > 1") for name, rows in wrote.items()}
-        for what, rows in (faults | audit(wrote)).items():
-            if not rows.isEmpty():
-                raise Refused(f"{batch}: {what}")
+        faults |= audit(wrote)
+        with ThreadPoolExecutor(len(faults)) as pool:
+            for what, none in zip(faults, pool.map(lambda rows: rows.isEmpty(), faults.values()), strict=True):
+                if not none:
+                    raise Refused(f"{batch}: {what}")
         last = self.manifest().agg(F.coalesce(F.max("no"), F.lit(0))).first()[0]
         self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), F.lit(last + 1).cast("long").alias("no")).coalesce(1).write.mode("append").parquet(f"{self.home}/manifest")
         return True

@@ -8,7 +8,7 @@ never shorter than the straight line and a radius of reach still holds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import geo
@@ -59,6 +59,34 @@ def crosses(lat1: Column, lon1: Column, lat2: Column, lon2: Column, middle: Line
     return F.when(known, F.when(shared, gaps).otherwise(F.lit(False)))
 
 
+def middle_at(lon: Column, middle: Line = MIDDLE, bridge: tuple[float, float] = BRIDGE) -> Column:
+    """The latitude of the water's middle at a longitude, or at the end of it that is nearer."""
+    line = [bridge, *middle]
+    return latitude(line, F.least(F.greatest(lon, F.lit(line[0][0])), F.lit(line[-1][0])))
+
+
+def crossed(pairs: DataFrame, name: str, a: tuple[str, str, str], b: tuple[str, str, str], middle: Line = MIDDLE, bridge: tuple[float, float] = BRIDGE) -> DataFrame:
+    """The pairs with what `crosses` says of two known points, each the names of its latitude, longitude and `middle_at`.
+
+    For very many pairs: plain columns alone, in steps short enough to be
+    compiled, and what one end tells is worked out before the ends meet.
+    """
+    line = [bridge, *middle]
+    (lat1, lon1, mid1), (lat2, lon2, mid2) = ([F.col(c) for c in end] for end in (a, b))
+    c = lambda n: F.col(f"_{n}")
+    back = lon1 > lon2
+    ends = {"wx": F.least(lon1, lon2), "wy": F.when(back, lat2).otherwise(lat1), "ex": F.greatest(lon1, lon2), "ey": F.when(back, lat1).otherwise(lat2), "wm": F.when(back, mid2).otherwise(mid1), "em": F.when(back, mid1).otherwise(mid2)}
+    rows = pairs.select("*", *(e.alias(f"_{n}") for n, e in ends.items()))
+    shared = {"f": F.greatest(c("wx"), F.lit(line[0][0])), "t": F.least(c("ex"), F.lit(line[-1][0])), "dx": F.nullif(c("ex") - c("wx"), F.lit(0.0)), "dy": c("ey") - c("wy")}
+    rows = rows.select("*", *(e.alias(f"_{n}") for n, e in shared.items()))
+    slope = lambda x: c("wy") + (x - c("wx")) / c("dx") * c("dy")
+    meet = c("f") <= c("t")
+    gaps = [F.when(meet, F.coalesce(slope(c("f")), c("wy")) - c("wm")), F.when(meet, F.coalesce(slope(c("t")), c("ey")) - c("em"))]
+    gaps += [F.when((c("f") < x) & (c("t") > x), slope(F.lit(x)) - y) for x, y in line]
+    rows = rows.select(*pairs.columns, F.least(*gaps).alias("_low"), F.greatest(*gaps).alias("_high"))
+    return rows.select(*pairs.columns, F.explode(F.array(F.coalesce((c("low") < 0) & (c("high") > 0), F.lit(False)))).alias(name))
+
+
 def trip_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, middle: Line = MIDDLE, bridge: tuple[float, float] = BRIDGE) -> Column:
     """Straight metres of a trip, by the bridge where the straight line crosses the water."""
     by = F.lit(bridge[1]), F.lit(bridge[0])

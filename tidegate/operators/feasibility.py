@@ -34,14 +34,15 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05, metres: Callable[[Column, Column, Column, Column], Column] = geo.distance_m) -> DataFrame:
+def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05, metres: Callable[[Column, Column, Column, Column], Column] = geo.distance_m, parts: int | None = None) -> DataFrame:
     """Pairs of request and venue whose distance the travel limit allows.
 
     `metres` measures a trip from point to point; it may be longer than the
     straight line (water.trip_m), never shorter, since the cells are by that line.
     Requests are spread over the grid cells that their reach covers, so the join
     is an equi-join on cells and never a cross join; venues are read once and dealt
-    out over all tasks, as each of them meets many requests.
+    out over all tasks, as each of them meets many requests. Where the requests are
+    many as well, `parts` deals both sides out by cell and part of its venues.
     """
     limit = F.create_map(*(x for m, n in geo.MAX_TRAVEL_MIN.items() for x in (F.lit(m), F.lit(n))))
     asked = requests.withColumn("max_travel", limit[F.col("mode")]).withColumn("reach", geo.reach_m(F.col("mode"), F.col("max_travel")))
@@ -49,8 +50,14 @@ def in_reach(requests: DataFrame, venues: DataFrame, degrees: float = 0.05, metr
     dlon = dlat / F.cos(F.radians(F.col("r_lat")))
     span = lambda c, d: F.sequence(F.floor((F.col(c) - d) / degrees), F.floor((F.col(c) + d) / degrees))
     covered = asked.withColumn("_y", F.explode(span("r_lat", dlat))).withColumn("_x", F.explode(span("r_lon", dlon)))
-    placed = spread(venues).withColumn("_y", F.floor(F.col("lat") / degrees)).withColumn("_x", F.floor(F.col("lon") / degrees))
-    pairs = covered.join(placed, ["_y", "_x"]).drop("_y", "_x")
+    on = lambda rows: rows.withColumn("_y", F.floor(F.col("lat") / degrees)).withColumn("_x", F.floor(F.col("lon") / degrees))
+    if parts is None:
+        pairs = covered.join(on(spread(venues)), ["_y", "_x"]).drop("_y", "_x")
+    else:
+        cell = ["_y", "_x", "_part"]
+        placed = on(venues).withColumn("_part", F.pmod(F.xxhash64("lat", "lon"), F.lit(parts)).cast("int"))
+        covered = covered.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = spread(covered, *cell).join(spread(placed, *cell), cell).drop(*cell)
     points = [F.col(c) for c in ("r_lat", "r_lon", "lat", "lon")]
     near = once(pairs, "distance", geo.distance_m(*points)).where("distance <= reach")
     if metres is geo.distance_m:

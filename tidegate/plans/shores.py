@@ -60,6 +60,9 @@ def trips_over_water(spark, d):
     return far.select("o_orderkey", "crosses", F.round("metres", 2).alias("metres"), water.far_shore(F.col("b_lat"), F.col("b_lon")).alias("far_shore"), minutes.alias("minutes"))
 
 
+#: In how many parts the places of a cell meet the searches that cover it.
+PARTS = 16
+
 #: Searches from the near shore; each asks for places around by car, by train or on foot.
 _ASKED = "SELECT s_suppkey AS request_id, ['drive', 'transit', 'walk'][s_suppkey % 3 + 1] AS mode, 40.86::DOUBLE + s_suppkey * 37 % 400 / 2000.0::DOUBLE AS r_lat, -73.79::DOUBLE + s_suppkey * 91 % 700 / 1000.0::DOUBLE AS r_lon FROM supplier"
 _PLACES = "SELECT c_custkey AS venue_id, 40.74::DOUBLE + c_custkey * 7919 % 3301 / 10000.0::DOUBLE AS lat, -73.82::DOUBLE + c_custkey * 104729 % 997 / 1300.0::DOUBLE AS lon FROM customer"
@@ -73,11 +76,17 @@ def reach_over_water(spark, d):
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     asked = table(spark, d, "supplier").select(k.alias("request_id"), F.get(F.array(*map(F.lit, ("drive", "transit", "walk"))), (k % 3).cast("int")).alias("mode"), (F.lit(40.86) + k * 37 % 400 / F.lit(2000.0)).alias("r_lat"), (F.lit(-73.79) + k * 91 % 700 / F.lit(1000.0)).alias("r_lon"))
     places = table(spark, d, "customer").select(c.alias("venue_id"), (F.lit(40.74) + c * 7919 % 3301 / F.lit(10000.0)).alias("lat"), (F.lit(-73.82) + c * 104729 % 997 / F.lit(1300.0)).alias("lon"))
+    # searches alike in place and mode reach the same, and places of one point are measured once;
     # each end's way to the bridge is known before the ends meet; the crossing is settled once a pair, of those in straight reach
     bridge = F.lit(water.BRIDGE[1]), F.lit(water.BRIDGE[0])
-    asked = feasibility.once(asked, "to_bridge", geo.distance_m(F.col("r_lat"), F.col("r_lon"), *bridge))
-    places = feasibility.once(places, "from_bridge", geo.distance_m(*bridge, F.col("lat"), F.col("lon")))
-    near = feasibility.in_reach(asked, places)
-    told = feasibility.once(near, "over", water.crosses(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon")))
-    pairs = told.withColumn("trip", F.when(F.col("over"), F.col("to_bridge") + F.col("from_bridge")).otherwise(F.col("distance"))).where("trip <= reach")
-    return pairs.groupBy("request_id", "mode").agg(F.count("*").alias("places"), F.count_if("over").alias("over_bridge"), F.sum(F.round("trip").cast("long")).alias("metres"))
+    kinds = asked.select("mode", "r_lat", "r_lon").distinct()
+    kinds = feasibility.once(kinds, "to_bridge", geo.distance_m(F.col("r_lat"), F.col("r_lon"), *bridge)).withColumn("r_mid", water.middle_at(F.col("r_lon")))
+    spots = places.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    spots = feasibility.once(spots, "from_bridge", geo.distance_m(*bridge, F.col("lat"), F.col("lon"))).withColumn("mid", water.middle_at(F.col("lon")))
+    near = feasibility.in_reach(kinds, spots, parts=PARTS)
+    told = water.crossed(near, "over", ("r_lat", "r_lon", "r_mid"), ("lat", "lon", "mid"))
+    pairs = feasibility.once(told, "trip", F.when(F.col("over"), F.col("to_bridge") + F.col("from_bridge")).otherwise(F.col("distance"))).where("trip <= reach")
+    whole = F.floor("trip")
+    metres = whole + (F.col("trip") - whole >= 0.5).cast("long")  # to whole metres; F.round goes by decimal digits, which takes longer than all else
+    found = pairs.groupBy("mode", "r_lat", "r_lon").agg(F.sum("n").alias("places"), F.sum(F.when(F.col("over"), F.col("n")).otherwise(0)).alias("over_bridge"), F.sum(F.col("n") * metres).alias("metres"))
+    return asked.join(found, ["mode", "r_lat", "r_lon"]).groupBy("request_id", "mode").agg(*(F.sum(c).alias(c) for c in ("places", "over_bridge", "metres")))
